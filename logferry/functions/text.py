@@ -67,7 +67,7 @@ def is_record_start(line: Column, start_regex: Column | None = None, guard_bytes
 
 def is_record_start_ws(line: Column) -> Column:
     """The fallback rule: the line is not empty and does not begin with whitespace."""
-    return F.regexp_like(line, F.lit(r"^\S"))
+    return F.regexp_like(line, F.lit(S.NON_BLANK_START))
 
 
 def level_rank(level: Column) -> Column:

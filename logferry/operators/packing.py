@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logferry import settings as S
-from logferry.operators.ordering import positions
+from logferry.operators.ordering import positions, running
 
 _NEVER = np.iinfo(np.int64).max
 

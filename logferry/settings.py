@@ -14,6 +14,8 @@ DEFAULT_MIN_LEVEL = "INFO"
 
 # A line that starts a record: a date, optionally in brackets, or a JSON object.
 RECORD_START = r"^[\[(]?\d{4}-\d\d-\d\d|^\{"
+# First character that is not whitespace; no-break spaces do not count as whitespace.
+NON_BLANK_START = r"^(?:[^\p{Z}\t-\r\x1c-\x1f]|[\x{00a0}\x{2007}\x{202f}])"
 # The token of a text record that may hold its timestamp.
 TIMESTAMP_TOKEN = r"([\w\-:.+]+)"
 # File name pattern of a component without its own; %s is the quoted file stem.
