@@ -14,10 +14,11 @@ def with_prefix_sums(df: DataFrame, values: str, out: str) -> DataFrame:
     Summed in chunks, so that appending to an array costs a chunk and not the whole array.
     """
     arr = F.col(values)
-    last_chunk = F.floor((F.size(arr) - 1) / _CHUNK).cast("int")
+    size = F.size(arr)
+    # Elements are fetched one by one, since slicing copies the whole array each time.
     chunks = F.transform(
-        F.sequence(F.lit(0), F.greatest(last_chunk, F.lit(0))),
-        lambda c: F.slice(arr, c * _CHUNK + 1, _CHUNK),
+        F.when(size > 0, F.sequence(F.lit(0), size - 1, F.lit(_CHUNK))).otherwise(F.array().cast("array<int>")),
+        lambda c: F.transform(F.sequence(c, F.least(c + _CHUNK, size) - 1), lambda i: F.get(arr, i)),
     )
 
     def totals(items: Column, value) -> Column:

@@ -175,7 +175,7 @@ def flatten_json(df: DataFrame, keys: Sequence[str], column: str, depth: int = 6
                 ).otherwise(F.array(e)),
             )
         )
-    return df.select(*keys, F.inline(leaves))
+    return df.select(*keys, F.inline_outer(leaves)).where("path is not null")
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -58,7 +58,7 @@ def route(records: DataFrame, settings: Settings, component_type: Column, device
 def split_oversize(records: DataFrame, cap: int = S.MAX_EVENT_BYTES, message: str = "message") -> DataFrame:
     """One row per chunk of at most ``cap`` bytes: chunk_no, size, cost, emit and the chunk's text."""
     others = [c for c in records.columns if c != message]
-    df = records.select(*others, F.posexplode(T.byte_chunks(F.col(message), cap)).alias("chunk_no", "_c"))
+    df = records.select(*others, F.posexplode_outer(T.byte_chunks(F.col(message), cap)).alias("chunk_no", "_c"))
     return df.select(
         *others,
         "chunk_no",

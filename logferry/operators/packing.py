@@ -141,7 +141,7 @@ def pack_batches(
     numbered = positions(narrow, keys, [F.col(c) for c in order], "_p", blocks).withColumn("_p", F.col("_p") - 1)
     own = F.floor(F.col("_p") / block_size)
     shared = F.when((F.col("_p") % block_size < reach) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
-    spread = numbered.withColumn("_blk", F.explode(shared))
+    spread = numbered.withColumn("_blk", F.explode_outer(shared))
 
     key_types = ", ".join(f"`{k}` {events.schema[k].dataType.simpleString()}" for k in keys)
 

@@ -4,6 +4,9 @@
 in the file) and ``content``. A small file is one block; a large file is cut at line starts by
 :mod:`logferry.sources.ranges`. Lines and records of a block are built inside its row, so the only
 text that is shuffled are the pieces of records that cross from one block into the next.
+
+Arrays are unnested with the outer generators: for the others the planner adds a filter on the size of
+the array, pushes it down to the scan and thereby computes the array twice, lambdas inlined.
 """
 
 from __future__ import annotations
@@ -37,8 +40,11 @@ def _with_lines(blocks: DataFrame) -> DataFrame:
     df = blocks.withColumn("_lines", T.line_structs(F.col("content")))
     df = df.withColumn("_sizes", F.transform("_lines", lambda x: x["size"]))
     df = with_prefix_sums(df, "_sizes", "_sums")
-    length = F.octet_length("content").cast("bigint")
-    return df.withColumn("_ends", F.transform("_sums", lambda e: F.least(e, length))).drop("_sizes", "_sums")
+    # Only the last line can end beyond the block. Its bytes must not be looked at inside a lambda,
+    # where they would be copied once per element.
+    last = F.least(F.element_at("_sums", -1), F.octet_length("content").cast("bigint"))
+    ends = F.when(F.size("_sums") > 0, F.concat(F.slice("_sums", F.lit(1), F.size("_sums") - 1), F.array(last)))
+    return df.withColumn("_ends", F.coalesce(ends, F.col("_sums"))).drop("_sizes", "_sums")
 
 
 def read_lines(blocks: DataFrame, keep: Sequence[str] = ("component", "path")) -> DataFrame:
@@ -46,8 +52,8 @@ def read_lines(blocks: DataFrame, keep: Sequence[str] = ("component", "path")) -
     df = _with_lines(blocks)
     df = df.withColumn("_begins", F.slice(F.concat(F.array(F.lit(0).cast("bigint")), "_ends"), F.lit(1), F.size("_ends")))
     df = df.select(
-        *keep, "block_no", "block_start", F.posexplode(F.arrays_zip("_lines", "_begins", "_ends")).alias("line_no", "x")
-    )
+        *keep, "block_no", "block_start", F.posexplode_outer(F.arrays_zip("_lines", "_begins", "_ends")).alias("line_no", "x")
+    ).where("line_no is not null")
     return df.select(
         *keep,
         "block_no",
@@ -99,7 +105,8 @@ def reassemble_records(
     offset = F.col("block_start")
 
     def record(span: Column) -> Column:
-        lines = F.slice(F.col("_lines"), span["s"] + 1, span["e"] - span["s"])
+        # Not a slice, which would copy all lines of the block for each record.
+        lines = F.transform(F.sequence(span["s"], span["e"] - 1), lambda i: F.get("_lines", i)["line"])
         start = F.when(span["s"] == 0, F.lit(0).cast("bigint")).otherwise(F.get("_ends", span["s"] - 1))
         return F.struct(
             (offset + start).alias("start_off"),
@@ -107,13 +114,13 @@ def reassemble_records(
             (span["e"] - span["s"]).cast("bigint").alias("n_lines"),
             (span["s"] == 0).alias("is_first"),
             (span["e"] == F.size("_lines")).alias("is_tail"),
-            F.array_join(F.transform(lines, lambda x: x["line"]), joiner).alias("raw"),
+            F.array_join(lines, joiner).alias("raw"),
         )
 
     df = df.withColumn("_records", F.transform("_spans", record))
     first = F.get("_lines", F.lit(0))["line"]
     df = df.withColumn("_headless", (F.col("block_no") > 0) & ~F.coalesce(starts(first), F.lit(False)))
-    df = df.select(*keep, "block_no", "_headless", F.explode("_records").alias("r"))
+    df = df.select(*keep, "block_no", "_headless", F.explode_outer("_records").alias("r")).where("r is not null")
     return df.select(
         *keep,
         "block_no",

@@ -56,14 +56,14 @@ def normalize_rules(
         ).alias("doc"),
     )
     by_map = shapes.select(
-        *keys, F.explode(F.col(f"doc.{S.RULE_MAP_KEY}")).alias("name", "rule")
-    ).select(
+        *keys, F.explode_outer(F.col(f"doc.{S.RULE_MAP_KEY}")).alias("name", "rule")
+    ).where("rule is not null").select(
         *keys, F.lit(1).alias("shape"), F.lit(0).alias("nth"), F.lit("user").alias("component_type"),
         F.lit(None).cast("string").alias("upload"), F.col("name").alias("given_name"), *_fields(F.col("rule")),
     )
     by_list = shapes.select(
-        *keys, F.posexplode(F.col(f"doc.{S.RULE_LIST_KEY}")).alias("nth", "rule")
-    ).select(
+        *keys, F.posexplode_outer(F.col(f"doc.{S.RULE_LIST_KEY}")).alias("nth", "rule")
+    ).where("rule is not null").select(
         *keys, F.lit(2).alias("shape"), "nth", F.lit("user").alias("component_type"),
         F.lit(None).cast("string").alias("upload"), F.lit(None).cast("string").alias("given_name"),
         *_fields(F.col("rule")),
