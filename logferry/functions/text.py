@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -76,26 +77,37 @@ def level_rank(level: Column) -> Column:
     return F.when(rank > 0, rank.cast("int"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _last_field(entries: Column, name: str) -> Column:
-    # try_element_at gives NULL for an absent key; the last of several spellings wins.
-    return F.try_element_at(F.filter(entries, lambda e: F.lower(e["key"]) == name), F.lit(-1))["value"]
+    # The last of several spellings wins; get gives NULL if there is none.
+    return let(
+        F.filter(entries, lambda e: F.lower(e["key"]) == name), lambda found: F.get(found, F.size(found) - 1)["value"]
+    )
 
 
 def parse_structured(message: Column) -> Column:
-    """``struct<level, ts_ms, fields>`` of a JSON record, or NULL when the record is plain text.
+    """``struct<level, ts_ms>`` of a JSON record, or NULL when the record is plain text.
 
     A record is structured if it starts with ``{``, is a JSON object and names a level. Key names
     are matched in any case. The prefix test comes first, as it spares most parsing.
     """
-    entries = F.map_entries(F.from_json(message, "map<string,string>"))
-    level = _last_field(entries, "level")
-    ts = _last_field(entries, "timestamp")
-    ts_ms = ts.try_cast("decimal(38,6)")
-    parsed = F.when(
-        (F.length(level) > 0) & (ts.isNull() | ts_ms.isNotNull()),
-        F.struct(level.alias("level"), ts_ms.cast("bigint").alias("ts_ms")),
-    )
-    return F.when(F.startswith(message, F.lit("{")), parsed)
+
+    def fields(entries: Column) -> Column:
+        return F.struct(
+            _last_field(entries, "level").alias("level"), _last_field(entries, "timestamp").alias("ts")
+        )
+
+    def checked(p: Column) -> Column:
+        ts_ms = p["ts"].try_cast("decimal(38,6)").cast("bigint")
+        valid = (F.length(p["level"]) > 0) & (p["ts"].isNull() | ts_ms.isNotNull())
+        return F.when(valid, F.struct(p["level"].alias("level"), ts_ms.alias("ts_ms")))
+
+    parsed = F.map_entries(F.from_json(message, "map<string,string>"))
+    return F.when(F.startswith(message, F.lit("{")), let(let(parsed, fields), checked))
 
 
 # ISO instants and date-times with an offset; a date, a local time or a year alone do not count.
@@ -104,12 +116,15 @@ _ISO_SHAPE = r"^\d{4}-\d\d-\d\d[Tt]\d\d:\d\d(:\d\d(\.\d{1,9})?)?([Zz]|[+\-]\d\d(
 
 def extract_text_ts(message: Column) -> Column:
     """Timestamp of a text record: its first token, if that is an ISO date-time with an offset."""
-    token = F.regexp_extract(message, S.TIMESTAMP_TOKEN, 1)
-    # The cast wants seconds and a colon inside the offset.
-    full = F.regexp_replace(F.upper(token), r"^([^T]+T\d\d:\d\d)([Z+\-])", "$1:00$2")
-    full = F.regexp_replace(full, r"([+\-]\d\d)$", "$1:00")
-    full = F.regexp_replace(full, r"([+\-]\d\d)(\d\d)$", "$1:$2")
-    return F.when(F.regexp_like(token, F.lit(_ISO_SHAPE)), full.try_cast("timestamp"))
+
+    def parse(token: Column) -> Column:
+        # The cast wants seconds and a colon inside the offset.
+        full = F.regexp_replace(F.upper(token), r"^([^T]+T\d\d:\d\d)([Z+\-])", "$1:00$2")
+        full = F.regexp_replace(full, r"([+\-]\d\d)$", "$1:00")
+        full = F.regexp_replace(full, r"([+\-]\d\d)(\d\d)$", "$1:$2")
+        return F.when(F.regexp_like(token, F.lit(_ISO_SHAPE)), full.try_cast("timestamp"))
+
+    return let(F.regexp_extract(message, S.TIMESTAMP_TOKEN, 1), parse)
 
 
 def to_millis(ts: Column) -> Column:

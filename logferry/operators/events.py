@@ -1,4 +1,8 @@
-"""From records to events: parse, filter, timestamp, route and cut to size. No row leaves its task."""
+"""From records to events: parse, filter, timestamp, route and cut to size. No row leaves its task.
+
+What is parsed is passed on through a generator of one row. Filters on it can then not be pushed below,
+where the planner would have to repeat the parsing inside each of them.
+"""
 
 from __future__ import annotations
 
@@ -10,12 +14,17 @@ from logferry.functions import text as T
 from logferry.settings import Settings
 
 
+def _once(df: DataFrame, column: Column, name: str) -> DataFrame:
+    """Add a column that is computed exactly once per row, whatever is filtered by it later."""
+    return df.select("*", F.explode_outer(F.array(column)).alias(name))
+
+
 def parse_structured(records: DataFrame, message: str = "message") -> DataFrame:
     """Add ``structured``, ``level`` and ``json_ts_ms`` (NULL for text records).
 
     A record whose level has an unknown name is kept and treated as text.
     """
-    df = records.withColumn("_json", T.parse_structured(F.col(message)))
+    df = _once(records, T.parse_structured(F.col(message)), "_json")
     known = T.level_rank(F.col("_json.level")).isNotNull()
     return df.withColumns(
         {
@@ -37,7 +46,8 @@ def resolve_event_ts(records: DataFrame, ingest_ts: Column, message: str = "mess
     """Add ``ts``: the JSON timestamp, else the text timestamp, else the time of ingestion (ms)."""
     text_ts = F.when(~F.col("structured"), T.extract_text_ts(F.col(message)))
     ts = F.coalesce(F.timestamp_millis("json_ts_ms"), text_ts, ingest_ts)
-    return records.withColumn("ts", T.to_millis(ts))
+    others = records.drop("ts") if "ts" in records.columns else records
+    return _once(others, T.to_millis(ts), "ts")
 
 
 def drop_expired(records: DataFrame, as_of: Column, max_age=S.MAX_EVENT_AGE) -> DataFrame:
