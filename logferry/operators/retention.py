@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logferry.operators.files import processed_files
 from logferry.operators.ordering import running
+from logferry.sources.byteranges import Files
 
 
 def component_usage(files: DataFrame) -> DataFrame:
@@ -52,16 +53,11 @@ def delete_files(plan: DataFrame, column: str = "path") -> None:
     """Delete the planned files, from the tasks. A file that is gone already is no error."""
 
     def unlink(rows) -> None:
-        from pyarrow import fs
-
-        opened = {}
-        for (uri,) in rows:
-            scheme = uri.split("://", 1)[0] if "://" in uri else ""
-            if scheme not in opened:
-                opened[scheme] = fs.FileSystem.from_uri(uri)[0] if scheme else fs.LocalFileSystem()
-            path = opened[scheme].normalize_path(fs.FileSystem.from_uri(uri)[1] if scheme else uri)
+        files = Files()
+        for (path,) in rows:
+            system, name = files.locate(path)
             try:
-                opened[scheme].delete_file(path)
+                system.delete_file(name)
             except FileNotFoundError:
                 pass
 

@@ -56,24 +56,27 @@ def complete_end(f, start: int, length: int) -> int:
 
 
 class Files:
-    """Open files by path or URI, one at a time."""
+    """Files by path or URI, on the local or any other file system; one is open at a time."""
 
     def __init__(self) -> None:
         self._path, self._file, self._systems = None, None, {}
 
-    def open(self, path: str):
+    def locate(self, path: str):
+        """The file system of a path and the name it uses."""
         from pyarrow import fs
 
+        # file:/x and file:///x mean the same; other schemes go to their own file system.
+        scheme, sep, rest = path.partition(":/")
+        if sep and scheme != "file":
+            if scheme not in self._systems:
+                self._systems[scheme] = fs.FileSystem.from_uri(path)[0]
+            return self._systems[scheme], fs.FileSystem.from_uri(path)[1]
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/") if sep else path
+
+    def open(self, path: str):
         if path != self._path:
             self.close()
-            # file:/x and file:///x mean the same; other schemes go to their own file system.
-            scheme, sep, rest = path.partition(":/")
-            if sep and scheme != "file":
-                if scheme not in self._systems:
-                    self._systems[scheme] = fs.FileSystem.from_uri(path)[0]
-                system, name = self._systems[scheme], fs.FileSystem.from_uri(path)[1]
-            else:
-                system, name = fs.LocalFileSystem(), "/" + rest.lstrip("/") if sep else path
+            system, name = self.locate(path)
             self._file, self._path = system.open_input_file(name), path
         return self._file
 

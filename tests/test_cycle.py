@@ -1,4 +1,4 @@
-"""Whole cycles on real files: golden counts, rotation, growth, failures, retention."""
+"""Whole cycles on real files. Each component is a scenario of its own; they share the cycles."""
 
 import datetime as dt
 import os
@@ -10,207 +10,180 @@ from logferry.plans.cycle import Store, run_cycle, table_sink
 from logferry.settings import Settings
 
 NOON = dt.datetime(2024, 5, 2, 12)
+SETTINGS = Settings(as_of=NOON, range_bytes=100, max_batch_events=4, max_batch_bytes=2000, max_event_bytes=120, pack_block=64)
+RULE_SCHEMA = (
+    "component string, component_type string, dir string, file_regex string, start_regex string, min_level string, "
+    "max_bytes bigint, delete_after boolean"
+)
 
 
-def line(i, day=2, hour=None):
-    return f"2024-05-{day:02d}T{hour if hour is not None else i % 12:02d}:00:{i % 60:02d}.000Z [INFO] (main) app: (seq: {i})\n"
+def line(i, day=2):
+    return f"2024-05-{day:02d}T{i % 12:02d}:00:{i % 60:02d}.000Z [INFO] (main) app: (seq: {i})\n"
 
 
-def rules_of(spark, directory, **more):
-    rule = {
-        "component": "app", "component_type": "user", "dir": str(directory), "file_regex": r"\.log", "start_regex": None,
-        "min_level": "INFO", "max_bytes": None, "delete_after": False, **more,
+def rule(component, directory, **more):
+    row = {
+        "component": component, "component_type": "user", "dir": str(directory), "file_regex": r"\.log",
+        "min_level": "INFO", "delete_after": False, **more,
     }
-    schema = (
-        "component string, component_type string, dir string, file_regex string, start_regex string, min_level string, "
-        "max_bytes bigint, delete_after boolean"
-    )
-    return spark.createDataFrame([tuple(rule[c.split()[0]] for c in schema.split(", "))], schema)
+    return tuple(row.get(c.split()[0]) for c in RULE_SCHEMA.split(", "))
 
 
 def write(path, text, minute):
-    path.write_bytes(text if isinstance(text, bytes) else text.encode())
+    path.parent.mkdir(exist_ok=True)
+    path.write_bytes(text.encode())
     stamp = dt.datetime(2024, 5, 2, 11, minute, tzinfo=dt.timezone.utc).timestamp()
     os.utime(path, (stamp, stamp))
 
 
-def delivered(store, upto, only=None):
-    frames = []
+def delivered(store, upto, component):
+    out = []
     for e in range(upto + 1):
-        batches = store.read("batches", e).where("emit")
         done = store.read("delivery", e).where("delivered").select("log_group", "log_stream", "batch_no")
-        frames.append(batches.join(done, ["log_group", "log_stream", "batch_no"]).select("log_stream", "path", "start_off", "chunk_no", "message"))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out.collect()
+        rows = store.read("batches", e).where(F.col("emit") & (F.col("component") == component))
+        out += rows.join(done, ["log_group", "log_stream", "batch_no"]).select("path", "start_off", "chunk_no", "message").collect()
+    return out
 
 
-@pytest.fixture()
-def logs(tmp_path):
-    d = tmp_path / "logs"
-    d.mkdir()
-    return d
+def state(store, epoch, component):
+    return {os.path.basename(r.path): r for r in store.read("checkpoint", epoch).where(F.col("component") == component).collect()}
 
 
-def test_many_small_cycles_equal_one(spark, logs, tmp_path):
-    """Growth, rotation and a small range size: every line arrives once, in whatever many cycles."""
-    store = Store(spark, str(tmp_path / "store"))
-    rules = rules_of(spark, logs)
-    settings = Settings(as_of=NOON, range_bytes=100, max_batch_events=7, max_batch_bytes=2000, pack_block=64)
-    lines = [line(i) for i in range(120)]
+FLOW = [line(i) for i in range(120)]
+SPLIT = [line(i, day=1 + i % 2) for i in range(40)]
+LONG = line(0) + "2024-05-02T01:00:00Z " + "x" * 500 + "\n" + line(1)
+LOW = '{"level":"DEBUG","timestamp":1714640400000,"message":"m"}\n'
+BODY = "".join(line(i) for i in range(20))
 
-    write(logs / "app.log", "".join(lines[:30]) + lines[30][:10], 1)
-    run_cycle(spark, rules, settings, store)
-    # The rest of the broken line comes, and the file rotates.
-    write(logs / "app_1.log", "".join(lines[:50]), 2)
-    write(logs / "app.log", "".join(lines[50:60]), 3)
-    run_cycle(spark, rules, settings, store)
-    write(logs / "app_2.log", "".join(lines[50:90]), 4)
-    write(logs / "app.log", "".join(lines[90:120]), 5)
-    last = run_cycle(spark, rules, settings, store)
 
-    rows = delivered(store, last)
-    assert sorted(r.message + "\n" for r in rows) == sorted(lines)
-    # Rotated files are done and forgotten; the watermark has reached the newest of them.
-    state = store.read("checkpoint", last).collect()
-    assert [(os.path.basename(r.path), r.position) for r in state] == [("app.log", len("".join(lines[90:])))]
-    mark = store.read("watermark", last).first().last_mtime
-    assert mark == dt.datetime(2024, 5, 2, 11, 4)
-    # No batch breaks a limit.
-    for e in range(last + 1):
-        per = store.read("batches", e).groupBy("batch_no", "log_stream").agg(F.count("*").alias("n"), F.sum("cost").alias("c"))
-        assert per.where("n > 7 or c > 2000").count() == 0
+@pytest.fixture(scope="module")
+def runs(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("cycles")
+    store = Store(spark, str(root / "store"))
+    limit = 2 * len(line(1000) + BODY) + len(line(2000))
+    names = {"flow": {}, "split": {}, "long": {}, "low": {"delete_after": True}, "full": {"max_bytes": limit}, "still": {}}
+    rules = [rule(n, root / n, **more) for n, more in names.items()] + [rule("ghost", root / "nowhere")]
+    rules = spark.createDataFrame(rules, RULE_SCHEMA)
+    seen = {}
 
+    def broken(events, epoch):
+        late = F.col("log_group").contains("split") & F.col("log_stream").contains("/05/01/") & (F.col("batch_no") >= 3)
+        cut = F.col("log_group").contains("long") & (F.col("batch_no") >= 2)
+        return table_sink(events, epoch).withColumn("delivered", ~(late | cut))
 
-def test_nothing_new_is_idle(spark, logs, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
-    rules = rules_of(spark, logs)
-    settings = Settings(as_of=NOON)
-    write(logs / "app.log", "".join(line(i) for i in range(5)), 1)
-    run_cycle(spark, rules, settings, store)
-    last = run_cycle(spark, rules, settings, store)
-    assert len(delivered(store, last)) == 5
-    assert store.read("batches", last).count() == 0
-    # A cycle that is committed already is not run again.
-    assert run_cycle(spark, rules, settings, store, epoch=0) == 0
+    def dies(events, epoch):
+        raise RuntimeError("the sink is gone")
 
+    write(root / "flow/app.log", "".join(FLOW[:30]) + FLOW[30][:10], 1)
+    write(root / "split/app_1.log", "".join(SPLIT), 1)
+    write(root / "split/app.log", line(100), 2)
+    write(root / "long/app_1.log", LONG, 1)
+    write(root / "long/app.log", line(100), 2)
+    write(root / "low/app_1.log", LOW + "2024-01-01T00:00:00Z too old\n" + LOW, 1)
+    write(root / "low/app_2.log", line(1) + LOW, 2)
+    write(root / "low/app.log", line(2), 3)
+    for n in range(4):
+        write(root / f"full/app_{n}.log", line(1000 + n) + BODY, n + 1)
+    write(root / "full/app.log", line(2000), 9)
+    write(root / "still/app.log", BODY, 1)
 
-def test_failed_stream_is_sent_again_and_only_it(spark, logs, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
-    rules = rules_of(spark, logs)
-    settings = Settings(as_of=NOON, max_batch_events=4)
-    lines = [line(i, day=1 + i % 2) for i in range(40)]
-    write(logs / "app_1.log", "".join(lines), 1)
-    write(logs / "app.log", line(100), 2)
+    with pytest.raises(RuntimeError):
+        run_cycle(spark, rules, SETTINGS, store, sink=dies)
+    seen["after_death"] = store.last_epoch()
+    run_cycle(spark, rules, SETTINGS, store, sink=broken, delete=True)
+    seen["full_0"] = sorted(os.listdir(root / "full"))
+    seen["low_0"] = sorted(os.listdir(root / "low"))
 
-    def broken(events, epoch):
-        outcome = table_sink(events, epoch)
-        return outcome.withColumn("delivered", ~(F.col("log_stream").contains("/05/01/") & (F.col("batch_no") >= 3)))
+    # The rest of the broken line comes, and the file rotates.
+    write(root / "flow/app_1.log", "".join(FLOW[:50]), 2)
+    write(root / "flow/app.log", "".join(FLOW[50:60]), 3)
+    run_cycle(spark, rules, SETTINGS, store, delete=True)
+    seen["full_1"] = sorted(os.listdir(root / "full"))
+    write(root / "flow/app_2.log", "".join(FLOW[50:90]), 4)
+    write(root / "flow/app.log", "".join(FLOW[90:120]), 5)
+    last = run_cycle(spark, rules, SETTINGS, store)
+    # A cycle that is committed already is not run again.
+    assert run_cycle(spark, rules, SETTINGS, store, epoch=0) == 0
+    return store, last, seen
 
-    first = run_cycle(spark, rules, settings, store, sink=broken)
-    state = {os.path.basename(r.path): r for r in store.read("checkpoint", first).collect()}
-    some = delivered(store, first)
-    assert 0 < len(some) < 41
-    # The position stands at the first event that did not arrive.
-    text = "".join(lines)
-    lost = {m + "\n" if not m.endswith("\n") else m for m in lines} - {r.message + "\n" for r in some}
-    assert state["app_1.log"].position == min(text.index(x) for x in lost)
 
-    last = run_cycle(spark, rules, settings, store)
-    rows = delivered(store, last)
-    assert sorted(r.message + "\n" for r in rows) == sorted([*lines, line(100)])
-    assert [os.path.basename(r.path) for r in store.read("checkpoint", last).collect()] == ["app.log"]
+def test_lost_cycle_leaves_no_trace(runs):
+    store, last, seen = runs
+    assert seen["after_death"] == -1 and last == 2
 
 
-def test_lost_cycle_runs_again(spark, logs, tmp_path):
-    """A cycle that dies before its last step leaves no trace in the state."""
-    store = Store(spark, str(tmp_path / "store"))
-    rules = rules_of(spark, logs)
-    settings = Settings(as_of=NOON)
-    write(logs / "app.log", "".join(line(i) for i in range(9)), 1)
+def test_growth_and_rotation_lose_nothing(runs):
+    store, last, _ = runs
+    assert sorted(r.message + "\n" for r in delivered(store, last, "flow")) == sorted(FLOW)
+    # Rotated files are done and forgotten; the watermark has reached the newest of them.
+    assert {k: r.position for k, r in state(store, last, "flow").items()} == {"app.log": len("".join(FLOW[90:]))}
+    mark = store.read("watermark", last).where("component = 'flow'").first().last_mtime
+    assert mark == dt.datetime(2024, 5, 2, 11, 4)
 
-    def dies(events, epoch):
-        raise RuntimeError("the sink is gone")
 
-    with pytest.raises(RuntimeError):
-        run_cycle(spark, rules, settings, store, sink=dies)
-    assert store.last_epoch() == -1
-    last = run_cycle(spark, rules, settings, store)
-    assert last == 0 and len(delivered(store, last)) == 9
+def test_batches_keep_their_limits(runs):
+    store, last, _ = runs
+    for e in range(last + 1):
+        batches = store.read("batches", e)
+        per_stream = batches.where("emit").groupBy("component", "batch_no", "log_stream").count()
+        assert per_stream.where("count > 4").count() == 0
+        assert batches.groupBy("component", "batch_no").agg(F.sum("cost").alias("c")).where("c > 2000").count() == 0
 
 
-def test_partly_delivered_record_resumes_at_its_chunk(spark, logs, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
-    rules = rules_of(spark, logs)
-    settings = Settings(as_of=NOON, max_event_bytes=50, max_batch_events=2)
-    text = line(0) + "2024-05-02T01:00:00Z " + "x" * 300 + "\n" + line(1)
-    write(logs / "app_1.log", text, 1)
-    write(logs / "app.log", line(100), 2)
+def test_failed_stream_is_sent_again_and_only_it(runs):
+    store, last, _ = runs
+    some = {r.message + "\n" for r in delivered(store, 0, "split")}
+    assert 0 < len(some) < 41
+    # The position stands at the first event that did not arrive.
+    text = "".join(SPLIT)
+    assert state(store, 0, "split")["app_1.log"].position == min(text.index(x) for x in set(SPLIT) - some)
+    rows = delivered(store, last, "split")
+    assert sorted(r.message + "\n" for r in rows) == sorted([*SPLIT, line(100)])
+    assert list(state(store, last, "split")) == ["app.log"]
 
-    def broken(events, epoch):
-        return table_sink(events, epoch).withColumn("delivered", F.col("batch_no") < 3)
 
-    first = run_cycle(spark, rules, settings, store, sink=broken)
-    entry = [r for r in store.read("checkpoint", first).collect() if r.path.endswith("app_1.log")][0]
+def test_partly_delivered_record_resumes_at_its_chunk(runs):
+    store, last, _ = runs
+    entry = state(store, 0, "long")["app_1.log"]
     assert entry.position == len(line(0)) and entry.chunk_no > 0
-    last = run_cycle(spark, rules, settings, store)
-    rows = [r for r in delivered(store, last) if r.path.endswith("app_1.log")]
+    rows = [r for r in delivered(store, last, "long") if r.path.endswith("app_1.log")]
+    assert len(rows) == len({(r.start_off, r.chunk_no) for r in rows}) == 7
     by_record = {}
     for r in sorted(rows, key=lambda r: (r.start_off, r.chunk_no)):
         by_record[r.start_off] = by_record.get(r.start_off, "") + r.message
-    assert [by_record[k] + "\n" for k in sorted(by_record)] == text.splitlines(keepends=True)
-    assert len(rows) == len({(r.start_off, r.chunk_no) for r in rows})
+    assert [by_record[k] + "\n" for k in sorted(by_record)] == LONG.splitlines(keepends=True)
 
 
-def test_dropped_records_advance_and_retention_deletes(spark, logs, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
-    rules = rules_of(spark, logs, delete_after=True)
-    low = '{"level":"DEBUG","timestamp":1714640400000,"message":"m"}\n'
-    old = "2024-01-01T00:00:00Z too old\n"
-    write(logs / "app_1.log", low + old + low, 1)
-    write(logs / "app_2.log", line(1) + low, 2)
-    write(logs / "app.log", line(2), 3)
-    last = run_cycle(spark, rules, Settings(as_of=NOON), store, delete=True)
-    assert len(delivered(store, last)) == 2
-    assert sorted(os.listdir(logs)) == ["app.log"]
-    reasons = {r.dropped: r.n for r in store.read("events", last).groupBy("dropped").agg(F.count("*").alias("n")).collect()}
+def test_dropped_records_advance_and_finished_files_are_deleted(runs):
+    store, last, seen = runs
+    assert len(delivered(store, last, "low")) == 2
+    assert seen["low_0"] == ["app.log"]
+    events = store.read("events", 0).where("component = 'low'")
+    reasons = {r.dropped: r["count"] for r in events.groupBy("dropped").count().collect()}
     assert reasons == {None: 2, "below_level": 3, "expired": 1}
 
 
-def test_disk_limit_removes_oldest_processed(spark, logs, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
-    body = "".join(line(i) for i in range(20))
-    for n in range(4):
-        write(logs / f"app_{n}.log", line(1000 + n) + body, n + 1)
-    write(logs / "app.log", line(2000), 9)
-    size = len(line(1000) + body)
-    rules = rules_of(spark, logs, max_bytes=2 * size + len(line(2000)))
-    settings = Settings(as_of=NOON)
-    first = run_cycle(spark, rules, settings, store, delete=True)
-    # Planned from the watermark before the cycle: nothing had been processed then.
-    assert len(os.listdir(logs)) == 5 and store.read("retention", first).count() == 0
-    run_cycle(spark, rules, settings, store, delete=True)
-    assert sorted(os.listdir(logs)) == ["app.log", "app_2.log", "app_3.log"]
-
-
-def test_hold_last_record(spark, logs, tmp_path):
+def test_disk_limit_removes_oldest_processed(runs):
+    _, _, seen = runs
+    # Planned from the watermark before the cycle: nothing had been processed the first time.
+    assert len(seen["full_0"]) == 5
+    assert seen["full_1"] == ["app.log", "app_2.log", "app_3.log"]
+
+
+def test_nothing_new_is_idle(runs):
+    store, last, _ = runs
+    assert len(delivered(store, last, "still")) == 20
+    assert store.read("batches", last).where("component = 'still'").count() == 0
+
+
+def test_hold_last_record(spark, tmp_path):
     """A stack trace that is still being written is not cut in two."""
     store = Store(spark, str(tmp_path / "store"))
-    rules = rules_of(spark, logs)
+    rules = spark.createDataFrame([rule("app", tmp_path / "logs")], RULE_SCHEMA)
     settings = Settings(as_of=NOON, hold_last_record=True)
-    write(logs / "app.log", line(1) + line(2) + "  at a\n", 1)
+    write(tmp_path / "logs/app.log", line(1) + line(2) + "  at a\n", 1)
     run_cycle(spark, rules, settings, store)
-    write(logs / "app.log", line(1) + line(2) + "  at a\n  at b\n" + line(3), 2)
+    write(tmp_path / "logs/app.log", line(1) + line(2) + "  at a\n  at b\n" + line(3), 2)
     last = run_cycle(spark, rules, settings, store)
-    assert [r.message for r in sorted(delivered(store, last), key=lambda r: r.start_off)] == [
-        line(1)[:-1], line(2)[:-1] + "  at a  at b",
-    ]
-
-
-def test_missing_directory_does_not_stop_the_others(spark, logs, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
-    write(logs / "app.log", line(1), 1)
-    rules = rules_of(spark, logs).unionByName(rules_of(spark, tmp_path / "nowhere", component="ghost"))
-    last = run_cycle(spark, rules, Settings(as_of=NOON), store)
-    assert len(delivered(store, last)) == 1
+    rows = sorted(delivered(store, last, "app"), key=lambda r: r.start_off)
+    assert [r.message for r in rows] == [line(1)[:-1], line(2)[:-1] + "  at a  at b"]
