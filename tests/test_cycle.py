@@ -8,26 +8,10 @@ from pyspark.sql import functions as F
 
 from logferry.plans.cycle import Store, run_cycle, table_sink
 from logferry.settings import Settings
+from tests_support import RULE_SCHEMA, line, rule
 
 NOON = dt.datetime(2024, 5, 2, 12)
 SETTINGS = Settings(as_of=NOON, range_bytes=100, max_batch_events=4, max_batch_bytes=2000, max_event_bytes=120, pack_block=64)
-RULE_SCHEMA = (
-    "component string, component_type string, dir string, file_regex string, start_regex string, min_level string, "
-    "max_bytes bigint, delete_after boolean"
-)
-
-
-def line(i, day=2):
-    return f"2024-05-{day:02d}T{i % 12:02d}:00:{i % 60:02d}.000Z [INFO] (main) app: (seq: {i})\n"
-
-
-def rule(component, directory, **more):
-    row = {
-        "component": component, "component_type": "user", "dir": str(directory), "file_regex": r"\.log",
-        "min_level": "INFO", "delete_after": False, **more,
-    }
-    return tuple(row.get(c.split()[0]) for c in RULE_SCHEMA.split(", "))
-
 
 def write(path, text, minute):
     path.parent.mkdir(exist_ok=True)
