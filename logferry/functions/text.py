@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -132,16 +132,21 @@ def to_millis(ts: Column) -> Column:
     return F.timestamp_millis(F.unix_millis(ts))
 
 
+def _fill(template: str, parts: dict[str, Column]) -> Column:
+    """Concatenate a template's literal text with columns in place of its ``{names}``."""
+    pieces = re.split(r"(\{\w+\})", template)
+    return F.concat(*[parts[p] if p in parts else F.lit(p) for p in pieces if p])
+
+
 def group_name(template: str, component_type: Column, region: Column, component: Column) -> Column:
     """Fill the log group template; ``{type}``, ``{region}`` and ``{component}`` are replaced."""
-    parts = {"{type}": component_type, "{region}": region, "{component}": component}
-    return reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), kv[1]), parts.items(), F.lit(template))
+    return _fill(template, {"{type}": component_type, "{region}": region, "{component}": component})
 
 
 def stream_name(ts: Column, device: Column) -> Column:
     """Stream of an event: the UTC day of its own time, and the device with ``:`` made ``+``."""
-    name = F.replace(F.lit(S.STREAM_TEMPLATE), F.lit("{date}"), F.date_format(ts, "yyyy/MM/dd"))
-    return F.replace(F.replace(name, F.lit("{device}"), device), F.lit(":"), F.lit("+"))
+    day = F.date_format(ts, "yyyy/MM/dd")
+    return _fill(S.STREAM_TEMPLATE, {"{date}": day, "{device}": F.replace(device, F.lit(":"), F.lit("+"))})
 
 
 def event_cost(size: Column) -> Column:
@@ -149,26 +154,29 @@ def event_cost(size: Column) -> Column:
     return (size + S.EVENT_OVERHEAD).cast("bigint")
 
 
+_BLANKS = "".join(chr(i) for i in range(0x21))
+
+
 def is_emitted(message: Column) -> Column:
     """Blank chunks are not sent: some character must lie above U+0020."""
-    return F.regexp_like(message, F.lit(r"[^\x00-\x20]"))
+    # Trimming stops at the first such character; a regex would decode the whole message first.
+    return F.ltrim(message, F.lit(_BLANKS)) != ""
 
 
-def byte_chunks(message: Column, cap: int) -> Column:
-    """Cut text into pieces of ``cap`` bytes: ``array<struct<size, message>>``.
+def chunk_count(message: Column, cap: int) -> Column:
+    """Number of pieces of at most ``cap`` bytes; an empty message is one empty piece."""
+    return F.greatest(F.ceil(F.octet_length(message) / cap), F.lit(1)).cast("int")
 
-    Characters cut in two leave U+FFFD on both sides. An empty message is one empty piece.
+
+def byte_chunk(message: Column, i: Column, cap: int) -> Column:
+    """Piece ``i`` of a message cut every ``cap`` bytes.
+
+    Characters cut in two leave U+FFFD on both sides.
     """
-    data = message.cast("binary")
-    last = F.greatest(F.floor((F.octet_length(message) - 1) / cap), F.lit(0)).cast("int")
+    part = F.substring(message.cast("binary"), i * cap + 1, F.lit(cap))
+    return F.when(F.octet_length(message) <= cap, F.make_valid_utf8(message)).otherwise(decode_utf8(part))
 
-    def piece(i):
-        part = F.substring(data, i * cap + 1, F.lit(cap))
-        return F.struct(F.octet_length(part).cast("bigint").alias("size"), decode_utf8(part).alias("message"))
 
-    whole = F.array(
-        F.struct(F.octet_length(message).cast("bigint").alias("size"), F.make_valid_utf8(message).alias("message"))
-    )
-    return F.when(F.octet_length(message) <= cap, whole).otherwise(
-        F.transform(F.sequence(F.lit(0), last), piece)
-    )
+def chunk_size(message: Column, i: Column, cap: int) -> Column:
+    """Bytes of piece ``i`` in the message, before any replacement."""
+    return F.least(F.lit(cap).cast("bigint"), F.octet_length(message).cast("bigint") - i.cast("bigint") * cap)

@@ -68,14 +68,18 @@ def route(records: DataFrame, settings: Settings, component_type: Column, device
 def split_oversize(records: DataFrame, cap: int = S.MAX_EVENT_BYTES, message: str = "message") -> DataFrame:
     """One row per chunk of at most ``cap`` bytes: chunk_no, size, cost, emit and the chunk's text."""
     others = [c for c in records.columns if c != message]
-    df = records.select(*others, F.posexplode_outer(T.byte_chunks(F.col(message), cap)).alias("chunk_no", "_c"))
+    text, i = F.col(message), F.col("chunk_no")
+    # Only the numbers of the chunks are unnested; nearly always there is one.
+    numbers = F.sequence(F.lit(0), T.chunk_count(text, cap) - 1)
+    df = records.select(*others, message, F.explode_outer(numbers).alias("chunk_no"))
+    size = T.chunk_size(text, i, cap)
     return df.select(
         *others,
         "chunk_no",
-        F.col("_c.size").alias("size"),
-        T.event_cost(F.col("_c.size")).alias("cost"),
-        T.is_emitted(F.col("_c.message")).alias("emit"),
-        F.col("_c.message").alias(message),
+        size.alias("size"),
+        T.event_cost(size).alias("cost"),
+        T.is_emitted(T.byte_chunk(text, i, cap)).alias("emit"),
+        T.byte_chunk(text, i, cap).alias(message),
     )
 
 

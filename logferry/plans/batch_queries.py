@@ -17,8 +17,10 @@ from logferry.plans.views import millis, with_sql
 _EVENTS = (V.RAW_EVENTS, V.PARSED, V.ROUTED)
 
 
-def _with_day(events):
-    return events.withColumn("_day", F.date_trunc("day", "ts")).withColumn("_part", F.floor(F.col("event_id") / 10_000))
+def _narrow(spark, sf_dir):
+    """Events without their text, with blocks of event ids."""
+    events = V.events_at(spark, sf_dir).drop("message")
+    return V.settle(events).withColumn("_part", F.floor(F.col("event_id") / 10_000))
 
 
 @query("group_streams", with_sql(*_EVENTS, final="""
@@ -35,7 +37,8 @@ def group_streams(spark, sf_dir):
   select event_id, log_stream, row_number() over (partition by log_group, log_stream order by ts_ms, event_id) as nth
   from events_at"""))
 def sort_events(spark, sf_dir):
-    return P.sort_events(V.events_at(spark, sf_dir), ["event_id"]).select("event_id", "log_stream", "nth")
+    events = V.settle(V.events_at(spark, sf_dir).drop("message"))
+    return P.sort_events(events, ["event_id"]).select("event_id", "log_stream", "nth")
 
 
 @query("merge_files", with_sql(V.FILES, V.LINES, final="""
@@ -52,7 +55,7 @@ def merge_files(spark, sf_dir):
     select *, cast(sum(cost) over (partition by component order by event_id) as bigint) as running_cost from events_at)
   where running_cost <= 65536"""))
 def cap_bytes(spark, sf_dir):
-    events = _with_day(V.events_at(spark, sf_dir))
+    events = _narrow(spark, sf_dir)
     return P.first_batch_bytes(events, ["component"], ["event_id"], [["_part"]], 65536).select(
         "component", "event_id", "running_cost"
     )
@@ -62,7 +65,7 @@ def cap_bytes(spark, sf_dir):
   select log_stream, event_id, row_number() over (partition by log_group, log_stream order by event_id) as nth
   from events_at qualify nth <= 3"""))
 def cap_count(spark, sf_dir):
-    events = _with_day(V.events_at(spark, sf_dir))
+    events = _narrow(spark, sf_dir)
     first = P.first_batch_count(events, ["log_group", "log_stream"], ["event_id"], [["_part"]], 3)
     return first.select("log_stream", "event_id", "nth")
 
@@ -71,7 +74,7 @@ def cap_count(spark, sf_dir):
   select event_id, first_ts_ms, ts_ms <= first_ts_ms + 6 * 3600000 as fits from (
     select *, min(ts_ms) over (partition by log_group, log_stream order by event_id) as first_ts_ms from events_at)"""))
 def cap_span(spark, sf_dir):
-    events = _with_day(V.events_at(spark, sf_dir))
+    events = _narrow(spark, sf_dir)
     df = P.within_span(events, ["log_group", "log_stream"], ["event_id"], [["_part"]], dt.timedelta(hours=6))
     return df.select("event_id", millis("first_ts"), "fits")
 
@@ -109,7 +112,7 @@ packed as (
 
 def packed(spark, sf_dir):
     """All events packed per component in the order of event_id."""
-    events = V.file_events(spark, sf_dir).withColumn("mtime", F.lit(V.AS_OF).cast("timestamp"))
+    events = V.settle(V.file_events(spark, sf_dir).withColumn("mtime", F.lit(V.AS_OF).cast("timestamp")))
     return P.pack_batches(
         events, order=["event_id"], blocks=[["_part"]], max_bytes=_BYTES, max_events=_COUNT,
         max_span=dt.timedelta(hours=_HOURS),
@@ -188,16 +191,17 @@ ledger as (
   from batches where batch_no <= 2)"""
 
 
-def ledger(spark, sf_dir):
+def ledger(batches):
     """Batches of the first half of each day have been accepted."""
-    old = stream_batches(spark, sf_dir).where("batch_no <= 2").withColumn("seq", F.lit(0).cast("bigint"))
+    old = batches.where("batch_no <= 2").withColumn("seq", F.lit(0).cast("bigint"))
     return D.stream_sequence(old.drop("seq"), old, part=2).select("log_group", "log_stream", "batch_no", "seq")
 
 
 @query("dedupe_delivered", with_sql(*_EVENTS, _BATCHES, final="""
   select log_stream, batch_no, n_events from batches anti join ledger using (log_group, log_stream, batch_no)"""))
 def dedupe_delivered(spark, sf_dir):
-    return D.dedupe_delivered(stream_batches(spark, sf_dir), ledger(spark, sf_dir)).select("log_stream", "batch_no", "n_events")
+    batches = V.settle(stream_batches(spark, sf_dir))
+    return D.dedupe_delivered(batches, ledger(batches)).select("log_stream", "batch_no", "n_events")
 
 
 @query("stream_sequence", with_sql(*_EVENTS, _BATCHES, final="""
@@ -205,8 +209,8 @@ def dedupe_delivered(spark, sf_dir):
     + coalesce((select max(seq) from ledger l where l.log_group = b.log_group and l.log_stream = b.log_stream), 0) as seq
   from batches b where batch_no > 2"""))
 def stream_sequence(spark, sf_dir):
-    fresh = stream_batches(spark, sf_dir).where("batch_no > 2")
-    return D.stream_sequence(fresh, ledger(spark, sf_dir), part=2).select("log_stream", "batch_no", "seq")
+    batches = V.settle(stream_batches(spark, sf_dir))
+    return D.stream_sequence(batches.where("batch_no > 2"), ledger(batches), part=2).select("log_stream", "batch_no", "seq")
 
 
 @query("missing_targets", with_sql(*_EVENTS, """

@@ -7,6 +7,8 @@ customers are devices that carry a rule document each.
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from logferry.operators import events as E
 from logferry.operators import files as FL
 from logferry.operators import records as R
+from logferry.operators.ordering import running
 from logferry.settings import Settings
 
 AS_OF = dt.datetime(2024, 1, 31)
@@ -29,6 +32,19 @@ def with_sql(*ctes: str, final: str) -> str:
     return "with " + ",\n".join(ctes) + "\n" + final
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Write a frame that several branches read, and go on from the written table.
+
+    It goes to the shared folder the session names in ``spark.checkpoint.dir``; only where none is
+    named, as in tests, to a temporary one. Branches then read just the columns they need.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logferry-")
+    path = f"{root.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def millis(name: str, alias: str | None = None):
     return F.unix_millis(name).alias(alias or f"{name}_ms")
 
@@ -251,7 +267,8 @@ def stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All log lines as routed events, none dropped."""
-    df = E.route(stamped(spark, sf_dir).drop("ts_").withColumnRenamed("raw", "message"), SETTINGS, F.lit("user"), F.col("device"))
+    df = stamped(spark, sf_dir).withColumnRenamed("raw", "message")
+    df = E.route(df, SETTINGS, F.lit("user"), F.col("device"))
     return E.split_oversize(df, SETTINGS.max_event_bytes)
 
 
@@ -263,9 +280,7 @@ def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events with a place in a file: one file per device, lines in the order of event_id."""
-    from logferry.operators.ordering import running
-
-    df = events_at(spark, sf_dir).withColumn("fingerprint", F.col("device")).withColumn("_part", F.floor(F.col("event_id") / 10000))
+    df = settle(events_at(spark, sf_dir)).withColumn("fingerprint", F.col("device")).withColumn("_part", F.floor(F.col("event_id") / 10000))
     df = running(
         df, ["component", "fingerprint"], [F.col("event_id")], {"end_off": ("sum", F.col("size") + 1)}, [["_part"]]
     )

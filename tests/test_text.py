@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from logferry.functions import text as T
+from logferry.operators.events import split_oversize
 from logferry.operators import records as R
 
 
@@ -106,9 +107,13 @@ def test_text_timestamps(spark):
 
 def test_chunks_are_cut_at_bytes(spark):
     text = "aé漢😀z"
-    got = spark.createDataFrame([(text,), ("",)], "m string").select(T.byte_chunks(F.col("m"), 2).alias("c")).collect()
+    df = split_oversize(spark.createDataFrame([(1, text), (2, ""), (3, " \t\x00"), (4, "\u00a0")], "k int, message string"), 2)
+    got = {}
+    for r in df.orderBy("k", "chunk_no").collect():
+        got.setdefault(r.k, []).append((r["size"], r.message, r.emit))
     data = text.encode()
-    assert [(c["size"], c.message) for c in got[0].c] == [
-        (len(data[i : i + 2]), data[i : i + 2].decode("utf-8", "replace")) for i in range(0, len(data), 2)
+    assert got[1] == [
+        (len(data[i : i + 2]), data[i : i + 2].decode("utf-8", "replace"), True) for i in range(0, len(data), 2)
     ]
-    assert [(c["size"], c.message) for c in got[1].c] == [(0, "")]
+    assert got[2] == [(0, "", False)]
+    assert [e for *_, e in got[3]] == [False, False] and [e for *_, e in got[4]] == [True]
