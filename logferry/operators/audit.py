@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logferry.operators.ordering import positions
+from logferry.operators.ordering import positions, running
 
 SEQ_PATTERN = r"\(seq: (\d+)\)"
 
@@ -32,10 +32,11 @@ def count_check(delivered: DataFrame, expected: DataFrame, keys: Sequence[str])
 
 
 def gaps_and_duplicates(events: DataFrame, keys: Sequence[str], message: str = "message", part: int = 4096) -> DataFrame:
-    """Numbers 1..max that are missing or occur more than once: (keys, seq, problem, n).
+    """Numbers from 1 on that are missing or occur more than once.
 
-    Events carry ``(seq: n)``. Numbers are counted first and then compared in ranges of ``part``, so
-    no key is ever gathered in one place.
+    Events carry ``(seq: n)``. Rows: keys, from_seq, to_seq, problem, n. A gap is one row however wide
+    it is, so a single wrong number cannot blow up the result. Numbers are counted first, and their
+    neighbours found in ranges of ``part`` numbers, so no key is gathered in one place.
     """
     seq = F.regexp_extract(message, SEQ_PATTERN, 1).try_cast("bigint")
     counts = (
@@ -43,20 +44,14 @@ def gaps_and_duplicates(events: DataFrame, keys: Sequence[str], message: str = "
             F.count(F.lit(1)).alias("n")
         )
     )
-    duplicates = counts.where("n > 1").select(*keys, "seq", F.lit("duplicate").alias("problem"), "n")
-    ranges = counts.groupBy(*keys).agg(F.max("seq").alias("_top")).select(
-        *keys, "_top", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_top") / part))).alias("_part")
+    duplicate = F.when(F.col("n") > 1, F.struct(F.col("seq").alias("from_seq"), F.col("seq").alias("to_seq"), F.lit("duplicate").alias("problem"), F.col("n").alias("n")))
+    before = F.coalesce("_before", F.lit(0).cast("bigint"))
+    missing = F.when(F.col("seq") - before > 1, F.struct((before + 1).alias("from_seq"), (F.col("seq") - 1).alias("to_seq"), F.lit("missing").alias("problem"), F.lit(0).cast("bigint").alias("n")))
+    placed = running(
+        counts.withColumn("_part", F.floor(F.col("seq") / part)), list(keys), [F.col("seq")],
+        {"_before": ("max", F.col("seq"))}, [["_part"]], through_current=False,
     )
-    seen = counts.groupBy(*keys, F.floor(F.col("seq") / part).alias("_part")).agg(F.collect_list("seq").alias("_seen"))
-    low = F.greatest(F.col("_part") * part, F.lit(1))
-    high = F.least(F.col("_part") * part + (part - 1), F.col("_top"))
-    wanted = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
-    missing = (
-        ranges.join(seen, [*keys, "_part"], "left")
-        .select(*keys, F.explode(F.array_except(wanted, F.coalesce("_seen", F.array().cast("array<bigint>")))).alias("seq"))
-        .select(*keys, "seq", F.lit("missing").alias("problem"), F.lit(0).cast("bigint").alias("n"))
-    )
-    return duplicates.unionByName(missing)
+    return placed.select(*keys, F.inline_outer(F.array_compact(F.array(duplicate, missing)))).where("problem is not null")
 
 
 def order_breaks(events: DataFrame, keys: Sequence[str], order: Sequence[str], message: str = "message") -> DataFrame:

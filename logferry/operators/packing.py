@@ -256,10 +256,17 @@ def within_span(events: DataFrame, keys, order, blocks, span: dt.timedelta = S.M
     return df.withColumn("fits", F.col("ts") <= F.col("first_ts") + F.lit(span))
 
 
-def sort_events(events: DataFrame, tie: Sequence[str], keys=("log_group", "log_stream")) -> DataFrame:
-    """Add ``nth``, the place of an event by time in its stream (or stream batch)."""
+def sort_events(
+    events: DataFrame, tie: Sequence[str], keys=("log_group", "log_stream"), fine: Sequence[str] = ()
+) -> DataFrame:
+    """Add ``nth``, the place of an event by time in its stream (or stream batch).
+
+    ``tie`` orders events of the same time. Where very many share one time, as records without a
+    timestamp do, name the leading tie columns of a file in ``fine``, and files become the blocks.
+    """
     df = events.withColumn("_hour", F.date_trunc("hour", "ts"))
-    return positions(df, list(keys), [F.col("ts"), *[F.col(c) for c in tie]], "nth", [["_hour"]]).drop("_hour")
+    levels = [["_hour"], *([["_hour", "ts", *fine]] if fine else [])]
+    return positions(df, list(keys), [F.col("ts"), *[F.col(c) for c in tie]], "nth", levels).drop("_hour")
 
 
 def merge_files(events: DataFrame, keys=("component",), order=("mtime", "path", "start_off", "chunk_no")) -> DataFrame:

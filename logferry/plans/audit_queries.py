@@ -47,11 +47,12 @@ _NUMBERED = "numbered as (select 'comp' || (user_id % 10) as component, event_id
 
 
 @query("gaps_and_duplicates", with_sql(_NUMBERED, final="""
-  select component, seq, 'duplicate' as problem, count(*) as n from numbered group by 1, 2 having count(*) > 1
+  select component, seq as from_seq, seq as to_seq, 'duplicate' as problem, count(*) as n
+  from numbered group by component, seq having count(*) > 1
   union all
-  select component, seq, 'missing', 0 from (
-    select component, unnest(generate_series(1, max(seq))) as seq from numbered group by component)
-  anti join numbered using (component, seq)"""))
+  select component, before + 1, seq - 1, 'missing', 0 from (
+    select component, seq, coalesce(lag(seq) over (partition by component order by seq), 0) as before
+    from (select distinct component, seq from numbered)) where seq - before > 1"""))
 def gaps_and_duplicates(spark, sf_dir):
     return A.gaps_and_duplicates(numbered(spark, sf_dir), ["component"], part=64)
 

@@ -70,7 +70,7 @@ def find_files(spark: SparkSession, rules: DataFrame) -> DataFrame:
     """Files selected by the rules, with fingerprint, one owner each, and ``is_active``."""
     # The rules are configuration; their directories are what Spark needs to know to list them.
     directories = sorted(r.dir for r in rules.select("dir").distinct().toLocalIterator())
-    listed = list_files(spark, existing_directories(spark, directories))
+    listed = list_files(spark, directories)
     selected = FL.match_rules(listed, rules)
     seen = inspect_files(selected).withColumn("fingerprint", FL.fingerprint(F.col("head"))).drop("head")
     return FL.active_file(FL.dedupe_fingerprint(FL.eligible_files(seen)).drop("n_copies"))
@@ -78,9 +78,13 @@ def find_files(spark: SparkSession, rules: DataFrame) -> DataFrame:
 
 def read_records(work: DataFrame, rules: DataFrame, settings: Settings) -> DataFrame:
     """Records of the files to be read, all of them, across range borders."""
+    # One number decides how many tasks read; the work itself stays distributed.
+    n_bytes = work.agg(F.sum(F.col("read_end") - F.col("position"))).first()[0] or 0
+    least = int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(least, -(-n_bytes // settings.task_bytes))
     own = rules.select("component", "start_regex")
     keep = ["component", "fingerprint", "path", "mtime", "is_active", "position", "chunk_no"]
-    blocks = read_blocks(work, keep, settings.range_bytes).join(own, "component")
+    blocks = read_blocks(work, keep, settings.range_bytes, tasks).join(own, "component")
     records = R.reassemble_records(blocks, F.col("start_regex"), joiner=settings.joiner, keep=keep)
     return R.stitch_records(records, ["component", "path"], settings.joiner)
 

@@ -32,17 +32,19 @@ def with_sql(*ctes: str, final: str) -> str:
     return "with " + ",\n".join(ctes) + "\n" + final
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write a frame that several branches read, and go on from the written table.
-
-    It goes to the shared folder the session names in ``spark.checkpoint.dir``; only where none is
-    named, as in tests, to a temporary one. Branches then read just the columns they need.
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the shared one the session names in ``spark.checkpoint.dir``; only where
+    none is named, as in tests, a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logferry-")
-    path = f"{root.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a frame that several branches read, and go on from the written table, of which each
+    branch reads just the columns it needs."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def millis(name: str, alias: str | None = None):
@@ -220,12 +222,17 @@ _RAW = """
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines: JSON with the key ``Level``, or text with a leading timestamp."""
+    return raw_lines(table(spark, sf_dir, "events"))
+
+
+def raw_lines(events: DataFrame) -> DataFrame:
+    """Rows of the events table as log lines; also for streams."""
     sql = _RAW.format(
         stamp="""date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS")""",
         millis="unix_millis(cast(ts as timestamp))",
         events="{events}",
     ).replace("{\"Level", "{{\"Level").replace("\"}')", "\"}}')")
-    return spark.sql(sql, events=table(spark, sf_dir, "events"))
+    return events.sparkSession.sql(sql, events=events)
 
 
 RAW_EVENTS = "raw_events as (" + _RAW.format(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # --- Fixed values -----------------------------------------------------------------------------
 # These must stay as they are for results to agree with existing deployments.
@@ -59,11 +59,12 @@ class Settings:
     joiner: str = ""
     # Bytes of log text one task handles as a unit; ranges are cut at line starts.
     range_bytes: int = 8 * 1024 * 1024
+    # Bytes of log text one reading task goes through, range after range.
+    task_bytes: int = 256 * 1024 * 1024
     # Events one packing task handles as a unit.
     pack_block: int = 1 << 19
     hold_last_line: bool = True
     hold_last_record: bool = False
-    extra: dict = field(default_factory=dict)
 
     @property
     def as_of_ms(self) -> int:

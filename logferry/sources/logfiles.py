@@ -18,36 +18,36 @@ from logferry.sources.byteranges import Files, complete_end, line_start
 _FLUSH_BYTES = 16 << 20
 
 
-def existing_directories(spark: SparkSession, directories: Sequence[str]) -> list[str]:
-    """Those of the directories that exist, asked from the file system Spark would use."""
+def existing_directories(spark: SparkSession, directories: Sequence[str]) -> dict[str, str]:
+    """Those of the directories that exist, with the URI Spark lists them under."""
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    found = []
+    found = {}
     for d in directories:
         path = jvm.org.apache.hadoop.fs.Path(d)
         system = path.getFileSystem(conf)
         if system.exists(path) and system.getFileStatus(path).isDirectory():
-            found.append(d)
+            found[d] = system.makeQualified(path).toString()
     return found
 
 
 def list_files(spark: SparkSession, directories: Sequence[str]) -> DataFrame:
-    """Files directly in the given directories: path, name, dir, mtime, length. Reads no content."""
-    frames = []
-    for d in directories:
-        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(d)
-        frames.append(
-            listed.select(
-                "path",
-                F.regexp_extract("path", r"([^/]*)$", 1).alias("name"),
-                F.lit(d).alias("dir"),
-                F.col("modificationTime").alias("mtime"),
-                "length",
-            )
-        )
-    empty = spark.createDataFrame([], "path string, name string, dir string, mtime timestamp, length bigint")
-    for frame in frames:
-        empty = empty.unionByName(frame)
-    return empty
+    """Files directly in those of the directories that exist: path, name, dir, mtime, length.
+
+    Only metadata is read. All directories are listed by one scan, which Spark spreads over the
+    cluster if there are many; one with ``=`` in its path would be taken for a partition and is
+    listed by itself.
+    """
+    found = existing_directories(spark, directories)
+    names = spark.createDataFrame([(d, uri) for d, uri in found.items()], "dir string, _uri string")
+    groups = [[d for d in found if "=" not in d], *[[d] for d in found if "=" in d]]
+    listed = spark.createDataFrame([], "path string, mtime timestamp, length bigint")
+    for group in filter(None, groups):
+        scan = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(group)
+        listed = listed.unionByName(scan.select("path", F.col("modificationTime").alias("mtime"), "length"))
+    listed = listed.withColumn("_uri", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
+    return listed.join(names, "_uri").select(
+        "path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "dir", "mtime", "length"
+    )
 
 
 def inspect_files(files: DataFrame, tasks: int | None = None) -> DataFrame:

@@ -46,8 +46,8 @@ def test_listing_and_inspection(spark, tmp_path):
     (tmp_path / "a.log").write_text("one\ntwo\nthr")
     (tmp_path / "b.txt").write_text("one\n")
     dirs = existing_directories(spark, [str(tmp_path), str(tmp_path / "nowhere")])
-    assert dirs == [str(tmp_path)]
-    found = FL.discover_files(list_files(spark, dirs), F.lit(str(tmp_path)), F.lit("log$"))
+    assert list(dirs) == [str(tmp_path)]
+    found = FL.discover_files(list_files(spark, [str(tmp_path), str(tmp_path / "nowhere")]), F.lit(str(tmp_path)), F.lit("log$"))
     rows = inspect_files(found).collect()
     assert [(r.name, r.length, bytes(r.head), r.complete_end) for r in rows] == [("a.log", 11, b"one\ntwo\nthr", 8)]
 
