@@ -77,7 +77,8 @@ def ingest_rate(spark, sf_dir):
   select o.component, count(*) as n_before, count(*) - count(p.path) as n_after
   from owned o left join plan p on p.component = o.component and p.path = o.path group by o.component"""))
 def files_remaining(spark, sf_dir):
-    return A.files_remaining(V.owned(spark, sf_dir), SQ.plan(spark, sf_dir))
+    owned = V.owned(spark, sf_dir)
+    return A.files_remaining(owned, SQ.plan(spark, sf_dir, owned))
 
 
 @query("byte_conservation", with_sql(V.FILES, V.LINES, final="""

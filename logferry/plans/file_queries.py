@@ -90,7 +90,8 @@ _RESUMED = """resumed as (
 @query("resume_positions", with_sql(V.FILES, V.PRINTS, V.OWNED, V.CHECKPOINT, _RESUMED, final="""
   select component, path, position, status from resumed"""))
 def resume_positions(spark, sf_dir):
-    return FL.resume_positions(V.owned(spark, sf_dir), V.checkpoint(spark, sf_dir)).select(
+    owned = V.owned(spark, sf_dir)
+    return FL.resume_positions(owned, V.checkpoint(spark, sf_dir, owned)).select(
         "component", "path", "position", "status"
     )
 
@@ -98,7 +99,8 @@ def resume_positions(spark, sf_dir):
 @query("skip_consumed", with_sql(V.FILES, V.PRINTS, V.OWNED, V.CHECKPOINT, _RESUMED, final="""
   select component, path, length - position as bytes_left from resumed where length > 0 and position < length"""))
 def skip_consumed(spark, sf_dir):
-    files = FL.resume_positions(V.owned(spark, sf_dir), V.checkpoint(spark, sf_dir))
+    owned = V.owned(spark, sf_dir)
+    files = FL.resume_positions(owned, V.checkpoint(spark, sf_dir, owned))
     return FL.skip_consumed(files).select("component", "path", (F.col("length") - F.col("position")).alias("bytes_left"))
 
 

@@ -20,16 +20,10 @@ def _now():
     return F.timestamp_millis(F.lit(_NOW))
 
 
-def reads(spark, sf_dir):
-    """Files with bytes left, read to their end."""
-    files = FL.skip_consumed(FL.resume_positions(V.owned(spark, sf_dir), V.checkpoint(spark, sf_dir)))
-    return files.withColumn("read_end", F.col("length"))
-
-
-def progress(spark, sf_dir):
+def progress(reads):
     """What is left of a file goes to four streams, a quarter of the bytes each."""
-    quarter = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")
-    df = reads(spark, sf_dir).select("component", "fingerprint", "position", "length", "lang", quarter)
+    quarter = F.explode_outer(F.sequence(F.lit(0), F.lit(3))).alias("i")
+    df = reads.select("component", "fingerprint", "position", "length", "lang", quarter)
     return df.select(
         "component", "fingerprint",
         (F.col("position") + F.floor((F.col("length") - F.col("position")) * F.col("i") / 4)).alias("start_off"),
@@ -40,15 +34,25 @@ def progress(spark, sf_dir):
     )
 
 
-def delivery(spark, sf_dir):
+def delivery(parts):
     """Some streams of some components were not delivered."""
-    streams = progress(spark, sf_dir).select("log_group", "log_stream", "batch_no").distinct()
+    streams = parts.select("log_group", "log_stream", "batch_no").distinct()
     n = F.substring("log_group", 4, 10).cast("int") + F.expr("right(log_stream, 1)").cast("int")
     return streams.withColumn("delivered", n % 5 != 0)
 
 
+def state(spark, sf_dir):
+    """The checkpoint before a cycle, and the new position of each file the cycle has read."""
+    owned = V.owned(spark, sf_dir)
+    saved = V.checkpoint(spark, sf_dir, owned)
+    reads = FL.skip_consumed(FL.resume_positions(owned, saved)).withColumn("read_end", F.col("length"))
+    reads = V.settle(reads)
+    parts = progress(reads)
+    return saved, C.delivered_positions(parts, delivery(parts), reads)
+
+
 def positions(spark, sf_dir):
-    return C.delivered_positions(progress(spark, sf_dir), delivery(spark, sf_dir), reads(spark, sf_dir))
+    return state(spark, sf_dir)[1]
 
 
 _POSITIONS = """reads as (
@@ -74,7 +78,7 @@ positions as (
       anti join positions using (component, fingerprint))
   where not done"""))
 def advance_checkpoint(spark, sf_dir):
-    df = C.advance_checkpoint(V.checkpoint(spark, sf_dir), positions(spark, sf_dir), _now())
+    df = C.advance_checkpoint(*state(spark, sf_dir), _now())
     return df.select("component", "fingerprint", "path", "position", "chunk_no", millis("last_accessed", "accessed_ms"))
 
 
@@ -104,8 +108,9 @@ def evict_stale(spark, sf_dir):
   from checkpoint c join owned o using (component, fingerprint) left join watermark w on w.component = c.component"""))
 def touch_accessed(spark, sf_dir):
     """Files after the watermark are looked up."""
-    looked_up = FL.unprocessed_files(V.owned(spark, sf_dir), V.watermark(spark, sf_dir))
-    return C.touch_accessed(V.checkpoint(spark, sf_dir), looked_up, _now()).select(
+    owned = V.owned(spark, sf_dir)
+    looked_up = FL.unprocessed_files(owned, V.watermark(spark, sf_dir))
+    return C.touch_accessed(V.checkpoint(spark, sf_dir, owned), looked_up, _now()).select(
         "component", "fingerprint", millis("last_accessed", "accessed_ms")
     )
 
@@ -119,9 +124,9 @@ def most_recent_entry(spark, sf_dir):
     )
 
 
-def entries_of(spark, sf_dir):
+def entries_of(owned):
     """English and French files, read to their end now."""
-    return V.owned(spark, sf_dir).where("lang in ('en', 'fr')").select(
+    return owned.where("lang in ('en', 'fr')").select(
         "component", "fingerprint", "path", F.col("length").alias("position"), F.lit(0).alias("chunk_no"), "mtime",
         _now().alias("last_accessed"),
     )
@@ -134,20 +139,23 @@ _PUT = "put as (select component, fingerprint, path, length as position from own
   select component, fingerprint, position from put union all
   select component, fingerprint, position from checkpoint anti join put using (component, fingerprint)"""))
 def upsert_entries(spark, sf_dir):
-    return C.upsert_entries(V.checkpoint(spark, sf_dir), entries_of(spark, sf_dir)).select("component", "fingerprint", "position")
+    owned = V.owned(spark, sf_dir)
+    return C.upsert_entries(V.checkpoint(spark, sf_dir, owned), entries_of(owned)).select("component", "fingerprint", "position")
 
 
 @query("put_if_absent", with_sql(*_STATE, _PUT, final="""
   select component, fingerprint, position from checkpoint union all
   select component, fingerprint, position from put anti join checkpoint using (component, fingerprint)"""))
 def put_if_absent(spark, sf_dir):
-    return C.put_if_absent(V.checkpoint(spark, sf_dir), entries_of(spark, sf_dir)).select("component", "fingerprint", "position")
+    owned = V.owned(spark, sf_dir)
+    return C.put_if_absent(V.checkpoint(spark, sf_dir, owned), entries_of(owned)).select("component", "fingerprint", "position")
 
 
 @query("remove_entries", with_sql(*_STATE, _PUT, final="""
   select component, fingerprint, position from checkpoint anti join put using (component, fingerprint)"""))
 def remove_entries(spark, sf_dir):
-    return C.remove_entries(V.checkpoint(spark, sf_dir), entries_of(spark, sf_dir)).select("component", "fingerprint", "position")
+    owned = V.owned(spark, sf_dir)
+    return C.remove_entries(V.checkpoint(spark, sf_dir, owned), entries_of(owned)).select("component", "fingerprint", "position")
 
 
 @query("export_entries", with_sql(*_STATE, final="""
@@ -173,10 +181,12 @@ legacy as (select component, max(path) as path, cast(10 as bigint) as position f
     anti join checkpoint c on c.component = l.component and c.fingerprint = i.fingerprint"""))
 def import_legacy_state(spark, sf_dir):
     """One old entry per component: a path and a position, without a fingerprint."""
+    identified = V.settle(V.identified(spark, sf_dir))
     legacy = V.files(spark, sf_dir).groupBy("component").agg(F.max("path").alias("path")).select(
         "component", "path", F.lit(10).cast("bigint").alias("position"), F.lit(None).cast("string").alias("fingerprint")
     )
-    return C.import_legacy_state(V.checkpoint(spark, sf_dir), legacy, V.identified(spark, sf_dir)).select(
+    saved = V.checkpoint(spark, sf_dir, FL.dedupe_fingerprint(identified))
+    return C.import_legacy_state(saved, legacy, identified).select(
         "component", "fingerprint", "path", "position"
     )
 
@@ -247,13 +257,13 @@ def component_usage(spark, sf_dir):
     return RT.component_usage(V.owned(spark, sf_dir))
 
 
-def plan(spark, sf_dir):
-    return RT.retention_plan(V.owned(spark, sf_dir), V.watermark(spark, sf_dir), V.rules(spark, sf_dir))
+def plan(spark, sf_dir, owned):
+    return RT.retention_plan(owned, V.watermark(spark, sf_dir), V.rules(spark, sf_dir))
 
 
 @query("retention_plan", with_sql(*_RETAIN, final="select component, path, length from plan"))
 def retention_plan(spark, sf_dir):
-    return plan(spark, sf_dir).select("component", "path", "length")
+    return plan(spark, sf_dir, V.owned(spark, sf_dir)).select("component", "path", "length")
 
 
 @query("delete_after_delivery", with_sql(*_STATE, _POSITIONS, V.RULES, final="""
@@ -270,4 +280,5 @@ def delete_after_delivery(spark, sf_dir):
 @query("apply_retention", with_sql(*_RETAIN, final="""
   select component, path, length from owned anti join plan using (component, path)"""))
 def apply_retention(spark, sf_dir):
-    return RT.apply_retention(V.owned(spark, sf_dir), plan(spark, sf_dir)).select("component", "path", "length")
+    owned = V.owned(spark, sf_dir)
+    return RT.apply_retention(owned, plan(spark, sf_dir, owned)).select("component", "path", "length")

@@ -93,8 +93,9 @@ identified as (select * from prints where fingerprint is not null)"""
 
 
 def owned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identified files, one per fingerprint, with ``is_active``."""
-    return FL.active_file(FL.dedupe_fingerprint(identified(spark, sf_dir)))
+    """Identified files, one per fingerprint, with ``is_active``; metadata only, and written once, as
+    in a cycle."""
+    return settle(FL.active_file(FL.dedupe_fingerprint(settle(identified(spark, sf_dir)))))
 
 
 OWNED = """owned as (
@@ -153,9 +154,13 @@ WATERMARK = f"""watermark as (
   from documents where {_NUM} % 4 <> 0 group by source)"""
 
 
-def checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Saved positions: French files half read, German ones to the end, Spanish ones beyond it."""
-    owners = FL.dedupe_fingerprint(identified(spark, sf_dir)).where("lang <> 'en'")
+def checkpoint(spark: SparkSession, sf_dir: str, owners: DataFrame | None = None) -> DataFrame:
+    """Saved positions: French files half read, German ones to the end, Spanish ones beyond it.
+
+    ``owners`` are the :func:`owned` files, if the caller has them already.
+    """
+    owners = FL.dedupe_fingerprint(identified(spark, sf_dir)) if owners is None else owners
+    owners = owners.where("lang <> 'en'")
     position = (
         F.when(F.col("lang") == "fr", F.floor(F.col("length") / 2))
         .when(F.col("lang") == "de", F.col("length"))
