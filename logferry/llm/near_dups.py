@@ -55,7 +55,10 @@ def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, registers: int = REGISTERS, bands: int = BANDS) -> DataFrame:
-    """doc_id, digest of the words, and band keys (none if there is no word); shingles weigh their count."""
+    """doc_id, digest of the words, band keys and a byte of each register; no keys if there is no word.
+
+    A shingle weighs 1 + ln(its count).
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -68,16 +71,18 @@ def fingerprints(docs: DataFrame, registers: int = REGISTERS, bands: int = BANDS
                 sets = [np.unique(shingles(w), return_counts=True) for w in words]
                 doc = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
                 items = np.concatenate([s[0] for s in sets])
-                weights = np.concatenate([s[1] for s in sets]).astype(np.float64)
-                keys = band_keys(prob_min_hash(items, weights, doc, len(sets), registers), bands)
+                weights = 1 + np.log(np.concatenate([s[1] for s in sets]))
+                signs = prob_min_hash(items, weights, doc, len(sets), registers)
                 digests = [xxhash.xxh3_128_digest(" ".join(w).encode("utf-8", "surrogatepass")) for w in words]
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, b - a), pa.array(digests, pa.binary()),
-                     pa.array([k if w else None for k, w in zip(keys, words)], pa.list_(pa.int64()))],
-                    names=["doc_id", "digest", "keys"],
+                     pa.array([k if w else None for k, w in zip(band_keys(signs, bands), words)], pa.list_(pa.int64())),
+                     pa.array([s.tobytes() for s in signs.astype(np.uint8)], pa.binary())],
+                    names=["doc_id", "digest", "keys", "sign"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, digest binary, keys array<bigint>")
+    schema = "doc_id bigint, digest binary, keys array<bigint>, sign binary"
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _judge(threshold: float):
@@ -95,27 +100,20 @@ def _judge(threshold: float):
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, registers: int = REGISTERS, bands: int = BANDS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, class_id, is_kept.
 
-    Documents with the same words are one text. Texts that share a band key are candidates; they are
-    linked if the Jaccard similarity of their five-word shingles, counted on the texts, is at least
-    ``threshold``; a class is what links connect, named by its smallest doc_id, the one that is kept.
-
-    In a bucket of a band all members are compared with a leader, the text that shares most buckets
-    with others; members it does not match choose a leader among themselves, and that one is again
-    compared with all members, until every member has matched a leader or been one. Work per leader is
-    linear in the bucket, no pairs of a bucket are listed.
+    Documents with the same words are one text. Texts that share a band key are candidates
+    (:func:`candidates`); they are linked if the Jaccard similarity of their five-word shingles, counted
+    on the texts, is at least ``threshold``; a class is what links connect, named by its smallest
+    doc_id, the one that is kept.
 
     NULL, empty and blank texts are never linked: each stays, as its own class. Repeated rows are copies.
     Columns other than doc_id and text are not read.
     """
     prints = checkpointed(fingerprints(docs, registers, bands))
-    texts = prints.where("keys is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "keys")).alias("r"))
-    texts = checkpointed(texts.select("digest", F.col("r.doc_id").alias("rep"), F.col("r.keys").alias("keys")))
-    banded = texts.select(F.col("rep").alias("id"), F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = checkpointed(banded.join(shared, "key").distinct())
-    degree = members.groupBy("id").agg(F.sum("n").alias("degree"))
-    members = checkpointed(members.drop("n").join(degree, "id"))
-    links = linked(members, docs, threshold)
+    texts = prints.where("keys is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "keys", "sign")).alias("r"))
+    texts = checkpointed(texts.select("digest", F.col("r.doc_id").alias("rep"), "r.keys", "r.sign"))
+    edges = checkpointed(candidates(texts, threshold, registers, bands))
+    found = compare_texts(edges, docs, _judge(threshold), "similarity double")
+    links = found.select(F.greatest("leader", "member").alias("a"), F.least("leader", "member").alias("b"))
 
     roots = components(links)
     classes = texts.select("digest", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
@@ -126,26 +124,69 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, registers: int = RE
     return out.select("doc_id", class_id.alias("class_id"), (F.col("doc_id") == class_id).alias("is_kept"))
 
 
-def linked(members: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Verified links (a, b) among ``members`` (id, key, degree)."""
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = checkpointed(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"))
-    pending, links, compared = members, None, None
-    while not pending.isEmpty():
-        lead = pending.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("i"))).alias("l"))
-        lead = checkpointed(lead.select("key", (-F.col("l.i")).alias("leader")))
-        edges = members.join(lead, "key").where("id <> leader").select("leader", F.col("id").alias("member")).distinct()
-        if compared is not None:
-            edges = edges.join(compared, ["leader", "member"], "left_anti")
-        edges = checkpointed(edges)
-        found = checkpointed(compare_texts(edges, texts, _judge(threshold), "similarity double").distinct())
-        both = [found.select(F.col(x).alias("leader"), F.col(y).alias("member")) for x, y in (("leader", "member"), ("member", "leader"))]
-        done = [edges, edges.select(F.col("member").alias("leader"), F.col("leader").alias("member"))]
-        links = both[0].union(both[1]) if links is None else links.union(both[0]).union(both[1])
-        compared = done[0].union(done[1]) if compared is None else compared.union(done[0]).union(done[1])
-        left = pending.join(lead, "key").where("id <> leader")
-        left = left.join(links.select("leader", F.col("member").alias("id")), ["leader", "id"], "left_anti")
-        pending = checkpointed(left.select("key", "id", "degree"))
-    if links is None:
-        return members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    return links.select(F.col("leader").alias("a"), F.col("member").alias("b"))
+def candidates(texts: DataFrame, threshold: float, registers: int, bands: int) -> DataFrame:
+    """Pairs (leader, member) of ``texts`` (rep, keys, sign) to be verified, at most a few per text and band.
+
+    The texts of a bucket (a band key) are sorted by their key in the next band, so that those most alike
+    stand together, and dealt by ranges of that order, however large a bucket is. A task cuts its rows
+    into blocks. In a block every text is compared by signature with every other, and paired with the
+    ``best`` that agree most among those before it; and with the leader of its bucket, the text that
+    shares most buckets with others, which ties the blocks together. Pairs whose signatures agree so
+    little that a similarity of ``threshold`` lies five standard deviations off are left out.
+    """
+    block, best = 1024, 3
+    least = int(registers * threshold - 5 * (registers * threshold * (1 - threshold)) ** 0.5)
+    banded = texts.select(F.col("rep").alias("id"), F.posexplode("keys").alias("pos", "key"), "keys")
+    following = F.element_at("keys", F.pmod(F.col("pos") + 1, F.lit(bands)) + 1)
+    banded = banded.select("id", "key", following.alias("next"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = checkpointed(banded.join(shared, "key"))
+    signs = texts.select(F.col("rep").alias("id"), "sign")
+    degree = members.groupBy("id").agg(F.sum("n").alias("degree")).join(signs, "id")
+    members = checkpointed(members.drop("n").join(degree, "id"))
+    lead = members.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"), "sign")).alias("l"))
+    lead = lead.select("key", (-F.col("l.minus")).alias("leader"), F.col("l.sign").alias("leader_sign"))
+    rows = checkpointed(members.join(lead, "key"))
+    rows = rows.repartitionByRange("key", "next", "id").sortWithinPartitions("key", "next", "id")
+
+    def pair(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            key, degree, ids, leader = (batch.column(c).to_numpy() for c in ("key", "degree", "id", "leader"))
+            sign, lead_sign = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, registers) for c in ("sign", "leader_sign")
+            )
+            star = (leader != ids) & ((sign == lead_sign).sum(1) >= least)
+            pairs = [np.stack([leader[star], ids[star]])]
+            borders = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            for begin, end in zip(borders, borders[1:]):
+                for a in range(begin, end, block):
+                    b = min(a + block, end)
+                    if b - a < 2 or (b - a == 2 and star[a:b].any()):
+                        continue
+                    at = a + np.lexsort((ids[a:b], -degree[a:b]))
+                    s, n = sign[at], b - a
+                    alike = np.zeros((n, n), np.int16)
+                    for r in range(registers):
+                        alike += s[:, r, None] == s[None, :, r]
+                    alike[np.triu_indices(n)] = 0
+                    for _ in range(min(best, n - 1)):
+                        top = alike.argmax(1)
+                        good = alike[np.arange(n), top] >= least
+                        pairs.append(np.stack([ids[at[top[good]]], ids[at[good]]]))
+                        alike[np.arange(n), top] = 0
+            pairs = np.concatenate(pairs, 1)
+            pairs = np.unique(np.stack([pairs.min(0), pairs.max(0)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["low", "high"])
+
+    pairs = rows.select("key", "next", "id", "degree", "sign", "leader", "leader_sign").mapInArrow(pair, "low bigint, high bigint").distinct()
+    # The side with more pairs leads, as its text then travels once for many.
+    often = checkpointed(degree.select("id", "degree"))
+    for side in ("low", "high"):
+        pairs = pairs.join(often.withColumnsRenamed({"id": side, "degree": f"{side}_degree"}), side)
+    first = F.col("low_degree") >= F.col("high_degree")
+    return pairs.select(
+        F.when(first, F.col("low")).otherwise(F.col("high")).alias("leader"),
+        F.when(first, F.col("high")).otherwise(F.col("low")).alias("member"),
+    )
