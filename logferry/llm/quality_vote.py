@@ -9,9 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PER_LABEL, RANK, NEIGHBOURS, CUT = 1000, 48, 25, 0.7  # PER_LABEL bounds the labelled sample
-_KINDS, _RATIOS, _SIZES = 16, 24, 16
-TERMS = _KINDS**3 + _RATIOS + _SIZES
+PER_LABEL, RANK, NEIGHBOURS, SHARPNESS, CUT = 2000, 48, 25, 30, 0.7  # PER_LABEL bounds the labelled sample
+_KINDS, _RATIOS = 16, 24
+TERMS = _KINDS**3 + _RATIOS
 
 
 def _kinds() -> np.ndarray:
@@ -27,17 +27,16 @@ _KIND = _kinds()
 
 
 def terms(text: str | None) -> np.ndarray:
-    """Counts of the terms of a whole text: triples of kinds of bytes, how far it can be compressed, its size."""
+    """Counts of the terms of a whole text: triples of kinds of bytes, how far it can be compressed."""
     data = (text or "").encode("utf-8", "surrogatepass")
     out = np.zeros(TERMS, np.float32)
     if data:
         k = _KIND[np.frombuffer(data, np.uint8)]
         if len(k) > 2:
             out[: _KINDS**3] = np.bincount((k[:-2] << 8) | (k[1:-1] << 4) | k[2:], minlength=_KINDS**3)
-        ratio = len(zlib.compress(data, 1)) / (len(data) + 8)
-        weight = 4 + np.log1p(len(data))
-        out[_KINDS**3 + min(_RATIOS - 1, int(ratio * _RATIOS))] = weight * 3
-        out[_KINDS**3 + _RATIOS + min(_SIZES - 1, int(np.log2(len(data))))] = weight
+        if len(data) >= 100:  # shorter texts can't be compressed, whatever they say
+            ratio = len(zlib.compress(data, 1)) / (len(data) + 8)
+            out[_KINDS**3 + min(_RATIOS - 1, int(ratio * _RATIOS))] = 6
     return out
 
 
@@ -61,7 +60,7 @@ class Voters:
         alike = self.vectors_of(np.stack([terms(t) for t in texts])) @ self.vectors.T
         k = min(NEIGHBOURS, len(self.labels))
         top = np.argpartition(-alike, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(alike, top, 1), 1e-6) ** 8
+        weight = np.maximum(np.take_along_axis(alike, top, 1), 1e-6) ** SHARPNESS
         return np.clip((weight * self.labels[top]).sum(1) / weight.sum(1), 0, 1)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logferry.llm import language, near_dups, packing, passages, quality_vote, urls
+from logferry.llm import language, near_dups, packing, passages, quality_rules, quality_vote, secrets, urls
 from logferry.llm.common import table
 from logferry.plans.registry import query
 
@@ -31,6 +31,11 @@ def op1_urls(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"), urls.entries(spark, URL_RULES, BLOCKED_HOSTS))
 
 
+@query("op2_quality_rules", quality_rules.ORACLE)
+def op2_quality_rules(spark, sf_dir):
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
 @query("op3_quality_vote")
 def op3_quality_vote(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -38,6 +43,13 @@ def op3_quality_vote(spark, sf_dir):
     return quality_vote.score(docs, voters).select("doc_id", (fold(4) == 2).alias("held_out"), "score", "predicted")
 
 
+@query("op4_secrets", secrets.ORACLE)
+def op4_secrets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    findings, _ = secrets.update(docs)
+    return secrets.per_path(docs, findings)
+
+
 @query("op5_language")
 def op5_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
