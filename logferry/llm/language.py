@@ -245,3 +245,24 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *columns], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double, cross_entropy double, rejected boolean")
+
+
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` whose text the model does not reject, with all their columns; all without a model.
+
+    Rows are filtered where they are, nothing is shuffled.
+    """
+    if model is None:
+        return docs
+    at = docs.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for a, b in chunks([len(t.as_py() or "") for t in batch.column(at)], 1 << 19):
+                part = batch.slice(a, b - a)
+                rejected = [r[3] for r in model.classify(part.column(at).to_pylist())]
+                yield part.filter(pa.array([not r for r in rejected]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -106,10 +106,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, registers: int = RE
     doc_id, the one that is kept.
 
     NULL, empty and blank texts are never linked: each stays, as its own class. Repeated rows are copies.
-    Columns other than doc_id and text are not read.
+    A row without doc_id stays and has no class. Columns other than doc_id and text are not read.
     """
     prints = checkpointed(fingerprints(docs, registers, bands))
-    texts = prints.where("keys is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "keys", "sign")).alias("r"))
+    texts = prints.where("keys is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "keys", "sign")).alias("r"))
     texts = checkpointed(texts.select("digest", F.col("r.doc_id").alias("rep"), "r.keys", "r.sign"))
     edges = checkpointed(candidates(texts, threshold, registers, bands))
     found = compare_texts(edges, docs, _judge(threshold), "similarity double")
@@ -121,7 +121,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, registers: int = RE
     out = prints.select("doc_id", "digest", F.col("keys").isNotNull().alias("worded"))
     out = out.join(classes, "digest", "left")
     class_id = F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", class_id.alias("class_id"), (F.col("doc_id") == class_id).alias("is_kept"))
+    is_kept = F.col("doc_id").isNull() | (F.col("doc_id") == class_id)
+    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), class_id).alias("class_id"), is_kept.alias("is_kept"))
+
+
+def one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that :func:`near_duplicates` keeps, one for each doc_id; all that have none."""
+    counts = classes.where("doc_id is not null").agg(F.count("*"), F.countDistinct("doc_id")).first()
+    dropped = classes.where(~F.col("is_kept")).select("doc_id").distinct()
+    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    if counts[0] > counts[1]:  # rows of one doc_id
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    return kept
 
 
 def candidates(texts: DataFrame, threshold: float, registers: int, bands: int) -> DataFrame:

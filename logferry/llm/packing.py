@@ -72,21 +72,25 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, keep_ids
 
         encode, end = Encoder.of(tokenizer), np.array([END_ID], "<u4").tobytes()
         names = [c.split()[0] for c in PIECE.split(", ")]
+        schema = pa.schema([(n, pa.int64()) for n in names] + [("ids", pa.list_(pa.int64()))] * keep_ids)
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
         for batch in batches:
-            rows, ids = [], []
+            rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data = encode(text.as_py() or "") + end
                 n = len(data) // 4
                 for start in range(0, n, window):
                     piece = data[4 * start : 4 * (start + window)]
-                    rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), n))
-                    if keep_ids:
-                        ids.append(np.frombuffer(piece, "<u4").astype(np.int64))
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))) | ({"ids": ids} if keep_ids else {}))
-                    rows, ids = [], []
+                    ids = [np.frombuffer(piece, "<u4").astype(np.int64)] if keep_ids else []
+                    rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), n, *ids))
+                    if len(rows) == 20_000:
+                        yield batch_of(rows)
+                        rows = []
             if rows:
-                yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))) | ({"ids": ids} if keep_ids else {}))
+                yield batch_of(rows)
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECE + (", ids array<bigint>" if keep_ids else ""))
 

@@ -239,10 +239,10 @@ def near_duplicate_passages(
     smallest document of its text. A copy of a whole text of ``min_words`` words or more is a passage of
     it (similarity 1), and every copy of a text has the passages of that text.
 
-    NULL, empty and shorter texts have none. Repeated rows are copies of themselves and add no rows.
+    NULL, empty and shorter texts have none, nor have rows without doc_id. Repeated rows are copies of themselves and add no rows.
     Repeats within one document aren't reported. Only doc_id and text are read.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\p{IsWhite_Space}\x1C-\x1F]+"))
     ids = docs.select("doc_id", F.unhex(F.md5("text")).alias("digest"), words.cast("bigint").alias("n_words"))
     ids = checkpointed(ids.where(F.col("n_words") >= min_words))

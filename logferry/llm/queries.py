@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logferry.llm import language, near_dups, packing, passages, quality_rules, quality_vote, secrets, urls
+from logferry.llm import (
+    decontaminate, language, near_dups, packing, passages, quality_rules, quality_vote, quotes, secrets, urls,
+)
 from logferry.llm.common import table
 from logferry.plans.registry import query
 
@@ -70,3 +72,14 @@ def op7_packing(spark, sf_dir):
 @query("op8_near_duplicates")
 def op8_near_duplicates(spark, sf_dir):
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_decontaminate", decontaminate.ORACLE)
+def op9_decontaminate(spark, sf_dir):
+    found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("n_near")
+
+
+@query("op10_quotes", quotes.ORACLE)
+def op10_quotes(spark, sf_dir):
+    return quotes.reply_ordered(table(spark, sf_dir, "conversations"))

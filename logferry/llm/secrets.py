@@ -138,8 +138,8 @@ def redacted(docs: DataFrame, findings: DataFrame, mark: str = "[SECRET]") -> Da
     Overlapping spans become one mark. Texts without findings, NULL and empty ones stay as they are, and
     so do all other columns.
     """
-    own = checkpointed(findings.groupBy(F.col("blob").alias("_blob")).agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("_s")))
-    rows = docs.withColumn("_own", blob_id(F.col("text"))).join(own, F.col("_own") == F.col("_blob"), "left")
+    own = checkpointed(findings.groupBy(F.col("blob").alias("__llm_blob")).agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("__llm_spans")))
+    rows = docs.withColumn("__llm_own", blob_id(F.col("text"))).join(own, F.col("__llm_own") == F.col("__llm_blob"), "left")
     zero = F.lit(0).cast("bigint")
     start = F.struct(F.array().cast("array<string>").alias("out"), zero.alias("at"))
 
@@ -149,9 +149,9 @@ def redacted(docs: DataFrame, findings: DataFrame, mark: str = "[SECRET]") -> Da
         out = F.when(clear, F.concat(s["out"], F.array(before, F.lit(mark)))).otherwise(s["out"])
         return F.struct(out.alias("out"), F.greatest(s["at"], x["stop"]).alias("at"))
 
-    done = F.aggregate("_s", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(F.col("text"), (s["at"] + 1).cast("int"))))
-    text = F.when(F.col("_s").isNull(), F.col("text")).otherwise(done)
-    changed = {"text": text} | ({"n_chars": F.when(F.col("_s").isNull(), F.col("n_chars")).otherwise(F.char_length(text))} if "n_chars" in docs.columns else {})
+    done = F.aggregate("__llm_spans", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(F.col("text"), (s["at"] + 1).cast("int"))))
+    text = F.when(F.col("__llm_spans").isNull(), F.col("text")).otherwise(done)
+    changed = {"text": text} | ({"n_chars": F.when(F.col("__llm_spans").isNull(), F.col("n_chars")).otherwise(F.char_length(text))} if "n_chars" in docs.columns else {})
     types = dict(docs.dtypes)
     return rows.select(*[changed[c].cast(types[c]).alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
 
