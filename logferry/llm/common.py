@@ -122,6 +122,7 @@ def compare_texts(
     ``schema`` describes the returned rows, which follow leader and member.
     """
     counted = edges.groupBy("leader").agg(F.ceil(F.count("*") / per_task).cast("int").alias("salts"))
+    counted = small(checkpointed(counted))  # its own table, so that a join on a frequent leader can be split
     members = edges.join(counted, "leader").select(
         F.col("member").alias("doc_id"), "leader",
         F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"),

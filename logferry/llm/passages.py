@@ -245,9 +245,9 @@ def near_duplicate_passages(
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\p{IsWhite_Space}\x1C-\x1F]+"))
     ids = docs.select("doc_id", F.unhex(F.md5("text")).alias("digest"), words.cast("bigint").alias("n_words"))
-    ids = checkpointed(ids.where(F.col("n_words") >= min_words))
-    texts = ids.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    ids = checkpointed(ids.join(texts, "digest").select("doc_id", "rep", "n_words").distinct())
+    ids = checkpointed(ids.where(F.col("n_words") >= min_words).distinct())
+    texts = checkpointed(ids.groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    ids = checkpointed(ids.join(texts, "digest").select("doc_id", "rep", "n_words"))
 
     pairs = candidates(docs, min_words, hashes)
     for side in ("leader", "member"):
