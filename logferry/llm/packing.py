@@ -200,7 +200,7 @@ def plan(histogram: dict[int, int], bins: int, depth: int = DEPTH) -> list[tuple
     return out
 
 
-def packed(pieces: DataFrame, window: int = WINDOW, width: int = BIN, depth: int = DEPTH, block_rows: int = 200_000) -> DataFrame:
+def packed(pieces: DataFrame, window: int = WINDOW, width: int = BIN, depth: int = DEPTH, block_rows: int = 10_000) -> DataFrame:
     """Add sequence_id and offset to ``pieces``.
 
     Lengths are counted in bins of ``width``; only this histogram (``window / width`` rows) is seen by the
