@@ -59,7 +59,7 @@ def inlined(df: DataFrame, **columns: Column) -> DataFrame:
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a number of words."""
 
-    limit = 400_000
+    limit = 200_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.limit:

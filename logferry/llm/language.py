@@ -191,7 +191,7 @@ def train(
 
         for batch in batches:
             lang, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for a, b in chunks([len(t) for t in texts], 1 << 20):
+            for a, b in chunks([len(t) for t in texts], 1 << 18):
                 by_order, owner, place = grams(texts[a:b], order)
                 who = lang[a:b][owner].astype(np.uint64)
                 parts = []
@@ -214,7 +214,7 @@ def train(
         import pyarrow as pa
 
         for batch in batches:
-            for a, b in chunks([len(t.as_py()) for t in batch.column(1)], 1 << 20):
+            for a, b in chunks([len(t.as_py()) for t in batch.column(1)], 1 << 18):
                 h, n = model.cross_entropy(batch.column(1).slice(a, b - a).to_pylist())
                 lang = batch.column(0).slice(a, b - a).to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int64)), pa.array(h[np.arange(len(h)), lang]), pa.array(n)], names=["lang", "h", "n"])
@@ -238,7 +238,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for a, b in chunks([len(t.as_py() or "") for t in texts], 1 << 19):
+            for a, b in chunks([len(t.as_py() or "") for t in texts], 1 << 18):
                 part = texts.slice(a, b - a).to_pylist()
                 found = model.classify(part) if model else [("und", 0.0, None, True)] * len(part)
                 columns = [pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
@@ -260,7 +260,7 @@ def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for a, b in chunks([len(t.as_py() or "") for t in batch.column(at)], 1 << 19):
+            for a, b in chunks([len(t.as_py() or "") for t in batch.column(at)], 1 << 18):
                 part = batch.slice(a, b - a)
                 rejected = [r[3] for r in model.classify(part.column(at).to_pylist())]
                 yield part.filter(pa.array([not r for r in rejected]))

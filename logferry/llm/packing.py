@@ -42,7 +42,7 @@ class Encoder:
     the text holds an added token, the whole text goes to the tokenizer.
     """
 
-    limit = 400_000
+    limit = 250_000
     _joined = re.compile(r" \s|\s \Z")
     _own: dict[str, Encoder] = {}
 
