@@ -60,7 +60,7 @@ class Voters:
         alike = self.vectors_of(np.stack([terms(t) for t in texts])) @ self.vectors.T
         k = min(NEIGHBOURS, len(self.labels))
         top = np.argpartition(-alike, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(alike, top, 1), 1e-6) ** SHARPNESS
+        weight = np.maximum(np.take_along_axis(alike, top, 1).astype(np.float64), 1e-6) ** SHARPNESS
         return np.clip((weight * self.labels[top]).sum(1) / weight.sum(1), 0, 1)
 
 

@@ -170,6 +170,6 @@ o as (
   left join counts c on c.conv_id = b.conv_id and c.turn = b.turn)
 select conv_id, turn, role, body, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || body || chr(10) as formatted, parent_turn,
   cast(len(path) - 1 as bigint) as depth, path[1] as thread_turn,
-  array_to_string(list_transform(path, lambda x: lpad(cast(x as varchar), 10, '0')), '/') as reply_path,
+  coalesce(array_to_string(list_transform(path, lambda x: lpad(cast(x as varchar), 10, '0')), '/'), '') as reply_path,
   coalesce(n_quotes, 0) as n_quotes, coalesce(n_linked, 0) as n_linked, cast(max_level as bigint) as max_level
 from o"""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logferry.functions.arrays import with_prefix_sums
-from logferry.llm.common import checkpointed
+from logferry.llm.common import checkpointed, inlined
 
 
 @dataclass(frozen=True)
@@ -150,8 +150,11 @@ def redacted(docs: DataFrame, findings: DataFrame, mark: str = "[SECRET]") -> Da
         return F.struct(out.alias("out"), F.greatest(s["at"], x["stop"]).alias("at"))
 
     done = F.aggregate("__llm_spans", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(F.col("text"), (s["at"] + 1).cast("int"))))
-    text = F.when(F.col("__llm_spans").isNull(), F.col("text")).otherwise(done)
-    changed = {"text": text} | ({"n_chars": F.when(F.col("__llm_spans").isNull(), F.col("n_chars")).otherwise(F.char_length(text))} if "n_chars" in docs.columns else {})
+    rows = inlined(rows, __llm_text=F.when(F.col("__llm_spans").isNotNull(), done))
+    new = F.col("__llm_text")
+    changed = {"text": F.coalesce(new, F.col("text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.coalesce(F.char_length(new).cast("bigint"), F.col("n_chars").cast("bigint"))
     types = dict(docs.dtypes)
     return rows.select(*[changed[c].cast(types[c]).alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
 
