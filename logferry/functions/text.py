@@ -60,7 +60,8 @@ def is_record_start(line: Column, start_regex: Column | None = None, guard_bytes
     """
     default = F.lit(S.RECORD_START)
     pattern = default if start_regex is None else F.coalesce(start_regex, default)
-    found = F.regexp_like(line, pattern)
+    # Unlike regexp_like, this keeps the last pattern compiled when it comes from a column.
+    found = F.regexp_like(line, pattern) if start_regex is None else F.regexp_instr(line, pattern) > 0
     if guard_bytes is None:
         return found
     return F.when(F.octet_length(line) > guard_bytes, is_record_start_ws(line)).otherwise(found)

@@ -57,13 +57,19 @@ def advance_checkpoint(checkpoint: DataFrame, positions: DataFrame, now: Column)
     return merged.where(~F.col("_done")).drop("_done")
 
 
-def advance_watermark(watermark: DataFrame, completed: DataFrame) -> DataFrame:
-    """Per component the latest mtime of a completed file; it never goes back."""
+def advance_watermark(watermark: DataFrame, completed: DataFrame, pending: DataFrame | None = None) -> DataFrame:
+    """Per component the latest mtime of a completed file; it never goes back.
+
+    ``pending`` are files still to be delivered: the watermark stays below the oldest of its component,
+    so that none of them counts as processed.
+    """
+    done = completed.select("component", F.col("mtime").alias("last_mtime"))
+    if pending is not None:
+        oldest = pending.groupBy("component").agg(F.min("mtime").alias("_oldest"))
+        done = done.join(oldest, "component", "left").where("_oldest is null or last_mtime < _oldest").drop("_oldest")
     return (
-        watermark.select("component", "last_mtime")
-        .unionByName(completed.select("component", F.col("mtime").alias("last_mtime")))
-        .groupBy("component")
-        .agg(F.max("last_mtime").alias("last_mtime"))
+        watermark.select("component", "last_mtime").unionByName(done)
+        .groupBy("component").agg(F.max("last_mtime").alias("last_mtime"))
     )
 
 
@@ -148,11 +154,11 @@ def purge_removed(checkpoint: DataFrame, rules: DataFrame) -> DataFrame:
     return checkpoint.join(rules.select("component"), "component", "left_semi")
 
 
-def flatten_json(df: DataFrame, keys: Sequence[str], column: str, depth: int = 6) -> DataFrame:
-    """Nested JSON objects as rows of (keys, path, value), within the row and without a shuffle.
+def flatten_json(df: DataFrame, keys: Sequence[str], column: str, at_once: int = 6) -> DataFrame:
+    """Nested JSON objects as rows of (keys, path, value), without a shuffle.
 
-    Names on the path are lower-cased and joined by ``/``. Objects nested deeper than ``depth`` are
-    compared as text.
+    Names on the path are lower-cased and joined by ``/``. The first ``at_once`` levels are unnested
+    within the row, deeper ones level by level as long as any row holds an object.
     """
 
     def entries(text: Column, prefix: Column | None) -> Column:
@@ -165,17 +171,18 @@ def flatten_json(df: DataFrame, keys: Sequence[str], column: str, depth: int = 6
             ),
         )
 
+    def unnested(path: Column, value: Column) -> Column:
+        own = F.array(F.struct(path.alias("path"), value.alias("value")))
+        return F.when(F.startswith(value, F.lit("{")), F.coalesce(entries(value, path), own)).otherwise(own)
+
     leaves = entries(F.col(column), None)
-    for _ in range(depth - 1):
-        leaves = F.flatten(
-            F.transform(
-                leaves,
-                lambda e: F.when(
-                    F.startswith(e["value"], F.lit("{")), F.coalesce(entries(e["value"], e["path"]), F.array(e))
-                ).otherwise(F.array(e)),
-            )
-        )
-    return df.select(*keys, F.inline_outer(leaves)).where("path is not null")
+    for _ in range(at_once - 1):
+        leaves = F.flatten(F.transform(leaves, lambda e: unnested(e["path"], e["value"])))
+    rows = df.select(*keys, F.inline_outer(leaves)).where("path is not null")
+    is_object = F.startswith("value", F.lit("{")) & entries(F.col("value"), F.col("path")).isNotNull()
+    while not rows.where(is_object).isEmpty():
+        rows = rows.select(*keys, F.inline_outer(unnested(F.col("path"), F.col("value")))).where("path is not null")
+    return rows
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

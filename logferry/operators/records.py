@@ -106,7 +106,8 @@ def reassemble_records(
 
     def record(span: Column) -> Column:
         # Not a slice, which would copy all lines of the block for each record.
-        lines = F.transform(F.sequence(span["s"], span["e"] - 1), lambda i: F.get("_lines", i)["line"])
+        # Each line is repaired by itself: bytes of two lines never make one character.
+        lines = F.transform(F.sequence(span["s"], span["e"] - 1), lambda i: F.make_valid_utf8(F.get("_lines", i)["line"]))
         start = F.when(span["s"] == 0, F.lit(0).cast("bigint")).otherwise(F.get("_ends", span["s"] - 1))
         return F.struct(
             (offset + start).alias("start_off"),
@@ -114,7 +115,7 @@ def reassemble_records(
             (span["e"] - span["s"]).cast("bigint").alias("n_lines"),
             (span["s"] == 0).alias("is_first"),
             (span["e"] == F.size("_lines")).alias("is_tail"),
-            F.array_join(lines, joiner).alias("raw"),
+            F.array_join(lines, joiner).alias("message"),
         )
 
     df = df.withColumn("_records", F.transform("_spans", record))
@@ -129,7 +130,7 @@ def reassemble_records(
         "r.n_lines",
         (F.col("r.is_first") & F.col("_headless")).alias("is_head"),
         "r.is_tail",
-        F.make_valid_utf8("r.raw").alias("message"),
+        "r.message",
     )
 
 

@@ -33,6 +33,9 @@ SCHEMAS = {
     "sequence": "log_group string, log_stream string, batch_no bigint, seq bigint",
 }
 
+# What reading and parsing need of a component's rule.
+RULE_COLUMNS = ["component_type", "start_regex", "min_level"]
+
 Sink = Callable[[DataFrame, int], DataFrame]
 
 
@@ -76,24 +79,25 @@ def find_files(spark: SparkSession, rules: DataFrame) -> DataFrame:
     return FL.active_file(FL.dedupe_fingerprint(FL.eligible_files(seen)).drop("n_copies"))
 
 
-def read_records(work: DataFrame, rules: DataFrame, settings: Settings) -> DataFrame:
-    """Records of the files to be read, all of them, across range borders."""
+def read_pieces(work: DataFrame, rules: DataFrame, settings: Settings) -> DataFrame:
+    """Records of the files to be read, range by range; those at the borders are pieces.
+
+    What the rules say travels with the work rows, so text meets no join.
+    """
     # One number decides how many tasks read; the work itself stays distributed.
     n_bytes = work.agg(F.sum(F.col("read_end") - F.col("position"))).first()[0] or 0
     least = int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(least, -(-n_bytes // settings.task_bytes))
-    own = rules.select("component", "start_regex")
-    keep = ["component", "fingerprint", "path", "mtime", "is_active", "position", "chunk_no"]
-    blocks = read_blocks(work, keep, settings.range_bytes, tasks).join(own, "component")
-    records = R.reassemble_records(blocks, F.col("start_regex"), joiner=settings.joiner, keep=keep)
-    return R.stitch_records(records, ["component", "path"], settings.joiner)
+    work = work.join(rules.select("component", *RULE_COLUMNS), "component")
+    keep = ["component", "fingerprint", "path", "mtime", "is_active", "position", "chunk_no", *RULE_COLUMNS]
+    blocks = read_blocks(work, keep, settings.range_bytes, tasks)
+    return R.reassemble_records(blocks, F.col("start_regex"), joiner=settings.joiner, keep=keep)
 
 
-def mark_events(records: DataFrame, rules: DataFrame, settings: Settings) -> DataFrame:
+def mark_events(records: DataFrame, settings: Settings) -> DataFrame:
     """Records as events. Dropped records stay as empty rows with the reason, for their positions."""
-    own = rules.select("component", "component_type", "min_level")
     moment = F.timestamp_millis(F.lit(settings.as_of_ms))
-    df = E.parse_structured(records.join(own, "component"))
+    df = E.parse_structured(records)
     df = E.resolve_event_ts(df, moment)
     low = F.col("structured") & (T.level_rank(F.col("level")) < T.level_rank(F.col("min_level")))
     old = F.col("ts") < moment - F.lit(settings.max_event_age)
@@ -103,7 +107,7 @@ def mark_events(records: DataFrame, rules: DataFrame, settings: Settings) -> Dat
     df = E.split_oversize(df, settings.max_event_bytes)
     # Chunks of a record that was delivered in part by an earlier cycle.
     seen = (F.col("start_off") == F.col("position")) & (F.col("chunk_no") < F.col("resume_chunk"))
-    return df.where(~seen).drop("min_level", "json_ts_ms", "component_type")
+    return df.where(~seen).drop("json_ts_ms", *RULE_COLUMNS)
 
 
 def run_cycle(
@@ -128,11 +132,10 @@ def run_cycle(
     read_end = F.when(held, F.col("complete_end")).otherwise(F.col("length"))
     reads = FL.skip_consumed(resumed).withColumn("read_end", F.greatest(read_end, F.col("position")))
 
-    # 2. Text to events, once.
-    marked = mark_events(
-        read_records(reads, rules, settings).withColumnRenamed("chunk_no", "resume_chunk"), rules, settings
-    )
-    marked = store.write(marked, "events", epoch)
+    # 2. Text to events, read once: the border pieces are joined from the written table.
+    pieces = store.write(read_pieces(reads, rules, settings).withColumnRenamed("chunk_no", "resume_chunk"), "pieces", epoch)
+    records = R.stitch_records(pieces, ["component", "path"], settings.joiner)
+    marked = store.write(mark_events(records, settings), "events", epoch)
     if settings.hold_last_record:
         open_record = marked.where("is_active").groupBy(*C.ENTRY).agg(F.max("start_off").alias("_held_at"))
         marked = marked.join(open_record, C.ENTRY, "left").where("_held_at is null or start_off < _held_at").drop("_held_at")
@@ -191,10 +194,15 @@ def run_cycle(
     completed = store.write(completed, "completed", epoch)
     kept = C.remove_entries(C.touch_accessed(checkpoint, resumed, now), completed)
     kept = C.evict_stale(C.advance_checkpoint(kept, positions, now), now, settings.idle_limit)
-    kept = store.write(kept, "checkpoint", epoch)
+    # The watermark stays below what is still to be delivered; completed files above it are remembered.
+    pending = resumed.join(completed.select(*C.ENTRY), C.ENTRY, "left_anti")
+    reached = store.write(C.advance_watermark(watermark, completed, pending), "watermark", epoch)
+    above = FL.unprocessed_files(completed, reached).select(
+        *C.ENTRY, "path", F.col("length").alias("position"), F.lit(0).alias("chunk_no"), "mtime", now.alias("last_accessed")
+    )
+    kept = store.write(kept.unionByName(above.dropDuplicates(C.ENTRY)), "checkpoint", epoch)
     # The ledger is needed only where a file has not been delivered to its end.
     store.write(merged.join(kept.select(*C.ENTRY), C.ENTRY, "left_semi"), "ledger", epoch)
-    store.write(C.advance_watermark(watermark, completed), "watermark", epoch)
     plan = RT.delete_after_delivery(completed, rules).select("component", "path").unionByName(
         RT.retention_plan(files, watermark, rules).select("component", "path")
     )

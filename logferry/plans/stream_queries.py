@@ -17,7 +17,8 @@ _EVENTS = (V.RAW_EVENTS, V.PARSED, V.ROUTED)
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a file stream of log lines."""
     schema = V.table(spark, sf_dir, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    # A pattern, as the table may be one file or a folder of part files.
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     return V.raw_lines(rows).drop("ts").withColumnRenamed("raw", "message")
 
 

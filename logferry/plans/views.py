@@ -33,9 +33,17 @@ def with_sql(*ctes: str, final: str) -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared one the session names in ``spark.checkpoint.dir``; only where
-    none is named, as in tests, a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logferry-")
+    """A new folder below the shared one the session names in ``spark.checkpoint.dir``.
+
+    A temporary folder is used only on a local master that names none, as in tests: on a cluster each
+    executor would write to its own disk.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="logferry-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
