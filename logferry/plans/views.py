@@ -195,6 +195,8 @@ CHECKPOINT = f"""checkpoint as (
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files as single blocks, with the start rule of their component."""
     own = rules(spark, sf_dir).where("component = dir").select("component", "start_regex")
+    if own.count() <= 10_000:  # rules are short rows; beyond that the planner decides
+        own = F.broadcast(own)
     return R.as_blocks(files(spark, sf_dir)).join(own, "component")
 
 
