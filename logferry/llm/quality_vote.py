@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logferry.llm.common import checkpointed, small
+
 PER_LABEL, RANK, NEIGHBOURS, SHARPNESS, CUT = 2000, 48, 25, 30, 0.7  # PER_LABEL bounds the labelled sample
 _KINDS, _RATIOS = 16, 24
 TERMS = _KINDS**3 + _RATIOS
@@ -73,7 +75,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, rank: in
     counts = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
     place = (F.xxhash64(F.lit(3), "doc_id").cast("double") / 2.0**64) + 0.5
     share = sum((F.when(F.col("quality") == q, F.lit(min(1.0, per_label / n))).otherwise(0.0) for q, n in counts.items()), F.lit(0.0))
-    sample = docs.select("doc_id", "text").join(known.where(place <= share), "doc_id").select("doc_id", "text", "quality")
+    chosen = small(checkpointed(known.where(place <= share)))  # bounded, so the texts stay where they are
+    sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "quality")
 
     def count(batches):
         import pyarrow as pa
