@@ -101,9 +101,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, registers: int = RE
     """One row per row of ``docs`` (doc_id, text): doc_id, class_id, is_kept.
 
     Documents with the same words are one text. Texts that share a band key are candidates
-    (:func:`candidates`); they are linked if the Jaccard similarity of their five-word shingles, counted
-    on the texts, is at least ``threshold``; a class is what links connect, named by its smallest
-    doc_id, the one that is kept.
+    (:func:`candidates`, then :func:`unresolved` for those that these leave in different classes). They are
+    linked if the Jaccard similarity of their five-word shingles, counted on the texts, is at least
+    ``threshold``; a class is what links connect, named by its smallest doc_id, the one that is kept.
 
     NULL, empty and blank texts are never linked: each stays, as its own class. Repeated rows are copies.
     A row without doc_id stays and has no class. Columns other than doc_id and text are not read.
@@ -111,11 +111,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, registers: int = RE
     prints = checkpointed(fingerprints(docs, registers, bands))
     texts = prints.where("keys is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "keys", "sign")).alias("r"))
     texts = checkpointed(texts.select("digest", F.col("r.doc_id").alias("rep"), "r.keys", "r.sign"))
-    edges = checkpointed(candidates(texts, threshold, registers, bands))
-    found = compare_texts(edges, docs, _judge(threshold), "similarity double")
-    links = found.select(F.greatest("leader", "member").alias("a"), F.least("leader", "member").alias("b"))
-
-    roots = components(links)
+    members = buckets(texts, bands)
+    edges = checkpointed(candidates(members, texts, threshold, registers))
+    roots = components(links(edges, docs, threshold))
+    rest = checkpointed(unresolved(members, texts, roots, edges, threshold, registers))
+    roots = components(links(rest, docs, threshold).union(roots))
     classes = texts.select("digest", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     classes = checkpointed(classes.select("digest", F.coalesce("root", "rep").alias("class_id")))
     out = prints.select("doc_id", "digest", F.col("keys").isNotNull().alias("worded"))
@@ -135,8 +135,39 @@ def one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return kept
 
 
-def candidates(texts: DataFrame, threshold: float, registers: int, bands: int) -> DataFrame:
-    """Pairs (leader, member) of ``texts`` (rep, keys, sign) to be verified, at most a few per text and band.
+def links(edges: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of the pairs in ``edges`` whose texts are similar enough."""
+    found = compare_texts(edges, docs, _judge(threshold), "similarity double")
+    return found.select(F.greatest("leader", "member").alias("a"), F.least("leader", "member").alias("b"))
+
+
+def least_agreement(threshold: float, registers: int) -> int:
+    """Registers in which two texts agree if their similarity lies five standard deviations below ``threshold``."""
+    return int(registers * threshold - 5 * (registers * threshold * (1 - threshold)) ** 0.5)
+
+
+def buckets(texts: DataFrame, bands: int) -> DataFrame:
+    """key, next, id: the texts of each band key that several have, with their key in the next band."""
+    banded = texts.select(F.col("rep").alias("id"), F.posexplode("keys").alias("pos", "key"), "keys")
+    following = F.element_at("keys", F.pmod(F.col("pos") + 1, F.lit(bands)) + 1)
+    banded = banded.select("id", "key", following.alias("next"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return checkpointed(banded.join(shared, "key"))
+
+
+def led(pairs: DataFrame, degree: DataFrame) -> DataFrame:
+    """(leader, member) of ``pairs`` (low, high): the side with more pairs leads, as its text then travels once for many."""
+    for side in ("low", "high"):
+        pairs = pairs.join(degree.withColumnsRenamed({"id": side, "degree": f"{side}_degree"}), side)
+    first = F.col("low_degree") >= F.col("high_degree")
+    return pairs.select(
+        F.when(first, F.col("low")).otherwise(F.col("high")).alias("leader"),
+        F.when(first, F.col("high")).otherwise(F.col("low")).alias("member"),
+    )
+
+
+def candidates(members: DataFrame, texts: DataFrame, threshold: float, registers: int) -> DataFrame:
+    """Pairs (leader, member) of ``texts`` (rep, sign) to be verified first, at most a few per text and band.
 
     The texts of a bucket (a band key) are sorted by their key in the next band, so that those most alike
     stand together, and dealt by ranges of that order, however large a bucket is. A task cuts its rows
@@ -146,12 +177,7 @@ def candidates(texts: DataFrame, threshold: float, registers: int, bands: int) -
     little that a similarity of ``threshold`` lies five standard deviations off are left out.
     """
     block, best = 1024, 3
-    least = int(registers * threshold - 5 * (registers * threshold * (1 - threshold)) ** 0.5)
-    banded = texts.select(F.col("rep").alias("id"), F.posexplode("keys").alias("pos", "key"), "keys")
-    following = F.element_at("keys", F.pmod(F.col("pos") + 1, F.lit(bands)) + 1)
-    banded = banded.select("id", "key", following.alias("next"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = checkpointed(banded.join(shared, "key"))
+    least = least_agreement(threshold, registers)
     signs = texts.select(F.col("rep").alias("id"), "sign")
     degree = members.groupBy("id").agg(F.sum("n").alias("degree")).join(signs, "id")
     members = checkpointed(members.drop("n").join(degree, "id"))
@@ -192,12 +218,68 @@ def candidates(texts: DataFrame, threshold: float, registers: int, bands: int) -
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["low", "high"])
 
     pairs = rows.select("key", "next", "id", "degree", "sign", "leader", "leader_sign").mapInArrow(pair, "low bigint, high bigint").distinct()
-    # The side with more pairs leads, as its text then travels once for many.
-    often = checkpointed(degree.select("id", "degree"))
-    for side in ("low", "high"):
-        pairs = pairs.join(often.withColumnsRenamed({"id": side, "degree": f"{side}_degree"}), side)
-    first = F.col("low_degree") >= F.col("high_degree")
-    return pairs.select(
-        F.when(first, F.col("low")).otherwise(F.col("high")).alias("leader"),
-        F.when(first, F.col("high")).otherwise(F.col("low")).alias("member"),
-    )
+    return led(pairs, checkpointed(degree.select("id", "degree")))
+
+
+def unresolved(
+    members: DataFrame, texts: DataFrame, roots: DataFrame, edges: DataFrame, threshold: float, registers: int, block: int = 4096
+) -> DataFrame:
+    """Pairs (leader, member) that share a bucket, lie in different classes of ``roots`` and aren't in ``edges``.
+
+    With them every pair of a bucket is linked, verified, or ruled out by its signatures, so no link is lost.
+    In a bucket that holds several classes, the texts outside the largest class are compared with all its
+    texts. These are dealt into blocks by hash; a task holds one block and reads what is compared with it as
+    a stream, so neither a large bucket nor a frequent key meets one task. Only pairs whose signatures agree
+    as in :func:`candidates` come out.
+    """
+    least = least_agreement(threshold, registers)
+    classed = members.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    classed = classed.select("key", "id", F.coalesce("root", "id").alias("root"))
+    sizes = classed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
+    sizes = sizes.agg(F.sum("n").alias("n"), F.count("*").alias("classes"), F.max(F.struct("n", "root")).alias("top")).where("classes > 1")
+    sizes = checkpointed(sizes.select("key", F.col("top.root").alias("top"), F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    opened = classed.join(sizes, "key").join(texts.select(F.col("rep").alias("id"), "sign"), "id")
+    opened = checkpointed(opened)
+    columns = ["key", "salt", "asks", "id", "root", "sign"]
+    held = opened.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(False)).select(columns)
+    asked = opened.where("root <> top").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = held.union(asked.withColumn("asks", F.lit(True)).select(columns))
+    rows = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "asks", "id")
+
+    def pair(batches):
+        import pyarrow as pa
+
+        at, own = None, []
+        for batch in batches:
+            key, salt, ids, root = (batch.column(c).to_numpy() for c in ("key", "salt", "id", "root"))
+            asks = batch.column("asks").to_numpy(zero_copy_only=False)
+            sign = np.frombuffer(b"".join(batch.column("sign").to_pylist()), np.uint8).reshape(-1, registers)
+            begins = np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (asks[1:] != asks[:-1]), [True]])
+            borders, pairs = np.flatnonzero(begins), [np.zeros((2, 0), np.int64)]
+            for a, b in zip(borders, borders[1:]):
+                if at != (key[a], salt[a]):
+                    at, own = (key[a], salt[a]), []
+                if not asks[a]:
+                    own.append((ids[a:b], root[a:b], sign[a:b]))
+                    continue
+                if not own:  # no text of the bucket fell into this block
+                    continue
+                if len(own) > 1:
+                    own = [tuple(map(np.concatenate, zip(*own)))]
+                other, other_root, other_sign = own[0]
+                for c in range(a, b, 256):
+                    d = min(c + 256, b)
+                    alike = np.zeros((d - c, len(other)), np.int16)
+                    for r in range(registers):
+                        alike += sign[c:d, r, None] == other_sign[None, :, r]
+                    i, j = np.nonzero((alike >= least) & (root[c:d, None] != other_root[None, :]))
+                    pairs.append(np.stack([ids[c + i], other[j]]))
+            found = np.concatenate(pairs, 1)
+            found = np.unique(np.stack([found.min(0), found.max(0)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["low", "high"])
+
+    pairs = rows.mapInArrow(pair, "low bigint, high bigint").distinct()
+    verified = edges.select(F.least("leader", "member").alias("low"), F.greatest("leader", "member").alias("high"))
+    pairs = checkpointed(pairs.join(verified, ["low", "high"], "left_anti"))
+    degree = pairs.select(F.explode(F.array("low", "high")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    return led(pairs, degree)
