@@ -55,7 +55,7 @@ def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, registers: int = REGISTERS, bands: int = BANDS) -> DataFrame:
-    """doc_id, digest of the words, band keys and a byte of each register; no keys if there is no word.
+    """doc_id, digest of the words, band keys, a byte of each register, number of shingles; no keys if there is no word.
 
     A shingle weighs 1 + ln(its count).
     """
@@ -77,11 +77,11 @@ def fingerprints(docs: DataFrame, registers: int = REGISTERS, bands: int = BANDS
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, b - a), pa.array(digests, pa.binary()),
                      pa.array([k if w else None for k, w in zip(band_keys(signs, bands), words)], pa.list_(pa.int64())),
-                     pa.array([s.tobytes() for s in signs.astype(np.uint8)], pa.binary())],
-                    names=["doc_id", "digest", "keys", "sign"],
+                     pa.array([s.tobytes() for s in signs.astype(np.uint8)], pa.binary()), pa.array([len(s[0]) for s in sets], pa.int64())],
+                    names=["doc_id", "digest", "keys", "sign", "size"],
                 )
 
-    schema = "doc_id bigint, digest binary, keys array<bigint>, sign binary"
+    schema = "doc_id bigint, digest binary, keys array<bigint>, sign binary, size bigint"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -101,7 +101,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, registers: int = RE
     """One row per row of ``docs`` (doc_id, text): doc_id, class_id, is_kept.
 
     Documents with the same words are one text. Texts that share a band key are candidates
-    (:func:`candidates`, then :func:`unresolved` for those that these leave in different classes). They are
+    (:func:`candidates`, then :func:`missed_links` for those that these leave in different classes). They are
     linked if the Jaccard similarity of their five-word shingles, counted on the texts, is at least
     ``threshold``; a class is what links connect, named by its smallest doc_id, the one that is kept.
 
@@ -109,13 +109,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, registers: int = RE
     A row without doc_id stays and has no class. Columns other than doc_id and text are not read.
     """
     prints = checkpointed(fingerprints(docs, registers, bands))
-    texts = prints.where("keys is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "keys", "sign")).alias("r"))
-    texts = checkpointed(texts.select("digest", F.col("r.doc_id").alias("rep"), "r.keys", "r.sign"))
+    texts = prints.where("keys is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "keys", "sign", "size")).alias("r"))
+    texts = checkpointed(texts.select("digest", F.col("r.doc_id").alias("rep"), "r.keys", "r.sign", "r.size"))
     members = buckets(texts, bands)
-    edges = checkpointed(candidates(members, texts, threshold, registers))
-    roots = components(links(edges, docs, threshold))
-    rest = checkpointed(unresolved(members, texts, roots, edges, threshold, registers))
-    roots = components(links(rest, docs, threshold).union(roots))
+    roots = components(links(checkpointed(candidates(members, texts, threshold, registers)), docs, threshold))
+    roots = components(missed_links(members, texts, roots, docs, threshold, registers).union(roots))
     classes = texts.select("digest", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     classes = checkpointed(classes.select("digest", F.coalesce("root", "rep").alias("class_id")))
     out = prints.select("doc_id", "digest", F.col("keys").isNotNull().alias("worded"))
@@ -147,25 +145,14 @@ def least_agreement(threshold: float, registers: int) -> int:
 
 
 def buckets(texts: DataFrame, bands: int) -> DataFrame:
-    """key, next, id: the texts of each band key that several have, with their key in the next band."""
-    banded = texts.select(F.col("rep").alias("id"), F.posexplode("keys").alias("pos", "key"), "keys")
+    """key, next, id, size: the texts of each band key that several have, with their key in the next band."""
+    banded = texts.select(F.col("rep").alias("id"), "size", F.posexplode("keys").alias("pos", "key"), "keys")
     following = F.element_at("keys", F.pmod(F.col("pos") + 1, F.lit(bands)) + 1)
-    banded = banded.select("id", "key", following.alias("next"))
+    banded = banded.select("id", "size", "key", following.alias("next"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     return checkpointed(banded.join(shared, "key"))
 
 
-def led(pairs: DataFrame, degree: DataFrame) -> DataFrame:
-    """(leader, member) of ``pairs`` (low, high): the side with more pairs leads, as its text then travels once for many."""
-    for side in ("low", "high"):
-        pairs = pairs.join(degree.withColumnsRenamed({"id": side, "degree": f"{side}_degree"}), side)
-    first = F.col("low_degree") >= F.col("high_degree")
-    return pairs.select(
-        F.when(first, F.col("low")).otherwise(F.col("high")).alias("leader"),
-        F.when(first, F.col("high")).otherwise(F.col("low")).alias("member"),
-    )
-
-
 def candidates(members: DataFrame, texts: DataFrame, threshold: float, registers: int) -> DataFrame:
     """Pairs (leader, member) of ``texts`` (rep, sign) to be verified first, at most a few per text and band.
 
@@ -218,68 +205,106 @@ def candidates(members: DataFrame, texts: DataFrame, threshold: float, registers
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["low", "high"])
 
     pairs = rows.select("key", "next", "id", "degree", "sign", "leader", "leader_sign").mapInArrow(pair, "low bigint, high bigint").distinct()
-    return led(pairs, checkpointed(degree.select("id", "degree")))
+    # The side with more pairs leads, as its text then travels once for many.
+    often = checkpointed(degree.select("id", "degree"))
+    for side in ("low", "high"):
+        pairs = pairs.join(often.withColumnsRenamed({"id": side, "degree": f"{side}_degree"}), side)
+    first = F.col("low_degree") >= F.col("high_degree")
+    return pairs.select(
+        F.when(first, F.col("low")).otherwise(F.col("high")).alias("leader"),
+        F.when(first, F.col("high")).otherwise(F.col("low")).alias("member"),
+    )
 
 
-def unresolved(
-    members: DataFrame, texts: DataFrame, roots: DataFrame, edges: DataFrame, threshold: float, registers: int, block: int = 4096
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """id and the sorted shingles of each text, as bytes."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [np.unique(shingles(words_of(t.as_py()))).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "items"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "id bigint, items binary")
+
+
+def missed_links(
+    members: DataFrame, texts: DataFrame, roots: DataFrame, docs: DataFrame, threshold: float, registers: int,
+    block: int = 4096, block_items: int = 4 << 20,
 ) -> DataFrame:
-    """Pairs (leader, member) that share a bucket, lie in different classes of ``roots`` and aren't in ``edges``.
+    """(a, b) between texts that share a bucket and are similar enough, but lie in different classes of ``roots``.
 
-    With them every pair of a bucket is linked, verified, or ruled out by its signatures, so no link is lost.
     In a bucket that holds several classes, the texts outside the largest class are compared with all its
-    texts. These are dealt into blocks by hash; a task holds one block and reads what is compared with it as
-    a stream, so neither a large bucket nor a frequent key meets one task. Only pairs whose signatures agree
-    as in :func:`candidates` come out.
+    texts, so every pair of a bucket is linked, verified on its shingles, or ruled out by its signatures as
+    in :func:`candidates`. The texts of a bucket are dealt by hash into blocks of about ``block`` texts and
+    at most about ``block_items`` shingles; a task holds one block and reads what is compared with it as a
+    stream. Pairs are verified where they meet, and a link comes out only if the task has none between the
+    two classes yet.
     """
     least = least_agreement(threshold, registers)
-    classed = members.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    classed = classed.select("key", "id", F.coalesce("root", "id").alias("root"))
-    sizes = classed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
-    sizes = sizes.agg(F.sum("n").alias("n"), F.count("*").alias("classes"), F.max(F.struct("n", "root")).alias("top")).where("classes > 1")
-    sizes = checkpointed(sizes.select("key", F.col("top.root").alias("top"), F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    opened = classed.join(sizes, "key").join(texts.select(F.col("rep").alias("id"), "sign"), "id")
-    opened = checkpointed(opened)
+    classed = members.select("key", "id", "size").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    classed = classed.select("key", "id", "size", F.coalesce("root", "id").alias("root"))
+    sizes = classed.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size")).groupBy("key")
+    sizes = sizes.agg(
+        F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("classes"), F.max(F.struct("n", "root")).alias("top")
+    ).where("classes > 1")
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("size") / block_items)).cast("int")
+    sizes = checkpointed(sizes.select("key", F.col("top.root").alias("top"), blocks.alias("blocks")))
+    opened = checkpointed(classed.join(sizes, "key").join(texts.select(F.col("rep").alias("id"), "sign"), "id"))
+    sets = shingle_sets(docs.join(opened.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     columns = ["key", "salt", "asks", "id", "root", "sign"]
     held = opened.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(False)).select(columns)
     asked = opened.where("root <> top").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = held.union(asked.withColumn("asks", F.lit(True)).select(columns))
+    rows = held.union(asked.withColumn("asks", F.lit(True)).select(columns)).join(sets, "id").select(*columns, "items")
     rows = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "asks", "id")
 
-    def pair(batches):
+    def verify(batches):
         import pyarrow as pa
 
-        at, own = None, []
+        at, own, above = None, [], {}
+
+        def find(root):
+            while above.get(root, root) != root:
+                root = above[root]
+            return root
+
         for batch in batches:
             key, salt, ids, root = (batch.column(c).to_numpy() for c in ("key", "salt", "id", "root"))
             asks = batch.column("asks").to_numpy(zero_copy_only=False)
             sign = np.frombuffer(b"".join(batch.column("sign").to_pylist()), np.uint8).reshape(-1, registers)
+            items = [np.frombuffer(x, np.uint64) for x in batch.column("items").to_pylist()]
             begins = np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (asks[1:] != asks[:-1]), [True]])
-            borders, pairs = np.flatnonzero(begins), [np.zeros((2, 0), np.int64)]
+            borders, found = np.flatnonzero(begins), []
             for a, b in zip(borders, borders[1:]):
                 if at != (key[a], salt[a]):
                     at, own = (key[a], salt[a]), []
                 if not asks[a]:
-                    own.append((ids[a:b], root[a:b], sign[a:b]))
+                    own.append((ids[a:b], root[a:b], sign[a:b], np.array([len(x) for x in items[a:b]]), items[a:b]))
                     continue
                 if not own:  # no text of the bucket fell into this block
                     continue
                 if len(own) > 1:
-                    own = [tuple(map(np.concatenate, zip(*own)))]
-                other, other_root, other_sign = own[0]
-                for c in range(a, b, 256):
-                    d = min(c + 256, b)
-                    alike = np.zeros((d - c, len(other)), np.int16)
-                    for r in range(registers):
-                        alike += sign[c:d, r, None] == other_sign[None, :, r]
-                    i, j = np.nonzero((alike >= least) & (root[c:d, None] != other_root[None, :]))
-                    pairs.append(np.stack([ids[c + i], other[j]]))
-            found = np.concatenate(pairs, 1)
-            found = np.unique(np.stack([found.min(0), found.max(0)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["low", "high"])
-
-    pairs = rows.mapInArrow(pair, "low bigint, high bigint").distinct()
-    verified = edges.select(F.least("leader", "member").alias("low"), F.greatest("leader", "member").alias("high"))
-    pairs = checkpointed(pairs.join(verified, ["low", "high"], "left_anti"))
-    degree = pairs.select(F.explode(F.array("low", "high")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-    return led(pairs, degree)
+                    *arrays, lists = zip(*own)
+                    own = [(*map(np.concatenate, arrays), [x for part in lists for x in part])]
+                other, other_root, other_sign, other_size, other_items = own[0]
+                for c in range(a, b):
+                    mine = items[c]
+                    alike = (other_sign == sign[c]).sum(1) >= least
+                    fits = np.minimum(other_size, len(mine)) >= threshold * np.maximum(other_size, len(mine))
+                    near = np.flatnonzero(alike & fits & (other_root != root[c]))
+                    if not near.size:
+                        continue
+                    theirs = np.concatenate([other_items[j] for j in near])
+                    shared = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+                    both = np.add.reduceat(shared.astype(np.int64), np.cumsum(other_size[near]) - other_size[near])
+                    similarity = both / (len(mine) + other_size[near] - both)
+                    for j in near[similarity >= threshold]:
+                        x, y = find(int(root[c])), find(int(other_root[j]))
+                        if x != y:
+                            above[x] = y
+                            found.append((int(ids[c]), int(other[j])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([max(p) for p in found]), pa.array([min(p) for p in found])], names=["a", "b"])
+
+    return rows.mapInArrow(verify, "a bigint, b bigint")

@@ -281,34 +281,37 @@ def test_groups_of_near_copies(spark):
     assert got == classes_by_force(texts)
 
 
-def test_unresolved_pairs_are_complete(spark):
+def test_missed_links_are_complete(spark):
     r, texts = random.Random(5), {}
     for g in range(3):
         base = fixtures.prose(120, 7100 + g).split()
         for k in range(30):
             own = list(base)
-            for _ in range(r.choice([2, 3, 4])):
+            for _ in range(r.choice([1, 2, 3])):
                 own[r.randrange(len(own))] = fixtures.prose(1, r.random())
             texts[len(texts)] = " ".join(own)
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    prints = near_dups.fingerprints(docs).select(F.col("doc_id").alias("rep"), "keys", "sign").cache()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    prints = near_dups.fingerprints(docs).select(F.col("doc_id").alias("rep"), "keys", "sign", "size").cache()
     members = near_dups.buckets(prints, near_dups.BANDS)
-    shared = members.alias("a").join(members.alias("b"), "key").where("a.id < b.id").select("a.id", "b.id").distinct()
+    shared = members.alias("a").join(members.alias("b"), "key").where("a.id < b.id").select("a.id", "b.id").distinct().collect()
     signs = {x.rep: x.sign for x in prints.collect()}
     least = near_dups.least_agreement(0.8, near_dups.REGISTERS)
-    want = {(a, b) for a, b in shared.collect() if sum(x == y for x, y in zip(signs[a], signs[b])) >= least}
-
-    def pairs(roots, edges, block):
-        roots = spark.createDataFrame(roots, "node long, root long")
-        edges = spark.createDataFrame(edges, "leader long, member long")
-        found = near_dups.unresolved(members, prints, roots, edges, 0.8, near_dups.REGISTERS, block)
-        return sorted(tuple(sorted(p)) for p in found.collect())
-
-    for block in (4, 4096):  # buckets cut into several blocks, and whole ones
-        assert pairs([], [], block) == sorted(want)
-    known = sorted(want)[::3]
-    roots = [(i, i // 10) for i in texts]
-    assert pairs(roots, [(b, a) for a, b in known], 4) == sorted(p for p in want - set(known) if p[0] // 10 != p[1] // 10)
+    want = {
+        (a, b) for a, b in shared
+        if sum(x == y for x, y in zip(signs[a], signs[b])) >= least and jaccard(texts[a], texts[b]) >= 0.8
+    }
+
+    def classes(links):
+        roots = {x.node: x.root for x in components(links).collect()}
+        return {i: roots.get(i, i) for i in texts}
+
+    best = classes(spark.createDataFrame(sorted(want), "a long, b long"))
+    for known in ([], sorted(want)[::7]):
+        before = components(spark.createDataFrame(known, "a long, b long"))
+        for block in (4, 4096):  # buckets cut into several blocks, and whole ones
+            more = near_dups.missed_links(members, prints, before, docs, 0.8, near_dups.REGISTERS, block)
+            assert {(b, a) for a, b in more.collect()} <= want - set(known)
+            assert classes(more.union(before)) == best
 
 
 def test_rows_without_id_stay(spark):
