@@ -6,11 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logferry.llm.common import SHINGLE, checkpointed, chunks, compare_texts, mixed, shingles, words_of
+from logferry.llm.common import SHINGLE, checkpointed, chunks, compare_texts, mixed, shingles, small, words_of
 
 MIN_WORDS, HASHES, THRESHOLD = 50, 6, 0.8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
+_FOUND = "other_start bigint, other_end bigint, start_word bigint, end_word bigint, similarity double"
 
 
 def _previous_smaller(values: np.ndarray) -> np.ndarray:
@@ -57,17 +58,18 @@ def compact_windows(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, wid
     return np.maximum(left, first[centre]), centre, np.minimum(right, last[centre])
 
 
-def signatures(tokens: np.ndarray, lengths: list[int], width: int, hashes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, text) of the sequences of ``width`` tokens, one row for all that share a signature.
+def signatures(tokens: np.ndarray, lengths: list[int], width: int, hashes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, text, place) of the sequences of ``width`` tokens, one row for all that share a signature.
 
     Hashes are taken two at a time. The windows of the two are joined where the starts of ``width``
-    tokens that they stand for overlap; the key is the pair of tokens with the smallest hashes there.
+    tokens that they stand for overlap; the key is the pair of tokens with the smallest hashes there, and
+    the place is that of the first of them in its text.
     """
     lengths = np.asarray(lengths)
     end = np.cumsum(lengths)
     text = np.repeat(np.arange(len(lengths)), lengths)
     first, last = (end - lengths)[text], end[text] - 1
-    keys, texts = [], []
+    keys, texts, places = [], [], []
     for band in range(hashes // 2):
         sides = []
         for k in (2 * band, 2 * band + 1):
@@ -80,24 +82,26 @@ def signatures(tokens: np.ndarray, lengths: list[int], width: int, hashes: int)
         c1, c2 = (c[np.searchsorted(s, starts, "right") - 1] for s, c in sides)
         keys.append(mixed(mixed(tokens[c1] + np.uint64(band + 1)) ^ tokens[c2]))
         texts.append(text[starts])
+        places.append(c1 - first[c1])
     if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(texts)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(keys), np.concatenate(texts), np.concatenate(places)
 
 
-def _led(key: np.ndarray, doc: np.ndarray):
-    """Of rows sorted by key: whether a row begins a key, and the first document of its key."""
+def _leaders(key: np.ndarray) -> np.ndarray:
+    """Of rows sorted by key: the index of the first row of each row's key."""
     head = np.ones(len(key), bool)
     head[1:] = key[1:] != key[:-1]
-    return head, doc[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))]
+    return np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
 
 
 def candidates(docs: DataFrame, min_words: int, hashes: int) -> DataFrame:
-    """Pairs (leader, member) of documents that share a signature.
+    """key, leader, member, at: the documents (member) that share a signature (key), and where in them it lies.
 
-    Each task first joins the rows of its own batch: of a key that many of its documents have, one goes
-    on to the shuffle, and the others are paired with it at once. After the shuffle a task reads its keys
-    as a sorted stream and pairs the documents of a key with the first of them.
+    Each task first joins the rows of its own batch: of a key that many of its documents have, the first
+    is dealt by the key, and the others, which it leads, by key and document. After the shuffle a task
+    reads its keys as a sorted stream, and the first document of a key leads the others. A leader has a
+    row of its own, led by itself. A leader is always the smaller doc_id.
     """
     width = min_words - SHINGLE + 1
 
@@ -106,51 +110,59 @@ def candidates(docs: DataFrame, min_words: int, hashes: int) -> DataFrame:
 
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            keys, owners = [], []
+            keys, owners, places = [], [], []
             for a, b in chunks([len(t.as_py() or "") for t in texts], 1 << 19):
                 parts = [shingles(words_of(t.as_py())) for t in texts.slice(a, b - a)]
-                key, at = signatures(np.concatenate(parts), [len(p) for p in parts], width, hashes)
+                key, of, at = signatures(np.concatenate(parts), [len(p) for p in parts], width, hashes)
                 keys.append(key.view(np.int64))
-                owners.append(ids[a + at])
+                owners.append(ids[a + of])
+                places.append(at)
             if not keys:
                 continue
-            key, doc = np.concatenate(keys), np.concatenate(owners)
-            order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
+            key, doc, at = np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
+            order = np.lexsort((at, doc, key))
+            key, doc, at = key[order], doc[order], at[order]
             once = np.ones(len(key), bool)
             once[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-            key, doc = key[once], doc[once]
-            head, leader = _led(key, doc)
-            pairs = np.unique(np.stack([leader[~head], doc[~head]]), axis=1) if len(key) else np.zeros((2, 0), np.int64)
+            key, doc, at = key[once], doc[once], at[once]
+            first = _leaders(key)
+            head = first == np.arange(len(key))
+            led = ~head
+            led[first[~head]] = True  # the leader's own row
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([key[head], mixed(pairs[1].astype(np.uint64)).view(np.int64)])),
-                 pa.array(np.concatenate([doc[head], pairs[1]])),
-                 pa.concat_arrays([pa.nulls(int(head.sum()), pa.int64()), pa.array(pairs[0])])],
-                names=["key", "doc", "leader"],
+                [pa.array(np.concatenate([x[head], x[led]])) for x in (key, doc, at)]
+                + [pa.concat_arrays([pa.nulls(int(head.sum()), pa.int64()), pa.array(doc[first][led])])],
+                names=["key", "doc", "at", "leader"],
             )
 
     def pair(batches):
         import pyarrow as pa
 
-        at, leads = None, 0
+        before = None
         for batch in batches:
-            key, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            known = np.asarray(batch.column(2).is_valid())
-            leader = batch.column(2).fill_null(0).to_numpy()
-            pairs = [np.stack([leader[known], doc[known]])]
-            key, doc = key[~known], doc[~known]
+            key, doc, at = (batch.column(c).to_numpy() for c in ("key", "doc", "at"))
+            known = np.asarray(batch.column("leader").is_valid())
+            out = [(key[known], batch.column("leader").fill_null(0).to_numpy()[known], doc[known], at[known])]
+            key, doc, at = key[~known], doc[~known], at[~known]
             if len(key):
-                _, lead = _led(key, doc)
-                if at == key[0]:
-                    lead = np.where(key == at, leads, lead)
-                at, leads = key[-1], lead[-1]
-                pairs.append(np.stack([lead[lead != doc], doc[lead != doc]]))
-            pairs = np.unique(np.concatenate(pairs, 1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["leader", "member"])
-
-    rows = docs.select("doc_id", "text").mapInArrow(sign, "key bigint, doc bigint, leader bigint")
-    rows = rows.repartition("key").sortWithinPartitions("key", "doc")
-    return rows.mapInArrow(pair, "leader bigint, member bigint").distinct()
+                first = _leaders(key)
+                lead, lead_at = doc[first], at[first]
+                if before and before[0] == key[0]:
+                    same = key == key[0]
+                    lead, lead_at = np.where(same, before[1], lead), np.where(same, before[2], lead_at)
+                before = (key[-1], lead[-1], lead_at[-1])
+                led = lead != doc
+                key, lead, lead_at = key[led], lead[led], lead_at[led]
+                out.append((key, lead, doc[led], at[led]))
+                own = np.unique(_leaders(key))
+                out.append((key[own], lead[own], lead[own], lead_at[own]))
+            columns = [np.concatenate(c) for c in zip(*out)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "leader", "member", "at"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(sign, "key bigint, doc bigint, at bigint, leader bigint")
+    dealt = F.when(F.col("leader").isNull(), F.xxhash64("key")).otherwise(F.xxhash64("key", "doc"))
+    rows = rows.repartition(dealt).sortWithinPartitions("key", "doc")
+    return rows.mapInArrow(pair, "key bigint, leader bigint, member bigint, at bigint")
 
 
 # --- verification ------------------------------------------------------------------------------------
@@ -227,6 +239,135 @@ def _judge(min_words: int, threshold: float):
     return judge
 
 
+def _near_windows(a: np.ndarray, at_a: int, b: np.ndarray, at_b: int, width: int, threshold: float):
+    """Starts of the two most similar sequences of ``width`` shingles that hold the given places, and their
+    similarity; None if it is below ``threshold``."""
+    equal = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    equal[1:, 1:] = a[:, None] == b[None, :]
+    sums = equal.cumsum(0).cumsum(1)
+    i = np.arange(max(0, at_a - width + 1), min(at_a, len(a) - width) + 1)
+    j = np.arange(max(0, at_b - width + 1), min(at_b, len(b) - width) + 1)
+    both = sums[np.ix_(i + width, j + width)] - sums[np.ix_(i, j + width)] - sums[np.ix_(i + width, j)] + sums[np.ix_(i, j)]
+    if len(np.unique(a)) == len(a) and len(np.unique(b)) == len(b):
+        x, y = np.unravel_index(both.argmax(), both.shape)
+        similarity = both[x, y] / (2 * width - both[x, y])
+    else:  # repeated shingles count once
+        similarity, x, y = 0.0, 0, 0
+        sets_a, sets_b = [np.unique(a[k : k + width]) for k in i], [np.unique(b[k : k + width]) for k in j]
+        for u, v in np.argwhere(both).tolist():
+            n, m = len(sets_a[u]), len(sets_b[v])
+            if min(n, m, both[u, v]) <= similarity * max(n, m):
+                continue
+            shared = len(np.intersect1d(sets_a[u], sets_b[v], assume_unique=True))
+            if shared / (n + m - shared) > similarity:
+                similarity, x, y = shared / (n + m - shared), u, v
+    return (int(i[x]), int(j[y]), float(similarity)) if similarity >= threshold else None
+
+
+def surroundings(places: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, at, begin, items: the shingles of all sequences of ``width`` that hold the places (doc_id, at)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for doc, text, ats in zip(*(c.to_pylist() for c in batch.columns)):
+                h = shingles(words_of(text))
+                begin = [max(0, at - width + 1) for at in ats]
+                items = [h[b : at + width].tobytes() for b, at in zip(begin, ats)]
+                yield pa.RecordBatch.from_pydict({"doc_id": [doc] * len(ats), "at": ats, "begin": begin, "items": items})
+
+    rows = docs.select("doc_id", "text").join(places.groupBy("doc_id").agg(F.collect_set("at").alias("ats")), "doc_id")
+    return rows.select("doc_id", "text", "ats").mapInArrow(run, "doc_id bigint, at bigint, begin bigint, items binary")
+
+
+def missed_links(
+    shared: DataFrame, found: DataFrame, docs: DataFrame, min_words: int, threshold: float, block: int = 2048
+) -> DataFrame:
+    """Passages of ``min_words`` words around a shared signature whose documents ``found`` doesn't connect there.
+
+    ``shared`` has the rows of :func:`candidates`, ``found`` the passages verified between leaders and members.
+    A member whose place no passage shared with its leader covers is a class of its own in that signature.
+    In a signature with several classes, all documents outside the largest class are compared with all its
+    documents, so each pair is linked or ruled out. Documents are dealt by hash into blocks of about
+    ``block``; a task holds one block and reads what is compared with it as a stream. Only the shingles
+    around the places are read, and a link comes out only if the task has none between the two classes yet.
+    """
+    width = min_words - SHINGLE + 1
+    spans = found.groupBy("leader", "member").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    covered = F.exists("spans", lambda s: (s.start_word <= F.col("at")) & (F.col("at") + SHINGLE <= s.end_word))
+    linked = (F.col("leader") == F.col("member")) | F.coalesce(covered, F.lit(False))
+    placed = shared.join(spans, ["leader", "member"], "left")
+    placed = checkpointed(placed.select("key", "leader", F.col("member").alias("doc_id"), "at", linked.alias("linked")))
+    opened = checkpointed(placed.where(~F.col("linked")).select("key").distinct())
+    placed = placed.join(small(opened), "key").groupBy("key", "doc_id").agg(
+        F.min("at").alias("at"), F.min(F.when(F.col("linked"), F.col("leader")).otherwise(F.col("doc_id"))).alias("root")
+    )
+    placed = checkpointed(placed)
+    above = placed.select("key", F.col("doc_id").alias("root"), F.col("root").alias("top"))  # a leader may be led itself
+    placed = placed.join(above, ["key", "root"]).select("key", "doc_id", "at", F.col("top").alias("root"))
+    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
+    sizes = sizes.agg(F.sum("n").alias("n"), F.count("*").alias("classes"), F.max(F.struct("n", "root")).alias("top"))
+    sizes = sizes.where("classes > 1 and n > 2")  # two documents have been compared
+    sizes = sizes.select("key", F.col("top.root").alias("top"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    placed = checkpointed(placed.join(small(checkpointed(sizes)), "key"))
+    columns = ["key", "salt", "asks", "doc_id", "root", "at"]
+    held = placed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(False))
+    asked = placed.where("root <> top").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = held.select(columns).union(asked.withColumn("asks", F.lit(True)).select(columns))
+    near = checkpointed(surroundings(placed.select("doc_id", "at").distinct(), docs, width))
+    rows = rows.join(near, ["doc_id", "at"]).select(*columns, "begin", "items")
+    rows = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "asks", "doc_id")
+    names = [c.split()[0] for c in f"leader bigint, member bigint, {_FOUND}".split(", ")]
+
+    def verify(batches):
+        import pyarrow as pa
+
+        group, own, above = None, [], {}
+
+        def find(root):
+            while above.get(root, root) != root:
+                root = above[root]
+            return root
+
+        for batch in batches:
+            links = []
+            for key, salt, asks, doc, root, at, begin, items in zip(*(c.to_pylist() for c in batch.columns)):
+                if group != (key, salt):
+                    group, own, above = (key, salt), [], {}
+                items = np.frombuffer(items, np.uint64)
+                if not asks:
+                    own.append((doc, root, at - begin, begin, items))
+                    continue
+                if not own:  # no document of the signature fell into this block
+                    continue
+                if isinstance(own, list):
+                    lengths = np.array([len(o[4]) for o in own])
+                    own = (own, np.concatenate([o[4] for o in own]), np.cumsum(lengths) - lengths)
+                others, theirs, starts = own
+                mine = np.unique(items)
+                met = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+                met = np.add.reduceat(met.astype(np.int64), starts)
+                fewest = width
+                if len(mine) < len(items):  # repeated shingles count once
+                    fewest = min(len(np.unique(items[k : k + width])) for k in range(len(items) - width + 1))
+                for o in np.flatnonzero(met >= threshold * fewest).tolist():
+                    other, other_root, other_at, other_begin, other_items = others[o]
+                    x, y = find(root), find(other_root)
+                    if x == y or other == doc:
+                        continue
+                    match = _near_windows(items, at - begin, other_items, other_at, width, threshold)
+                    if match:
+                        above[x] = y
+                        i, j = begin + match[0], other_begin + match[1]
+                        one, two = sorted([(doc, i), (other, j)])
+                        links.append((one[0], two[0], one[1], one[1] + min_words, two[1], two[1] + min_words, match[2]))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*links)], names=names)
+
+    return rows.mapInArrow(verify, f"leader bigint, member bigint, {_FOUND}")
+
+
 def near_duplicate_passages(
     docs: DataFrame, min_words: int = MIN_WORDS, hashes: int = HASHES, threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -234,13 +375,15 @@ def near_duplicate_passages(
 
     Returns doc_id, start_word, end_word, other_doc_id, other_start, other_end, similarity: words
     [start, end) of the document, counted from 0 between white space, are near the other's words: the
-    Jaccard similarity of their five-word shingles is at least ``threshold``. Pairs are found between
-    different texts, each with the first document of every signature they share; ``other_doc_id`` is the
-    smallest document of its text. A copy of a whole text of ``min_words`` words or more is a passage of
-    it (similarity 1), and every copy of a text has the passages of that text.
-
-    NULL, empty and shorter texts have none, nor have rows without doc_id. Repeated rows are copies of themselves and add no rows.
-    Repeats within one document aren't reported. Only doc_id and text are read.
+    Jaccard similarity of their five-word shingles is at least ``threshold``. Documents that share a
+    signature are compared with the first of them, and those that aren't near it there with all the others
+    (:func:`missed_links`); two passages that a chain of listed ones connects needn't be listed as a pair.
+    ``other_doc_id`` is the smaller document, and the smallest of its text. A copy of a whole text of
+    ``min_words`` words or more is a passage of it (similarity 1), and every copy of a text has the passages
+    of that text.
+
+    NULL, empty and shorter texts have none, nor have rows without doc_id. Repeated rows are copies of
+    themselves and add no rows. Repeats within one document aren't reported. Only doc_id and text are read.
     """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\p{IsWhite_Space}\x1C-\x1F]+"))
@@ -249,14 +392,18 @@ def near_duplicate_passages(
     texts = checkpointed(ids.groupBy("digest").agg(F.min("doc_id").alias("rep")))
     ids = checkpointed(ids.join(texts, "digest").select("doc_id", "rep", "n_words"))
 
-    pairs = candidates(docs, min_words, hashes)
-    for side in ("leader", "member"):
-        to = ids.select(F.col("doc_id").alias(side), F.col("rep").alias(f"{side}_rep"))
-        pairs = pairs.join(to, side).drop(side).withColumnRenamed(f"{side}_rep", side)
-    pairs = pairs.where("leader <> member").select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member"))
-    pairs = checkpointed(pairs.distinct())
-    schema = "other_start bigint, other_end bigint, start_word bigint, end_word bigint, similarity double"
-    found = compare_texts(pairs, docs, _judge(min_words, threshold), schema).distinct()
+    copies = ids.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("rep")).alias("copy")).where("copy").select("doc_id")
+    docs = docs.join(small(copies), "doc_id", "left_anti")
+
+    shared = checkpointed(candidates(docs, min_words, hashes))
+    pairs = checkpointed(shared.where("leader <> member").select("leader", "member").distinct())
+    judge = _judge(min_words, threshold)
+    found = checkpointed(compare_texts(pairs, docs, judge, _FOUND).distinct())
+    links = checkpointed(missed_links(shared, found, docs, min_words, threshold).distinct())
+    unread = links.select("leader", "member").distinct().join(pairs, ["leader", "member"], "left_anti")
+    late = checkpointed(compare_texts(checkpointed(unread), docs, judge, _FOUND).distinct())
+    links = links.join(late.select("leader", "member").distinct(), ["leader", "member"], "left_anti")
+    found = found.unionByName(late).unionByName(links)
     columns = ["doc_id", "start_word", "end_word", "other_doc_id", "other_start", "other_end", "similarity"]
     of_texts = found.withColumnsRenamed({"leader": "other_doc_id", "member": "rep"}).join(ids.select("doc_id", "rep"), "rep")
     zero, whole = F.lit(0).cast("bigint"), F.col("n_words")

@@ -178,6 +178,49 @@ def test_every_repeated_passage_is_found(spark):
     assert {tuple(sorted((x.doc_id, x.other_doc_id))) for x in found} == set(planted)
 
 
+def test_passages_that_are_not_near_the_first_of_their_signature_are_linked(spark):
+    rows, planted = [], set()
+    for k in range(30):
+        part = fixtures.prose(42, 100 + k)  # too short to count, but with most of the smallest hashes of the passage
+        passage = f"{fixtures.prose(6, 200 + k)} {part} {fixtures.prose(6, 300 + k)}"
+        for i in range(8):
+            middle = part if i < 5 else passage
+            rows.append((8 * k + i, " ".join([fixtures.prose(60, 1000 + 20 * k + i), middle, fixtures.prose(60, 9000 + 20 * k + i)])))
+        planted |= {(8 * k + 5, 8 * k + 6), (8 * k + 5, 8 * k + 7)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+    found = passages.near_duplicate_passages(docs).collect()
+    pairs = {(x.other_doc_id, x.doc_id) for x in found}
+    joined = components_of(pairs)
+    for a, b in planted:
+        assert joined.get(a, a) == joined.get(b, b), (a, b)
+    texts = {i: words_of(t) for i, t in rows}
+    for x in found:
+        one, two = (set(shingles(texts[i][a:b]).tolist()) for i, a, b in ((x.doc_id, x.start_word, x.end_word), (x.other_doc_id, x.other_start, x.other_end)))
+        assert x.end_word - x.start_word >= 50 and len(one & two) / len(one | two) == pytest.approx(x.similarity) and x.similarity >= 0.8
+
+
+def components_of(pairs):
+    root = {}
+    for a, b in pairs:
+        x, y = root.setdefault(a, a), root.setdefault(b, b)
+        root = {i: min(x, y) if v in (x, y) else v for i, v in root.items()}
+    return root
+
+
+def test_missed_links_meet_across_blocks(spark):
+    passage = fixtures.prose(60, 77)
+    texts = [" ".join([fixtures.prose(40, 10 + i), passage if i else fixtures.prose(60, 78), fixtures.prose(40, 50 + i)]) for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shared = spark.createDataFrame([(7, 0, i, 45) for i in range(20)], "key long, leader long, member long, at long")
+    for block in (3, 2048):
+        none = spark.createDataFrame([], "leader long, member long, start_word long, end_word long")
+        found = passages.missed_links(shared, none, docs, 50, 0.8, block).collect()
+        joined = components_of((x.leader, x.member) for x in found)
+        assert {joined[i] for i in range(1, 20)} == {1} and 0 not in joined
+        assert all(x.similarity == 1 and x.end_word - x.start_word == 50 for x in found)
+
+
 # --- op7 ---------------------------------------------------------------------------------------------
 
 
