@@ -239,29 +239,26 @@ def _judge(min_words: int, threshold: float):
     return judge
 
 
-def _near_windows(a: np.ndarray, at_a: int, b: np.ndarray, at_b: int, width: int, threshold: float):
-    """Starts of the two most similar sequences of ``width`` shingles that hold the given places, and their
-    similarity; None if it is below ``threshold``."""
-    equal = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    equal[1:, 1:] = a[:, None] == b[None, :]
-    sums = equal.cumsum(0).cumsum(1)
-    i = np.arange(max(0, at_a - width + 1), min(at_a, len(a) - width) + 1)
-    j = np.arange(max(0, at_b - width + 1), min(at_b, len(b) - width) + 1)
-    both = sums[np.ix_(i + width, j + width)] - sums[np.ix_(i, j + width)] - sums[np.ix_(i + width, j)] + sums[np.ix_(i, j)]
-    if len(np.unique(a)) == len(a) and len(np.unique(b)) == len(b):
-        x, y = np.unravel_index(both.argmax(), both.shape)
-        similarity = both[x, y] / (2 * width - both[x, y])
-    else:  # repeated shingles count once
-        similarity, x, y = 0.0, 0, 0
-        sets_a, sets_b = [np.unique(a[k : k + width]) for k in i], [np.unique(b[k : k + width]) for k in j]
-        for u, v in np.argwhere(both).tolist():
-            n, m = len(sets_a[u]), len(sets_b[v])
-            if min(n, m, both[u, v]) <= similarity * max(n, m):
-                continue
-            shared = len(np.intersect1d(sets_a[u], sets_b[v], assume_unique=True))
-            if shared / (n + m - shared) > similarity:
-                similarity, x, y = shared / (n + m - shared), u, v
-    return (int(i[x]), int(j[y]), float(similarity)) if similarity >= threshold else None
+def _sequences(items: np.ndarray, at: int, width: int):
+    """Starts of the sequences of ``width`` that hold place ``at``, the distinct shingles, which of these
+    each sequence has (a column per start), and how many."""
+    starts = np.arange(max(0, at - width + 1), min(at, len(items) - width) + 1)
+    distinct, which = np.unique(items, return_inverse=True)
+    seen = np.zeros((len(distinct), len(items) + 1), np.int16)
+    seen[which, np.arange(1, len(items) + 1)] = 1
+    seen = seen.cumsum(1)
+    has = (seen[:, starts + width] > seen[:, starts]).astype(np.float32)
+    return starts, distinct, has, has.sum(0)
+
+
+def _nearest(one, two, threshold: float):
+    """Starts of the two most similar of the sequences of two places, and their Jaccard similarity; None if it
+    is below ``threshold``."""
+    _, i, j = np.intersect1d(one[1], two[1], assume_unique=True, return_indices=True)
+    both = one[2][i].T @ two[2][j]
+    similarity = both.astype(np.float64) / (one[3][:, None] + two[3][None, :] - both)
+    x, y = np.unravel_index(similarity.argmax(), similarity.shape)
+    return (int(one[0][x]), int(two[0][y]), float(similarity[x, y])) if similarity[x, y] >= threshold else None
 
 
 def surroundings(places: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -318,6 +315,7 @@ def missed_links(
     near = checkpointed(surroundings(placed.select("doc_id", "at").distinct(), docs, width))
     rows = rows.join(near, ["doc_id", "at"]).select(*columns, "begin", "items")
     rows = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "asks", "doc_id")
+    least = 2 * threshold / (1 + threshold) - 1e-9  # of two sequences, a similarity of threshold needs this share of either
     names = [c.split()[0] for c in f"leader bigint, member bigint, {_FOUND}".split(", ")]
 
     def verify(batches):
@@ -326,8 +324,10 @@ def missed_links(
         group, own, above = None, [], {}
 
         def find(root):
-            while above.get(root, root) != root:
-                root = above[root]
+            while root in above:
+                up = above[root]
+                above[root] = up = above.get(up, up)
+                root = up
             return root
 
         for batch in batches:
@@ -341,22 +341,24 @@ def missed_links(
                     continue
                 if not own:  # no document of the signature fell into this block
                     continue
-                if isinstance(own, list):
-                    lengths = np.array([len(o[4]) for o in own])
-                    own = (own, np.concatenate([o[4] for o in own]), np.cumsum(lengths) - lengths)
-                others, theirs, starts = own
-                mine = np.unique(items)
-                met = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
-                met = np.add.reduceat(met.astype(np.int64), starts)
-                fewest = width
-                if len(mine) < len(items):  # repeated shingles count once
-                    fewest = min(len(np.unique(items[k : k + width])) for k in range(len(items) - width + 1))
-                for o in np.flatnonzero(met >= threshold * fewest).tolist():
+                if isinstance(own, list):  # its shingles as a sorted index
+                    sets = [np.unique(o[4]) for o in own]
+                    theirs, owner = np.concatenate(sets), np.repeat(np.arange(len(own)), [len(x) for x in sets])
+                    order = np.argsort(theirs, kind="stable")
+                    fewest = np.array([len(x) if len(x) == len(o[4]) else _sequences(o[4], o[2], width)[3].min() for x, o in zip(sets, own)])
+                    own = (own, theirs[order], owner[order], np.minimum(fewest, width))
+                others, theirs, owner, fewest = own
+                here = _sequences(items, at - begin, width)
+                low, high = np.searchsorted(theirs, here[1]), np.searchsorted(theirs, here[1], "right")
+                count = high - low
+                met = np.arange(count.sum()) + np.repeat(low - np.cumsum(count) + count, count)
+                met = np.bincount(owner[met], minlength=len(others))
+                for o in np.flatnonzero(met >= least * np.maximum(fewest, here[3].min())).tolist():
                     other, other_root, other_at, other_begin, other_items = others[o]
                     x, y = find(root), find(other_root)
                     if x == y or other == doc:
                         continue
-                    match = _near_windows(items, at - begin, other_items, other_at, width, threshold)
+                    match = _nearest(here, _sequences(other_items, other_at, width), threshold)
                     if match:
                         above[x] = y
                         i, j = begin + match[0], other_begin + match[1]
