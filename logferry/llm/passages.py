@@ -188,8 +188,48 @@ def _runs(a: np.ndarray, where: dict, b: np.ndarray) -> list[tuple[int, int, int
     return runs
 
 
+def _similarities(a, b, chain):
+    """Jaccard similarity of the passages from the first run of ``chain`` to each of its runs."""
+    a0, b0 = chain[0][:2]
+    end_a = np.maximum.accumulate([i + n for i, _, n in chain]) - a0
+    end_b = np.array([j + n for _, j, n in chain]) - b0
+    one, first_a = np.unique(a[a0 : a0 + end_a[-1]], return_index=True)
+    two, first_b = np.unique(b[b0 : b0 + end_b[-1]], return_index=True)
+    in_a, in_b = np.searchsorted(end_a, first_a, "right"), np.searchsorted(end_b, first_b, "right")
+    _, x, y = np.intersect1d(one, two, assume_unique=True, return_indices=True)
+    count_a, count_b, both = (
+        np.bincount(at, minlength=len(chain)).cumsum() for at in (in_a, in_b, np.maximum(in_a[x], in_b[y]))
+    )
+    return both / (count_a + count_b - both), end_a + a0, end_b + b0
+
+
+def _hopeful(a, b, chain, least: int, threshold: float) -> np.ndarray:
+    """Which runs of ``chain`` a passage may begin with: none that begins with another one can be similar enough.
+
+    Shingles that stand once in a text and not in the other count against a passage wherever it holds them.
+    """
+    a0, b0 = chain[0][:2]
+    end_a = np.maximum.accumulate([i + n for i, _, n in chain]) - a0
+    end_b = np.array([j + n for _, j, n in chain]) - b0
+    begin_a, begin_b = np.array([i for i, _, _ in chain]) - a0, np.array([j for _, j, _ in chain]) - b0
+    a, b = a[a0 : a0 + end_a[-1]], b[b0 : b0 + end_b[-1]]
+    most, against = None, 0
+    for x, y, begin, end in ((a, b, begin_a, end_a), (b, a, begin_b, end_b)):
+        values, which, times = np.unique(x, return_inverse=True, return_counts=True)
+        common = np.isin(values, y)
+        sums = [np.concatenate([[0], flag[which].cumsum()]) for flag in (common, ~common & (times == 1))]
+        shared, alone = (c[end][None, :] - c[np.maximum(begin, 0)][:, None] for c in sums)
+        most, against = shared if most is None else np.minimum(most, shared), against + np.maximum(alone, 0)
+    wide = (end_b[None, :] - begin_b[:, None] >= least) & (end_a[None, :] - begin_a[:, None] >= least)
+    return (wide & (most >= (threshold - 1e-9) * (most + against))).any(1)
+
+
 def _matches(a, b, runs, least: int, threshold: float, slack: int):
-    """Passages of at least ``least`` shingles that chains of runs cover closely enough."""
+    """Passages of at least ``least`` shingles that chains of runs cover closely enough.
+
+    All passages that begin with one run of a chain and end with another are tried. The longest that is similar enough
+    is taken, and then those in what lies before and after it.
+    """
     chains, chain = [], []
     for run in runs:
         if chain:
@@ -203,19 +243,20 @@ def _matches(a, b, runs, least: int, threshold: float, slack: int):
     found = []
     while todo:
         chain = todo.pop()
-        (a0, b0, _), (i, j, n) = chain[0], chain[-1]
-        a1, b1 = i + n, j + n
-        if min(a1 - a0, b1 - b0) < least:
-            continue
-        one, two = np.unique(a[a0:a1]), np.unique(b[b0:b1])
-        both = len(np.intersect1d(one, two, assume_unique=True))
-        similarity = both / (len(one) + len(two) - both)
-        if similarity >= threshold:
-            found.append((a0, a1, b0, b1, similarity))
-        elif len(chain) > 1:  # cut at the widest gap
-            gaps = [y[1] - x[1] - x[2] for x, y in zip(chain, chain[1:])]
-            cut = gaps.index(max(gaps)) + 1
-            todo += [chain[:cut], chain[cut:]]
+        best = None
+        for first in np.flatnonzero(_hopeful(a, b, chain, least, threshold)).tolist():
+            a0, b0, _ = chain[first]
+            if chain[-1][1] + chain[-1][2] - b0 < (max(least, best[0] + 1) if best else least):
+                break
+            similarity, a1, b1 = _similarities(a, b, chain[first:])
+            good = np.flatnonzero((similarity >= threshold) & (np.minimum(a1 - a0, b1 - b0) >= least))
+            if good.size and (best is None or b1[good[-1]] - b0 > best[0]):
+                last = good[-1]
+                best = (b1[last] - b0, first, first + int(last), (a0, int(a1[last]), b0, int(b1[last]), float(similarity[last])))
+        if best:
+            _, first, last, passage = best
+            found.append(passage)
+            todo += [part for part in (chain[:first], chain[last + 1 :]) if part]
     return found
 
 
@@ -305,8 +346,7 @@ def missed_links(
     placed = placed.join(above, ["key", "root"]).select("key", "doc_id", "at", F.col("top").alias("root"))
     sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
     sizes = sizes.agg(F.sum("n").alias("n"), F.count("*").alias("classes"), F.max(F.struct("n", "root")).alias("top"))
-    sizes = sizes.where("classes > 1 and n > 2")  # two documents have been compared
-    sizes = sizes.select("key", F.col("top.root").alias("top"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    sizes = sizes.where("classes > 1").select("key", F.col("top.root").alias("top"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     placed = checkpointed(placed.join(small(checkpointed(sizes)), "key"))
     columns = ["key", "salt", "asks", "doc_id", "root", "at"]
     held = placed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(False))
@@ -345,19 +385,23 @@ def missed_links(
                     sets = [np.unique(o[4]) for o in own]
                     theirs, owner = np.concatenate(sets), np.repeat(np.arange(len(own)), [len(x) for x in sets])
                     order = np.argsort(theirs, kind="stable")
-                    fewest = np.array([len(x) if len(x) == len(o[4]) else _sequences(o[4], o[2], width)[3].min() for x, o in zip(sets, own)])
-                    own = (own, theirs[order], owner[order], np.minimum(fewest, width))
+                    fewest = np.array([width if len(x) == len(o[4]) else _sequences(o[4], o[2], width)[3].min() for x, o in zip(sets, own)])
+                    own = (own, theirs[order], owner[order], fewest)
                 others, theirs, owner, fewest = own
-                here = _sequences(items, at - begin, width)
-                low, high = np.searchsorted(theirs, here[1]), np.searchsorted(theirs, here[1], "right")
+                mine, here = np.unique(items), None
+                low, high = np.searchsorted(theirs, mine), np.searchsorted(theirs, mine, "right")
                 count = high - low
                 met = np.arange(count.sum()) + np.repeat(low - np.cumsum(count) + count, count)
                 met = np.bincount(owner[met], minlength=len(others))
-                for o in np.flatnonzero(met >= least * np.maximum(fewest, here[3].min())).tolist():
+                if len(mine) < len(items):  # repeated shingles: some sequence has fewer than width of them
+                    here = _sequences(items, at - begin, width)
+                my_fewest = width if here is None else here[3].min()
+                for o in np.flatnonzero(met >= least * np.maximum(fewest, my_fewest)).tolist():
                     other, other_root, other_at, other_begin, other_items = others[o]
                     x, y = find(root), find(other_root)
                     if x == y or other == doc:
                         continue
+                    here = _sequences(items, at - begin, width) if here is None else here
                     match = _nearest(here, _sequences(other_items, other_at, width), threshold)
                     if match:
                         above[x] = y
@@ -404,7 +448,10 @@ def near_duplicate_passages(
     links = checkpointed(missed_links(shared, found, docs, min_words, threshold).distinct())
     unread = links.select("leader", "member").distinct().join(pairs, ["leader", "member"], "left_anti")
     late = checkpointed(compare_texts(checkpointed(unread), docs, judge, _FOUND).distinct())
-    links = links.join(late.select("leader", "member").distinct(), ["leader", "member"], "left_anti")
+    spans = late.groupBy("leader", "member").agg(F.collect_list(F.struct("other_start", "other_end", "start_word", "end_word")).alias("spans"))
+    covered = F.exists("spans", lambda s: F.col("start_word").between(s.start_word, s.end_word) & F.col("end_word").between(s.start_word, s.end_word)
+        & F.col("other_start").between(s.other_start, s.other_end) & F.col("other_end").between(s.other_start, s.other_end))
+    links = links.join(spans, ["leader", "member"], "left").where(~F.coalesce(covered, F.lit(False))).drop("spans")
     found = found.unionByName(late).unionByName(links)
     columns = ["doc_id", "start_word", "end_word", "other_doc_id", "other_start", "other_end", "similarity"]
     of_texts = found.withColumnsRenamed({"leader": "other_doc_id", "member": "rep"}).join(ids.select("doc_id", "rep"), "rep")

@@ -200,6 +200,34 @@ def test_passages_that_are_not_near_the_first_of_their_signature_are_linked(spar
         assert x.end_word - x.start_word >= 50 and len(one & two) / len(one | two) == pytest.approx(x.similarity) and x.similarity >= 0.8
 
 
+def test_a_passage_does_not_depend_on_what_follows_it():
+    w = fixtures.prose(100, 61).split()
+    one = w[:51] + w[51:55] + w[55:62] + w[62:66] + w[66:73]
+    two = list(one)
+    for i in [25, *range(51, 55), *range(62, 66)]:  # runs of 21, 21, 3 and 3 shingles
+        two[i] = f"other{i}"
+    judge = passages._judge(50, 0.8)
+    for end in (51, len(one)):
+        found = judge(judge(None, " ".join(one[:end])), " ".join(two[:end]))
+        assert [(r[0], r[1], r[2], r[3]) for r in found] == [(0, 51, 0, 51)] and found[0][4] == pytest.approx(42 / 52)
+
+
+def test_signatures_of_two_documents_are_searched(spark):
+    rows = []
+    for k in range(12):  # 42 shingles of 46 are shared: 42 / 50
+        part = fixtures.prose(46, 600 + k)
+        rows += [(2 * k + i, f"{fixtures.prose(40, 700 + 2 * k + i)} {part} {fixtures.prose(40, 800 + 2 * k + i)}") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    shared = passages.candidates(docs, 50, passages.HASHES).where("leader <> member").select("leader", "member").distinct()
+    want = {(x.leader, x.member) for x in shared.collect() if x.leader // 2 == x.member // 2}
+    found = passages.near_duplicate_passages(docs).collect()
+    assert len(want) > 8 and {(x.other_doc_id, x.doc_id) for x in found} == want
+    texts = {i: words_of(t) for i, t in rows}
+    for x in found:
+        one, two = (set(shingles(texts[i][a:b]).tolist()) for i, a, b in ((x.doc_id, x.start_word, x.end_word), (x.other_doc_id, x.other_start, x.other_end)))
+        assert x.end_word - x.start_word >= 50 and len(one & two) / len(one | two) == pytest.approx(x.similarity) and x.similarity >= 0.8
+
+
 def components_of(pairs):
     root = {}
     for a, b in pairs:
