@@ -96,12 +96,12 @@ def _leaders(key: np.ndarray) -> np.ndarray:
 
 
 def candidates(docs: DataFrame, min_words: int, hashes: int) -> DataFrame:
-    """key, leader, member, at: the documents (member) that share a signature (key), and where in them it lies.
+    """key, leader, member, at: the documents (member) that share a signature (key), and the places where it lies in them.
 
     Each task first joins the rows of its own batch: of a key that many of its documents have, the first
     is dealt by the key, and the others, which it leads, by key and document. After the shuffle a task
-    reads its keys as a sorted stream, and the first document of a key leads the others. A leader has a
-    row of its own, led by itself. A leader is always the smaller doc_id.
+    reads its keys as a sorted stream, and the first document of a key leads the others. A leader has
+    rows of its own, led by itself, for its own places. A leader is always the smaller doc_id.
     """
     width = min_words - SHINGLE + 1
 
@@ -123,12 +123,11 @@ def candidates(docs: DataFrame, min_words: int, hashes: int) -> DataFrame:
             order = np.lexsort((at, doc, key))
             key, doc, at = key[order], doc[order], at[order]
             once = np.ones(len(key), bool)
-            once[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+            once[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])
             key, doc, at = key[once], doc[once], at[once]
             first = _leaders(key)
-            head = first == np.arange(len(key))
-            led = ~head
-            led[first[~head]] = True  # the leader's own row
+            head = doc == doc[first]
+            led = np.isin(first, first[~head])  # with the leader's own rows
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([x[head], x[led]])) for x in (key, doc, at)]
                 + [pa.concat_arrays([pa.nulls(int(head.sum()), pa.int64()), pa.array(doc[first][led])])],
@@ -145,17 +144,16 @@ def candidates(docs: DataFrame, min_words: int, hashes: int) -> DataFrame:
             out = [(key[known], batch.column("leader").fill_null(0).to_numpy()[known], doc[known], at[known])]
             key, doc, at = key[~known], doc[~known], at[~known]
             if len(key):
+                if before and before[0] == key[0]:  # the places of a leader that came with the last batch
+                    key, doc, at = (np.concatenate([np.full(len(before[2]), x), y]) for x, y in ((key[0], key), (before[1], doc), (0, at)))
+                    at[: len(before[2])] = before[2]
                 first = _leaders(key)
-                lead, lead_at = doc[first], at[first]
-                if before and before[0] == key[0]:
-                    same = key == key[0]
-                    lead, lead_at = np.where(same, before[1], lead), np.where(same, before[2], lead_at)
-                before = (key[-1], lead[-1], lead_at[-1])
-                led = lead != doc
-                key, lead, lead_at = key[led], lead[led], lead_at[led]
-                out.append((key, lead, doc[led], at[led]))
-                own = np.unique(_leaders(key))
-                out.append((key[own], lead[own], lead[own], lead_at[own]))
+                lead = doc[first]
+                own = lead == doc
+                last = own & (key == key[-1])
+                before = (key[-1], lead[-1], at[last])
+                shown = np.isin(first, first[~own])
+                out.append((key[shown], lead[shown], doc[shown], at[shown]))
             columns = [np.concatenate(c) for c in zip(*out)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "leader", "member", "at"])
 
@@ -325,36 +323,48 @@ def missed_links(
     """Passages of ``min_words`` words around a shared signature whose documents ``found`` doesn't connect there.
 
     ``shared`` has the rows of :func:`candidates`, ``found`` the passages verified between leaders and members.
-    A member whose place no passage shared with its leader covers is a class of its own in that signature.
-    In a signature with several classes, all documents outside the largest class are compared with all its
-    documents, so each pair is linked or ruled out. Documents are dealt by hash into blocks of about
+    A document may hold a signature at several places. Each is taken by itself: it belongs to the place of the leader
+    that lies opposite it in a passage that covers both, and is a class of its own if there is none.
+    In a signature with several classes, all places outside the largest class are compared with all its
+    places, so each pair is linked or ruled out. Places are dealt by hash into blocks of about
     ``block``; a task holds one block and reads what is compared with it as a stream. Only the shingles
     around the places are read, and a link comes out only if the task has none between the two classes yet.
     """
     width = min_words - SHINGLE + 1
-    spans = found.groupBy("leader", "member").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
-    covered = F.exists("spans", lambda s: (s.start_word <= F.col("at")) & (F.col("at") + SHINGLE <= s.end_word))
-    linked = (F.col("leader") == F.col("member")) | F.coalesce(covered, F.lit(False))
-    placed = shared.join(spans, ["leader", "member"], "left")
-    placed = checkpointed(placed.select("key", "leader", F.col("member").alias("doc_id"), "at", linked.alias("linked")))
-    opened = checkpointed(placed.where(~F.col("linked")).select("key").distinct())
-    placed = placed.join(small(opened), "key").groupBy("key", "doc_id").agg(
-        F.min("at").alias("at"), F.min(F.when(F.col("linked"), F.col("leader")).otherwise(F.col("doc_id"))).alias("root")
+    sides = ["start_word", "end_word", "other_start", "other_end"]
+    sides = [F.col(c) if c in found.columns else F.lit(None).cast("bigint").alias(c) for c in sides]
+    spans = found.groupBy("leader", "member").agg(F.collect_list(F.struct(*sides)).alias("spans"))
+    leading = shared.where("leader = member").groupBy("key", "leader").agg(F.collect_set("at").alias("lead_ats"))
+    placed = shared.join(spans, ["leader", "member"], "left").join(small(checkpointed(leading)), ["key", "leader"])
+    covering = F.filter("spans", lambda s: (s.start_word <= F.col("at")) & (F.col("at") + SHINGLE <= s.end_word))
+
+    def opposite(s):
+        inside = F.filter("lead_ats", lambda p: (s.other_start <= p) & (p + SHINGLE <= s.other_end))
+        return F.transform(inside, lambda p: F.struct(F.abs(p - s.other_start - F.col("at") + s.start_word).alias("off"), p.alias("at")))
+
+    own = F.struct("doc_id", "at")
+    placed = placed.select("key", "leader", F.col("member").alias("doc_id"), "at", F.array_min(F.flatten(F.transform(covering, opposite))).alias("nearest"))
+    met = F.when(F.col("leader") == F.col("doc_id"), own).when(
+        F.col("nearest").isNotNull(), F.struct(F.col("leader").alias("doc_id"), F.col("nearest.at").alias("at"))
     )
-    placed = checkpointed(placed)
-    above = placed.select("key", F.col("doc_id").alias("root"), F.col("root").alias("top"))  # a leader may be led itself
+    placed = placed.groupBy("key", "doc_id", "at").agg(F.min(met).alias("met"))
+    placed = checkpointed(placed.select("key", "doc_id", "at", F.coalesce("met", own).alias("root")))
+    open_ = placed.groupBy("key").agg(F.countDistinct("root").alias("n")).where("n > 1").select("key")
+    placed = checkpointed(placed.join(small(checkpointed(open_)), "key"))
+    above = placed.select("key", own.alias("root"), F.col("root").alias("top"))  # a leader may be led itself
     placed = placed.join(above, ["key", "root"]).select("key", "doc_id", "at", F.col("top").alias("root"))
     sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
     sizes = sizes.agg(F.sum("n").alias("n"), F.count("*").alias("classes"), F.max(F.struct("n", "root")).alias("top"))
     sizes = sizes.where("classes > 1").select("key", F.col("top.root").alias("top"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     placed = checkpointed(placed.join(small(checkpointed(sizes)), "key"))
+    placed = placed.withColumn("outside", F.col("root") != F.col("top")).withColumn("root", F.concat_ws(":", "root.doc_id", "root.at"))
     columns = ["key", "salt", "asks", "doc_id", "root", "at"]
-    held = placed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(False))
-    asked = placed.where("root <> top").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = placed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(False))
+    asked = placed.where("outside").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = held.select(columns).union(asked.withColumn("asks", F.lit(True)).select(columns))
     near = checkpointed(surroundings(placed.select("doc_id", "at").distinct(), docs, width))
     rows = rows.join(near, ["doc_id", "at"]).select(*columns, "begin", "items")
-    rows = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "asks", "doc_id")
+    rows = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "asks", "doc_id", "at")
     least = 2 * threshold / (1 + threshold) - 1e-9  # of two sequences, a similarity of threshold needs this share of either
     names = [c.split()[0] for c in f"leader bigint, member bigint, {_FOUND}".split(", ")]
 

@@ -228,6 +228,27 @@ def test_signatures_of_two_documents_are_searched(spark):
         assert x.end_word - x.start_word >= 50 and len(one & two) / len(one | two) == pytest.approx(x.similarity) and x.similarity >= 0.8
 
 
+def test_every_place_of_a_signature_is_searched(spark):
+    part = fixtures.prose(42, 900)  # stands twice in a document, with other words around it
+    one, two = (f"{fixtures.prose(6, k)} {part} {fixtures.prose(6, k + 1)}" for k in (901, 903))
+    texts = {0: one, 1: f"{one} {fixtures.prose(70, 905)} {two}", 2: two}
+    docs = {i: f"{fixtures.prose(60, 910 + i)} {t} {fixtures.prose(60, 920 + i)}" for i, t in texts.items()}
+    words = {i: t.split() for i, t in docs.items()}
+    begin = part.split()[:5]
+    at = {i: [k for k in range(len(w) - 4) if w[k : k + 5] == begin] for i, w in words.items()}
+    assert [len(at[i]) for i in range(3)] == [1, 2, 1]
+    data = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    shared = passages.candidates(data.repartition(3), 50, passages.HASHES).collect()
+    assert any(len({x.at for x in shared if x.key == k and x.member == 1}) > 1 for k in {x.key for x in shared})
+
+    shared = spark.createDataFrame([(7, 0, i, p) for i in at for p in at[i]], "key long, leader long, member long, at long")
+    judge = passages._judge(50, 0.8)
+    found = [(0, i, *row) for i in (1, 2) for row in judge(judge(None, docs[0]), docs[i])]
+    found = spark.createDataFrame(found, f"leader long, member long, {passages._FOUND}")
+    links = passages.missed_links(shared, found, data, 50, 0.8).collect()
+    assert {(x.leader, x.member) for x in found.collect()} == {(0, 1)} and (1, 2) in {(x.leader, x.member) for x in links}
+
+
 def components_of(pairs):
     root = {}
     for a, b in pairs:
