@@ -57,7 +57,8 @@ def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
 def fingerprints(docs: DataFrame, registers: int = REGISTERS, bands: int = BANDS) -> DataFrame:
     """doc_id, digest of the words, band keys, a byte of each register, number of shingles; no keys if there is no word.
 
-    A shingle weighs 1 + ln(its count).
+    A shingle weighs 1, however often it stands in the text: so two texts agree in a register with the Jaccard
+    similarity by which pairs are judged, and bands and cutoffs rest on that.
     """
 
     def run(batches):
@@ -68,16 +69,15 @@ def fingerprints(docs: DataFrame, registers: int = REGISTERS, bands: int = BANDS
             ids, texts = batch.column(0), batch.column(1)
             for a, b in chunks([len(t.as_py() or "") for t in texts], 1 << 19):
                 words = [words_of(t.as_py()) for t in texts.slice(a, b - a)]
-                sets = [np.unique(shingles(w), return_counts=True) for w in words]
-                doc = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
-                items = np.concatenate([s[0] for s in sets])
-                weights = 1 + np.log(np.concatenate([s[1] for s in sets]))
-                signs = prob_min_hash(items, weights, doc, len(sets), registers)
+                sets = [np.unique(shingles(w)) for w in words]
+                doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                items = np.concatenate(sets)
+                signs = prob_min_hash(items, np.ones(len(items)), doc, len(sets), registers)
                 digests = [xxhash.xxh3_128_digest(" ".join(w).encode("utf-8", "surrogatepass")) for w in words]
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, b - a), pa.array(digests, pa.binary()),
                      pa.array([k if w else None for k, w in zip(band_keys(signs, bands), words)], pa.list_(pa.int64())),
-                     pa.array([s.tobytes() for s in signs.astype(np.uint8)], pa.binary()), pa.array([len(s[0]) for s in sets], pa.int64())],
+                     pa.array([s.tobytes() for s in signs.astype(np.uint8)], pa.binary()), pa.array([len(s) for s in sets], pa.int64())],
                     names=["doc_id", "digest", "keys", "sign", "size"],
                 )
 

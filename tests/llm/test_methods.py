@@ -373,6 +373,18 @@ def test_groups_of_near_copies(spark):
     assert got == classes_by_force(texts)
 
 
+def test_repeated_shingles_do_not_hide_near_copies(spark):
+    texts = {}
+    for k in range(20):
+        base = fixtures.prose(250, 7300 + k)
+        for side in range(2):  # 246 equal shingles, 20 others repeated 100 times
+            texts[2 * k + side] = " ".join([base, *[fixtures.prose(20, 7400 + 2 * k + side)] * 100])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert all(jaccard(texts[2 * k], texts[2 * k + 1]) > 0.8 for k in range(20))
+    got = {x.doc_id: x.class_id for x in near_dups.near_duplicates(docs).collect()}
+    assert got == {i: i - i % 2 for i in texts}
+
+
 def test_missed_links_are_complete(spark):
     r, texts = random.Random(5), {}
     for g in range(3):
