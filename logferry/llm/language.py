@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from logferry.llm.common import chunks, mixed
 
 ORDER, DISCOUNT, SLACK = 4, 0.75, 3.0
+LENGTHS, FEWEST = (32, 128, 512), 20  # symbols at which classes of length begin; documents from which a class has its own limit
 PER_LANGUAGE, MAX_LANGUAGES = 600, 1000  # the bound of the training sample: documents of each language, and languages
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -68,7 +69,8 @@ class Model:
     log_p: np.ndarray  # (keys, languages)
     log_backoff: np.ndarray
     unseen: np.ndarray  # log-probability of a symbol that a language has never seen
-    limits: np.ndarray  # largest cross-entropy of a language that is not rejected
+    limits: np.ndarray  # (classes of length, languages) largest cross-entropy that is not rejected
+    slack: np.ndarray  # what is added to a limit that isn't a class's own, over the root of the number of symbols
 
     def find(self, grams_: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.keys, grams_), len(self.keys) - 1)
@@ -102,7 +104,8 @@ class Model:
         least = h[np.arange(len(texts)), best]
         score = 1 / np.exp(np.clip((least[:, None] - h) * np.minimum(n, 200)[:, None], -60, 0)).sum(1)
         lettered = [any(c.isalpha() for c in t) for t in texts]
-        limit = self.limits[best] + SLACK / np.sqrt(np.maximum(n, 1))  # short texts scatter more
+        kind = np.searchsorted(LENGTHS, n, "right")
+        limit = self.limits[kind, best] + self.slack[kind, best] / np.sqrt(np.maximum(n, 1))  # short texts scatter more
         return [
             (self.languages[b], float(s), float(e), bool(e > top)) if ok else ("und", 0.0, None, True)
             for b, s, e, top, ok in zip(best, score, least, limit, lettered)
@@ -155,7 +158,8 @@ def kneser_ney(languages: list[str], rows: list[tuple], discount: float = DISCOU
         p[own] = np.maximum(counts[own] - discount, 0) / np.maximum(total[up], 1) + share[up] * p[to_suffix[own]]
     return Model(
         languages, keys, np.log(p).astype(np.float32), np.log(backoff).astype(np.float32),
-        np.log(spare / symbols).astype(np.float32), np.full(size, np.inf),
+        np.log(spare / symbols).astype(np.float32), np.full((len(LENGTHS) + 1, size), np.inf),
+        np.full((len(LENGTHS) + 1, size), SLACK),
     )
 
 
@@ -173,13 +177,15 @@ def _sample(docs: DataFrame, per_language: int, salt: int) -> tuple[DataFrame, l
 
 
 def train(
-    docs: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER, kept: float = 0.9999, margin: float = 0.5
+    docs: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER, spreads: float = 3.0, margin: float = 0.5
 ) -> Model | None:
     """A model of documents with a language, None if there are none.
 
     It learns from at most about ``per_language`` documents of each language (a bounded sample, whole
-    texts). Grams are counted in tasks and summed by Spark. A second sample sets the limits of rejection: the
-    ``kept`` quantile of the cross-entropies of a language's own documents, and ``margin`` above it.
+    texts). Grams are counted in tasks and summed by Spark. The cross-entropies of all documents set the limits of
+    rejection, one for each language and class of length: the median of the language's own documents, ``spreads``
+    times the distance of their quartiles, and ``margin``, so that a few bad documents don't move it. A class of
+    fewer than ``FEWEST`` documents has the limit of the whole language, and ``SLACK`` for its length.
     """
     docs = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
     sample, languages = _sample(docs, per_language, 1)
@@ -219,9 +225,17 @@ def train(
                 lang = batch.column(0).slice(a, b - a).to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int64)), pa.array(h[np.arange(len(h)), lang]), pa.array(n)], names=["lang", "h", "n"])
 
-    again, _ = _sample(docs, per_language, 2)
-    for lang, limit in again.mapInArrow(measure, "lang bigint, h double, n bigint").where("n > 20").groupBy("lang").agg(F.percentile("h", kept)).collect():
-        model.limits[lang] = limit + margin
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(languages)), "lang_no int, lang string")
+    kind = sum((F.when(F.col("n") >= least, 1).otherwise(0) for least in LENGTHS), F.lit(0))
+    measured = docs.join(F.broadcast(numbers), "lang").select("lang_no", "text").mapInArrow(measure, "lang bigint, h double, n bigint")
+    quartiles = F.percentile_approx("h", [0.25, 0.5, 0.75], 10000)
+    limits = measured.where("n > 1").rollup("lang", kind.alias("kind")).agg(quartiles.alias("q"), F.count("*").alias("n"))
+    for lang, kind, (low, middle, high), n in sorted(limits.where("lang is not null").collect(), key=lambda r: r[1] is not None):
+        limit = middle + spreads * (high - low) + margin
+        if kind is None:
+            model.limits[:, lang] = limit
+        elif n >= FEWEST:
+            model.limits[kind, lang], model.slack[kind, lang] = limit, 0.0
     return model
 
 

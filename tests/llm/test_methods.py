@@ -101,6 +101,16 @@ def test_odd_languages(spark, folder):
     assert kept.columns == docs.columns and 0 not in {r.doc_id for r in kept.collect()}
 
 
+def test_a_language_that_was_left_out_is_rejected(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").where("length(text) >= 200").select("doc_id", "lang", "text")
+    bad = [(10**6 + i, lang, "xqzkw jvbnq wxzzk qqpfj " * 30) for i, lang in enumerate(["en", "en", "de", "es"])]  # mislabelled junk
+    model = language.train(docs.where("lang <> 'fr'").union(spark.createDataFrame(bad, docs.schema)))
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    rows = language.identify(docs, model).collect()
+    assert np.mean([r.rejected for r in rows if lang[r.doc_id] == "fr"]) > 0.95
+    assert np.mean([r.rejected for r in rows if lang[r.doc_id] in ("en", "de", "es")]) < 0.01
+
+
 def test_scores_do_not_depend_on_neighbours(spark):
     model = language.train(table(spark, SF, "documents"))
     texts = [r.text for r in table(spark, SF, "documents").limit(20).collect()]
