@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from logferry.llm.common import SHINGLE, checkpointed, chunks, compare_texts, mixed, shingles, small, words_of
 
-MIN_WORDS, HASHES, THRESHOLD = 50, 6, 0.8
+MIN_WORDS, HASHES, THRESHOLD = 50, 14, 0.8  # seven bands of two: a pair at the threshold is missed with (1 - 0.8^2)^7 = 0.08 %
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
 _FOUND = "other_start bigint, other_end bigint, start_word bigint, end_word bigint, similarity double"

@@ -238,6 +238,17 @@ def test_signatures_of_two_documents_are_searched(spark):
         assert x.end_word - x.start_word >= 50 and len(one & two) / len(one | two) == pytest.approx(x.similarity) and x.similarity >= 0.8
 
 
+def test_passages_at_the_threshold_share_a_signature():
+    r, width, shared = np.random.default_rng(3), 46, 0
+    for _ in range(400):
+        one = r.integers(0, 1 << 62, width).astype(np.uint64)
+        two = one.copy()
+        two[20:25] = r.integers(0, 1 << 62, 5).astype(np.uint64)  # one word changed: 41 / 51
+        key, text, _ = passages.signatures(np.concatenate([one, two]), [width, width], width, passages.HASHES)
+        shared += bool(set(key[text == 0].tolist()) & set(key[text == 1].tolist()))
+    assert shared >= 397
+
+
 def test_every_place_of_a_signature_is_searched(spark):
     part = fixtures.prose(42, 900)  # stands twice in a document, with other words around it
     one, two = (f"{fixtures.prose(6, k)} {part} {fixtures.prose(6, k + 1)}" for k in (901, 903))
