@@ -54,14 +54,18 @@ def aligned(index: DataFrame, anchors: DataFrame, slop: int = SLOP) -> DataFrame
     """doc_id, phrase, size, start: where the lists of a phrase's two rarest terms meet.
 
     Each list is shifted by the place of its term in the phrase; the shifted positions may differ by ``slop``.
+    Only positions in the same or neighbouring stretches of ``slop`` + 1 words meet.
     """
     first = index.join(small(anchors), index.term == F.col("term1")).select(
         "doc_id", "phrase", "size", "term2", (F.col("pos") - F.col("place1")).alias("start"), "place2"
     )
-    second = index.select(F.col("term").alias("term2"), "doc_id", F.col("pos").alias("pos2"))
+    stretch = lambda at: F.floor(at / (slop + 1))
+    second = index.select(F.col("term").alias("term2"), "doc_id", F.col("pos").alias("pos2"), stretch(F.col("pos")).alias("stretch"))
+    own = stretch(F.col("start") + F.col("place2"))
+    pairs = first.where("term2 is not null").withColumn("stretch", F.explode(F.sequence(own - 1, own + 1)))
     meet = F.abs(F.col("pos2") - F.col("place2") - F.col("start")) <= slop
     return (
-        first.where("term2 is not null").join(second, ["term2", "doc_id"]).where(meet).select("doc_id", "phrase", "size", "start")
+        pairs.join(second, ["term2", "doc_id", "stretch"]).where(meet).select("doc_id", "phrase", "size", "start")
         .union(first.where("term2 is null").select("doc_id", "phrase", "size", "start")).distinct()
     )
 

@@ -1,5 +1,7 @@
 """Operators that SQL can express, on tables with odd cases, and what their queries don't reach."""
 
+import random
+
 import fixtures
 import pytest
 from check_oracle import sorted_rows
@@ -79,6 +81,17 @@ def test_proximity(spark):
     assert (rows[3].n_near, rows[3].contaminated) == (0, False)
 
 
+def test_only_close_positions_meet(spark):
+    r = random.Random(8)
+    places = {t: sorted(r.sample(range(300), 60)) for t in "ab"}
+    index = spark.createDataFrame([(t, 1, p) for t in places for p in places[t]], "term string, doc_id long, pos int")
+    anchors = spark.createDataFrame([("x", 10, "a", 7, "b", 2)], "phrase string, size int, term1 string, place1 int, term2 string, place2 int")
+    found = decontaminate.aligned(index, anchors)
+    assert {x.start for x in found.collect()} == {a - 7 for a in places["a"] if any(abs(b - 2 - a + 7) <= 3 for b in places["b"])}
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line and "term2" in line]
+    assert joins and all("stretch" in line for line in joins)
+
+
 def test_replies(spark, folder):
     rows = {(r.conv_id, r.turn): r for r in quotes.reply_ordered(table(spark, folder, "conversations")).where("body <> 'same turn'").collect()}
     assert rows[1, 1].parent_turn == 0 and rows[1, 1].body == "Use open()."
