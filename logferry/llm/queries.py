@@ -22,7 +22,7 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-# The rules of the url contract, and the hosts that the list blocks.
+# The rules of the url contract, and the hosts that the list blocks, read off the given pages.
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 BLOCKED_NAMES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
 BLOCKED_HOSTS = [f"{name}.example.{zone}" for name in BLOCKED_NAMES for zone in ("com", "net", "org")]
