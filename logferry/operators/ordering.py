@@ -8,7 +8,7 @@ themselves meet in windows of one block.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,3 +63,37 @@ def running(
 def positions(df: DataFrame, keys, order, out: str, blocks=()) -> DataFrame:
     """Add the 1-based position of each row within its key as a bigint."""
     return running(df, keys, order, {out: ("sum", F.lit(1).cast("bigint"))}, blocks)
+
+
+_INDEX_BITS = 33  # of monotonically_increasing_id: the place of a row in its partition
+
+
+def total_order(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, settle: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Add the 1-based position of each row within its key in ``order``, whatever the size of a key.
+
+    Rows are dealt over ranges of (keys, order) with sampled split points and sorted there, so neither
+    a key nor a moment that very many rows share makes a task larger than the others; rows equal in all
+    of these are told apart by a row number, their mutual order is not defined. ``settle`` writes a frame
+    and returns it as it was written: the ranges must not be sampled twice. Per key and range one narrow
+    row then says how many rows of the key lie in the ranges before. Keys may be NULL.
+    """
+    sorting = [*[F.col(k).asc_nulls_first() for k in keys], *order, F.col("_row")]
+    placed = settle(
+        df.withColumn("_row", F.monotonically_increasing_id())
+        .repartitionByRange(*sorting)
+        .sortWithinPartitions(*sorting)
+        .withColumn("_at", F.monotonically_increasing_id())
+        .drop("_row")
+    ).withColumn("_range", F.shiftright("_at", _INDEX_BITS))
+    spans = placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) + 1 - F.col("_first")
+    # Written too, so that the planner knows its size; a row per key and range.
+    shifts = settle(spans.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)],
+                                 F.col("_range").alias("_of_range"), shift.alias("_shift")))
+    same = placed["_range"] == shifts["_of_range"]
+    for i, k in enumerate(keys):
+        same &= placed[k].eqNullSafe(shifts[f"_key_{i}"])
+    return placed.join(shifts, same).select(*df.columns, (F.col("_at") + F.col("_shift")).alias(out))
