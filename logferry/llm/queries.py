@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from logferry.llm import (
-    decontaminate, language, near_dups, packing, passages, quality_rules, quality_vote, quotes, secrets, urls,
+    decontaminate, filter_audit, hamming, importance, language, near_dups, packing, passages, quality_rules, quality_vote, quotes, secrets, urls,
 )
 from logferry.llm.common import table
 from logferry.plans.registry import query
@@ -83,3 +83,19 @@ def op9_decontaminate(spark, sf_dir):
 @query("op10_quotes", quotes.ORACLE)
 def op10_quotes(spark, sf_dir):
     return quotes.reply_ordered(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_importance", importance.ORACLE)
+def op12_importance(spark, sf_dir):
+    found = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("n_words")
+
+
+@query("op13_filter_audit", filter_audit.ORACLE)
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_hamming")
+def op11_hamming(spark, sf_dir):
+    return hamming.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
