@@ -17,13 +17,31 @@ from logferry import settings as S
 ENTRY = ["component", "fingerprint"]
 
 
+def read_so_far(reads: DataFrame, receipts: DataFrame, range_bytes: int) -> DataFrame:
+    """``reads`` with ``read_end`` moved back to where the unbroken chain of receipts ends, and ``unread``.
+
+    ``receipts``: component, fingerprint, block_no and ``read_to``, which is NULL where a range was not
+    read; a range without a receipt was not read either. What lies behind the first such range doesn't count,
+    even if it was read: it will be read again.
+    """
+    got = receipts.groupBy(*ENTRY, "block_no").agg(F.max("read_to").alias("read_to")).where("read_to is not null")
+    last = F.floor((F.col("read_end") - 1 - F.col("position")) / range_bytes)
+    wanted = reads.where("position < read_end").select(*ENTRY, F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("block_no"))
+    broken = wanted.join(got, [*ENTRY, "block_no"], "left_anti").groupBy(*ENTRY).agg(F.min("block_no").alias("_broken"))
+    before = got.join(broken, ENTRY).where("block_no < _broken").groupBy(*ENTRY).agg(F.max("read_to").alias("_reached"))
+    reached = broken.join(before, ENTRY, "left")
+    unread = F.col("_broken").isNotNull()
+    end = F.when(unread, F.coalesce("_reached", "position")).otherwise(F.col("read_end"))
+    return reads.join(reached, ENTRY, "left").withColumns({"read_end": end, "unread": unread}).drop("_broken", "_reached")
+
+
 def delivered_positions(progress: DataFrame, delivery: DataFrame, reads: DataFrame) -> DataFrame:
     """New position per file that was read.
 
     ``progress``: one row per batch, stream and file with ``start_off`` and ``first_chunk`` of its
     first event. ``reads``: component, fingerprint, path, length, mtime, is_active, position and
     ``read_end``. A file advances to its first event that was not delivered; if there is none, to the
-    end of what was read, dropped records included.
+    end of what was read, dropped records included. Where it doesn't move, its ``chunk_no`` stays too.
     """
     status = delivery.select("log_group", "log_stream", "batch_no", "delivered")
     failed = ~F.coalesce("delivered", F.lit(False))
@@ -33,13 +51,12 @@ def delivered_positions(progress: DataFrame, delivery: DataFrame, reads: DataFra
         .groupBy(*ENTRY)
         .agg(F.min(F.struct("start_off", "first_chunk")).alias("_stop"))
     )
-    position = F.coalesce("_stop.start_off", "read_end")
-    return (
-        reads.join(stop, ENTRY, "left")
-        .withColumn("position", F.greatest(F.col("position"), position))
-        .withColumn("chunk_no", F.coalesce(F.col("_stop.first_chunk"), F.lit(0)))
-        .drop("_stop", "read_end")
+    moved = F.greatest(F.col("position"), F.coalesce("_stop.start_off", "read_end"))
+    saved = F.col("chunk_no") if "chunk_no" in reads.columns else F.lit(0)
+    chunk = F.when(moved > F.col("position"), F.coalesce(F.col("_stop.first_chunk"), F.lit(0))).otherwise(
+        F.coalesce(F.col("_stop.first_chunk"), saved)
     )
+    return reads.join(stop, ENTRY, "left").withColumns({"position": moved, "chunk_no": chunk}).drop("_stop", "read_end")
 
 
 def completed_files(positions: DataFrame) -> DataFrame:

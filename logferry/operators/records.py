@@ -71,6 +71,7 @@ def reassemble_records(
     whitespace_rule: bool = False,
     joiner: str = "",
     keep: Sequence[str] = ("component", "path"),
+    empty_blocks: bool = False,
 ) -> DataFrame:
     """Merge lines into records, block by block.
 
@@ -78,7 +79,7 @@ def reassemble_records(
     is otherwise appended. Rows: ``keep``, block_no, ``start_off``, ``end_off`` (bytes in the file,
     terminators included), ``n_lines``, ``message``, ``is_head`` (continues a record of an earlier
     block), ``is_tail`` (last of its block). Pass the rows through :func:`stitch_records` if files
-    may have several blocks.
+    may have several blocks. With ``empty_blocks`` a block without lines gives a row without offsets.
     """
     df = _with_lines(blocks)
 
@@ -121,7 +122,8 @@ def reassemble_records(
     df = df.withColumn("_records", F.transform("_spans", record))
     first = F.get("_lines", F.lit(0))["line"]
     df = df.withColumn("_headless", (F.col("block_no") > 0) & ~F.coalesce(starts(first), F.lit(False)))
-    df = df.select(*keep, "block_no", "_headless", F.explode_outer("_records").alias("r")).where("r is not null")
+    df = df.select(*keep, "block_no", "_headless", F.explode_outer("_records").alias("r"))
+    df = df if empty_blocks else df.where("r.start_off is not null")
     return df.select(
         *keep,
         "block_no",

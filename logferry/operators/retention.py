@@ -49,16 +49,33 @@ def apply_retention(files: DataFrame, plan: DataFrame) -> DataFrame:
     return files.join(plan.select("component", "path"), ["component", "path"], "left_anti")
 
 
-def delete_files(plan: DataFrame, column: str = "path") -> None:
-    """Delete the planned files, from the tasks. A file that is gone already is no error."""
+def delete_files(plan: DataFrame) -> None:
+    """Delete the planned files (path, fingerprint, length), from the tasks.
+
+    Deleted is what was planned, not what lies at the path by now: a file with another fingerprint stays, and
+    the planned one is looked for beside it. One that has grown since stays too. A file that is gone already
+    is no error; nor are two with the same fingerprint, of which neither is deleted.
+    """
 
     def unlink(rows) -> None:
         files = Files()
-        for (path,) in rows:
-            system, name = files.locate(path)
-            try:
-                system.delete_file(name)
-            except FileNotFoundError:
-                pass
 
-    plan.select(column).distinct().foreachPartition(unlink)
+        def holds(path: str, fingerprint: str | None, length: int) -> bool:
+            try:
+                f = files.open(path)
+                return f.size() == length and files.is_known(f, fingerprint, length)
+            except OSError:
+                return False
+            finally:
+                files.close()
+
+        for path, fingerprint, length in rows:
+            here = [path] if holds(path, fingerprint, length) else [p for p in files.beside(path) if holds(p, fingerprint, length)]
+            if len(here) == 1:
+                system, name = files.locate(here[0])
+                try:
+                    system.delete_file(name)
+                except FileNotFoundError:
+                    pass
+
+    plan.select("path", "fingerprint", "length").distinct().foreachPartition(unlink)

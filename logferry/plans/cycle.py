@@ -3,14 +3,22 @@
 Everything that later steps must agree on is written to the store first (the files as they were
 found, the events, the batches), so a lost executor repeats a step and not a different step, and no
 text is parsed twice. The state of a cycle counts only once its row in ``cycles`` is written, which
-happens last: a cycle that fails is simply run again, and the ledger keeps what it had delivered from
-being delivered twice.
+happens last. A cycle that fails is simply run again. Before anything is handed to the sink, a row in
+``intents`` says that the batches of this epoch are settled; a cycle that finds it goes on with these
+batches, whatever has become of the files since, so that a sink may be called again but always with
+the same content under the same (epoch, stream, batch). A second row says that the outcome is known,
+and then the sink isn't called again. The ledger keeps what earlier epochs have delivered from being
+delivered twice.
+
+Every range of a file that was to be read leaves a receipt. Positions move only as far as receipts
+follow each other without a gap, and what was read behind a gap is neither sent nor counted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +31,7 @@ from logferry.operators import packing as P
 from logferry.operators import records as R
 from logferry.operators import retention as RT
 from logferry.settings import Settings
-from logferry.sources.logfiles import existing_directories, inspect_files, list_files, read_blocks
+from logferry.sources.logfiles import inspect_files, list_files, read_blocks
 
 SCHEMAS = {
     "checkpoint": "component string, fingerprint string, path string, position bigint, chunk_no int, mtime timestamp, "
@@ -32,6 +40,7 @@ SCHEMAS = {
     "ledger": "component string, fingerprint string, log_stream string, start_off bigint, chunk_no int",
     "sequence": "log_group string, log_stream string, batch_no bigint, seq bigint",
 }
+PLANNED, DELIVERED = "planned", "delivered"
 
 # What reading and parsing need of a component's rule.
 RULE_COLUMNS = ["component_type", "start_regex", "min_level"]
@@ -57,12 +66,31 @@ class Store:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.parquet(self.path(name, epoch))
 
+    def rows(self, name: str) -> DataFrame | None:
+        """A table that grows row by row; None before its first row."""
+        try:
+            return self.spark.read.parquet(f"{self.root}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return None
+
+    def append(self, name: str, row: tuple, schema: str) -> None:
+        self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{self.root}/{name}")
+
     def last_epoch(self) -> int:
-        if not existing_directories(self.spark, [f"{self.root}/cycles"]):
-            return -1
-        last = self.spark.read.parquet(f"{self.root}/cycles").agg(F.max("epoch")).first()[0]
+        cycles = self.rows("cycles")
+        last = None if cycles is None else cycles.agg(F.max("epoch")).first()[0]
         return -1 if last is None else last
 
+    def phases(self, epoch: int) -> set[str]:
+        """What an earlier run of this epoch has settled."""
+        intents = self.rows("intents")
+        return set() if intents is None else {r.phase for r in intents.where(F.col("epoch") == epoch).collect()}
+
+    def settled(self, epoch: int, phase: str, as_of_ms: int) -> None:
+        self.append("intents", (epoch, phase, as_of_ms), "epoch bigint, phase string, as_of_ms bigint")
+
 
 def table_sink(events: DataFrame, epoch: int) -> DataFrame:
     """The batches in the store are the delivery; all of them arrive."""
@@ -82,7 +110,8 @@ def find_files(spark: SparkSession, rules: DataFrame) -> DataFrame:
 def read_pieces(work: DataFrame, rules: DataFrame, settings: Settings) -> DataFrame:
     """Records of the files to be read, range by range; those at the borders are pieces.
 
-    What the rules say travels with the work rows, so text meets no join.
+    What the rules say travels with the work rows, so text meets no join. Each range has at least one
+    row, which carries its receipt; a range without records has a row without offsets.
     """
     # One number decides how many tasks read; the work itself stays distributed.
     n_bytes = work.agg(F.sum(F.col("read_end") - F.col("position"))).first()[0] or 0
@@ -91,7 +120,9 @@ def read_pieces(work: DataFrame, rules: DataFrame, settings: Settings) -> DataFr
     work = work.join(rules.select("component", *RULE_COLUMNS), "component")
     keep = ["component", "fingerprint", "path", "mtime", "is_active", "position", "chunk_no", *RULE_COLUMNS]
     blocks = read_blocks(work, keep, settings.range_bytes, tasks)
-    return R.reassemble_records(blocks, F.col("start_regex"), joiner=settings.joiner, keep=keep)
+    return R.reassemble_records(
+        blocks, F.col("start_regex"), joiner=settings.joiner, keep=[*keep, "read_to"], empty_blocks=True
+    )
 
 
 def mark_events(records: DataFrame, settings: Settings) -> DataFrame:
@@ -110,36 +141,38 @@ def mark_events(records: DataFrame, settings: Settings) -> DataFrame:
     return df.where(~seen).drop("json_ts_ms", *RULE_COLUMNS)
 
 
-def run_cycle(
-    spark: SparkSession, rules: DataFrame, settings: Settings, store: Store, epoch: int | None = None,
-    sink: Sink = table_sink, delete: bool = False,
-) -> int:
-    """Run one cycle and return its epoch. A cycle that is committed already is not run again."""
-    last = store.last_epoch()
-    epoch = last + 1 if epoch is None else epoch
-    if epoch <= last:
-        return epoch
-    now = F.timestamp_millis(F.lit(settings.as_of_ms))
-    rules = rules.withColumn("min_level", F.coalesce("min_level", F.lit("INFO")))
-    checkpoint = C.purge_removed(store.read("checkpoint", last), rules)
-    watermark = store.read("watermark", last)
-    ledger = store.read("ledger", last)
+def open_ends(marked: DataFrame, reads: DataFrame, hold_last_record: bool) -> DataFrame:
+    """(component, fingerprint, _cut): events of the file count only up to there.
 
-    # 1. Files as they are now.
-    files = store.write(find_files(spark, rules), "files", epoch)
-    resumed = FL.resume_positions(FL.unprocessed_files(files, watermark), checkpoint)
+    A file with unread ranges ends before the record that was open at the first of them, and with
+    ``hold_last_record`` an active file before its last one.
+    """
+    held = F.col("unread") | (F.col("is_active") & F.lit(hold_last_record))
+    ends = reads.where(held).select(*C.ENTRY, "read_end", "unread")
+    inside = marked.select(*C.ENTRY, "start_off").join(ends, C.ENTRY).where("start_off < read_end")
+    last = inside.groupBy(*C.ENTRY).agg(F.max("start_off").alias("_last"))
+    cut = ends.join(last, C.ENTRY, "left").select(*C.ENTRY, F.coalesce("_last", F.when(F.col("unread"), F.col("read_end"))).alias("_cut"))
+    return cut.where("_cut is not null")
+
+
+def plan_batches(
+    resumed: DataFrame, ledger: DataFrame, rules: DataFrame, settings: Settings, store: Store, epoch: int
+) -> None:
+    """Read, parse and pack what is new, and write it: ``reads`` and ``batches`` of the epoch."""
+    # 2. Text to events, read once: the border pieces are joined from the written table.
     held = F.col("is_active") & F.lit(settings.hold_last_line)
     read_end = F.when(held, F.col("complete_end")).otherwise(F.col("length"))
     reads = FL.skip_consumed(resumed).withColumn("read_end", F.greatest(read_end, F.col("position")))
-
-    # 2. Text to events, read once: the border pieces are joined from the written table.
     pieces = store.write(read_pieces(reads, rules, settings).withColumnRenamed("chunk_no", "resume_chunk"), "pieces", epoch)
-    records = R.stitch_records(pieces, ["component", "path"], settings.joiner)
+    reads = C.read_so_far(reads, pieces.select(*C.ENTRY, "block_no", "read_to"), settings.range_bytes)
+    records = R.stitch_records(pieces.where("start_off is not null").drop("read_to"), ["component", "path"], settings.joiner)
     marked = store.write(mark_events(records, settings), "events", epoch)
-    if settings.hold_last_record:
-        open_record = marked.where("is_active").groupBy(*C.ENTRY).agg(F.max("start_off").alias("_held_at"))
-        marked = marked.join(open_record, C.ENTRY, "left").where("_held_at is null or start_off < _held_at").drop("_held_at")
-        reads = reads.join(open_record, C.ENTRY, "left").withColumn("read_end", F.coalesce("_held_at", "read_end")).drop("_held_at")
+    # Written, so that the planner knows how small it is, and text need not be dealt out for it.
+    cuts = store.write(open_ends(marked, reads, settings.hold_last_record), "cuts", epoch)
+    if not cuts.isEmpty():
+        marked = marked.join(cuts, C.ENTRY, "left").where("_cut is null or start_off < _cut").drop("_cut")
+        reads = reads.join(cuts, C.ENTRY, "left").withColumn("read_end", F.coalesce("_cut", "read_end")).drop("_cut")
+    store.write(reads, "reads", epoch)
 
     # 3. Batches of what the ledger does not list yet.
     high = ledger.select(
@@ -161,13 +194,44 @@ def run_cycle(
     batched = batched.repartition(*D.BATCH_KEYS).sortWithinPartitions(
         *D.BATCH_KEYS, "ts", "mtime", "path", "start_off", "chunk_no"
     )
-    batched = store.write(batched, "batches", epoch)
+    store.write(batched, "batches", epoch)
+
+
+def run_cycle(
+    spark: SparkSession, rules: DataFrame, settings: Settings, store: Store, epoch: int | None = None,
+    sink: Sink = table_sink, delete: bool = False,
+) -> int:
+    """Run one cycle and return its epoch. A cycle that is committed already is not run again; one that
+    was broken off goes on from what it had settled."""
+    last = store.last_epoch()
+    epoch = last + 1 if epoch is None else epoch
+    if epoch <= last:
+        return epoch
+    now = F.timestamp_millis(F.lit(settings.as_of_ms))
+    rules = rules.withColumn("min_level", F.coalesce("min_level", F.lit("INFO")))
+    checkpoint = C.purge_removed(store.read("checkpoint", last), rules)
+    watermark = store.read("watermark", last)
+    ledger = store.read("ledger", last)
+    phases = store.phases(epoch)
+
+    # 1. Files as they are now, or as they were when the batches were settled.
+    if PLANNED not in phases:
+        store.write(find_files(spark, rules), "files", epoch)
+    files = store.read("files", epoch)
+    resumed = FL.resume_positions(FL.unprocessed_files(files, watermark), checkpoint)
+    if PLANNED not in phases:
+        plan_batches(resumed, ledger, rules, settings, store, epoch)
+        store.settled(epoch, PLANNED, settings.as_of_ms)
+    reads, batched = store.read("reads", epoch), store.read("batches", epoch)
 
     # 4. Delivery. A stream goes on only behind what has arrived.
-    counts = P.batch_summary(batched)
-    outcome = sink(E.drop_blank_events(batched), epoch)
-    delivery = D.empty_batch_ok(counts.join(outcome, list(D.BATCH_KEYS), "left"))
-    delivery = store.write(D.hold_after_failure(delivery), "delivery", epoch)
+    if DELIVERED not in phases:
+        counts = P.batch_summary(batched)
+        outcome = sink(E.drop_blank_events(batched), epoch)
+        delivery = D.empty_batch_ok(counts.join(outcome, list(D.BATCH_KEYS), "left"))
+        store.write(D.hold_after_failure(delivery), "delivery", epoch)
+        store.settled(epoch, DELIVERED, settings.as_of_ms)
+    delivery = store.read("delivery", epoch)
     ok = delivery.where("delivered")
     store.write(
         D.stream_sequence(ok.select(*D.BATCH_KEYS), store.read("sequence", last))
@@ -186,7 +250,7 @@ def run_cycle(
     progress = batched.groupBy(*C.ENTRY, *D.BATCH_KEYS).agg(
         F.min(F.struct("start_off", "chunk_no")).alias("_first")
     ).select(*C.ENTRY, *D.BATCH_KEYS, "_first.start_off", F.col("_first.chunk_no").alias("first_chunk"))
-    positions = C.delivered_positions(progress, delivery, reads.drop("chunk_no"))
+    positions = C.delivered_positions(progress, delivery, reads.drop("unread"))
     finished = resumed.where("status = 'finished'")
     completed = C.completed_files(positions).select(*C.ENTRY, "path", "mtime", "length").unionByName(
         finished.select(*C.ENTRY, "path", "mtime", "length")
@@ -203,14 +267,13 @@ def run_cycle(
     kept = store.write(kept.unionByName(above.dropDuplicates(C.ENTRY)), "checkpoint", epoch)
     # The ledger is needed only where a file has not been delivered to its end.
     store.write(merged.join(kept.select(*C.ENTRY), C.ENTRY, "left_semi"), "ledger", epoch)
-    plan = RT.delete_after_delivery(completed, rules).select("component", "path").unionByName(
-        RT.retention_plan(files, watermark, rules).select("component", "path")
+    file = ["component", "path", "fingerprint", "length"]
+    plan = RT.delete_after_delivery(completed, rules).select(*file).unionByName(
+        RT.retention_plan(files, watermark, rules).select(*file)
     )
     plan = store.write(plan.distinct(), "retention", epoch)
 
-    spark.createDataFrame([(epoch, settings.as_of_ms)], "epoch bigint, as_of_ms bigint").coalesce(1).write.mode(
-        "append"
-    ).parquet(f"{store.root}/cycles")
+    store.append("cycles", (epoch, settings.as_of_ms), "epoch bigint, as_of_ms bigint")
     if delete:
         RT.delete_files(plan)
     return epoch

@@ -69,6 +69,28 @@ positions as (
   from reads r left join stops using (component, fingerprint))"""
 
 
+@query("read_so_far", with_sql(*_STATE, _POSITIONS, """
+ranges as (
+  select component, fingerprint, length, unnest(range(0, (length - position + 199) // 200)) as k from reads),
+gaps as (
+  select component, fingerprint, min(k) as gap from ranges where (length + k) % 11 = 4 or (length + k) % 13 = 5 group by 1, 2)""",
+    final="""
+  select component, fingerprint, cast(position as bigint) as position, gap is not null as unread,
+    cast(case when gap is null then length else position + gap * 200 end as bigint) as read_end
+  from reads left join gaps using (component, fingerprint)"""))
+def read_so_far(spark, sf_dir):
+    """Files read in ranges of 200 bytes, of which some could not be read and some sent no receipt."""
+    owned = V.owned(spark, sf_dir)
+    reads = FL.skip_consumed(FL.resume_positions(owned, V.checkpoint(spark, sf_dir, owned)))
+    reads = V.settle(reads.withColumn("read_end", F.col("length")))
+    number = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("read_end") - 1 - F.col("position")) / 200)))
+    ranges = reads.select("component", "fingerprint", "position", "length", number.alias("block_no"))
+    key = F.col("length") + F.col("block_no")
+    end = F.least(F.col("position") + (F.col("block_no") + 1) * 200, F.col("length"))
+    receipts = ranges.withColumn("read_to", F.when(key % 11 != 4, end)).where(key % 13 != 5)
+    return C.read_so_far(reads, receipts, 200).select("component", "fingerprint", "position", "unread", "read_end")
+
+
 @query("advance_checkpoint", with_sql(*_STATE, _POSITIONS, final=f"""
   select component, fingerprint, path, position, chunk_no, accessed_ms from (
     select component, fingerprint, path, cast(position as bigint) as position, cast(chunk_no as int) as chunk_no,

@@ -1,10 +1,24 @@
-"""Cutting an open file at line starts. Plain helpers that run inside tasks."""
+"""Knowing a file by its content, and cutting it at line starts. Plain helpers that run inside tasks."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+from logferry import settings as S
+
 _CHUNK = 1 << 16
 
 
+def identity(head: bytes) -> str | None:
+    """The fingerprint that :func:`logferry.operators.files.fingerprint` gives a file with this beginning."""
+    head = head[: S.FINGERPRINT_BYTES]
+    cut = head.find(b"\n") + 1
+    if not cut and len(head) < S.FINGERPRINT_BYTES:
+        return None
+    return hashlib.sha256(head[:cut] if cut else head).hexdigest()
+
+
 def line_start(f, at: int, first: int, length: int) -> int:
     """The first place at or after ``at`` where a line starts; ``length`` if there is none.
 
@@ -60,6 +74,7 @@ class Files:
 
     def __init__(self) -> None:
         self._path, self._file, self._systems = None, None, {}
+        self._moved: dict[tuple, str | None] = {}
 
     def locate(self, path: str):
         """The file system of a path and the name it uses."""
@@ -80,6 +95,48 @@ class Files:
             self._file, self._path = system.open_input_file(name), path
         return self._file
 
+    def beside(self, path: str) -> Iterator[str]:
+        """The other files in the directory of ``path``, under the same kind of path."""
+        from pyarrow import fs
+
+        system, name = self.locate(path)
+        folder = name.rpartition("/")[0]
+        for info in system.get_file_info(fs.FileSelector(folder or "/", allow_not_found=True)):
+            if info.type == fs.FileType.File and info.path != name:
+                yield path[: len(path) - len(name)] + info.path if path.endswith(name) else info.path
+
+    def is_known(self, f, fingerprint: str | None, least: int) -> bool:
+        """Is the open file the one that was listed: its beginning is the same, and it isn't shorter."""
+        if f.size() < least:
+            return False
+        return fingerprint is None or identity(f.read_at(min(S.FINGERPRINT_BYTES, f.size()), 0)) == fingerprint
+
+    def open_known(self, path: str, fingerprint: str | None, least: int):
+        """The file with this fingerprint and ``least`` bytes or more: the one at ``path`` or, if that shows another
+        one by now, one beside it. None if there is none. An open file stays the same whatever its name becomes."""
+
+        def opened(where: str):
+            try:
+                f = self.open(where)
+                if self.is_known(f, fingerprint, least):
+                    return f
+                self.close()  # another file may lie there by now
+                f = self.open(where)
+                return f if self.is_known(f, fingerprint, least) else None
+            except OSError:
+                return None
+
+        key = (path, fingerprint)
+        f = opened(self._moved.get(key) or path)
+        if f is None and fingerprint is not None and self._moved.get(key, "") is not None:
+            self._moved[key] = None  # looked for once per task, not once per range
+            for other in self.beside(path):
+                f = opened(other)
+                if f is not None:
+                    self._moved[key] = other
+                    break
+        return f
+
     def close(self) -> None:
         if self._file is not None:
             self._file.close()

@@ -83,55 +83,72 @@ def inspect_files(files: DataFrame, tasks: int | None = None) -> DataFrame:
 def read_blocks(
     work: DataFrame, keep: Sequence[str], range_bytes: int = 8 << 20, tasks: int | None = None
 ) -> DataFrame:
-    """Blocks of whole lines between ``position`` and ``read_end`` of each file.
+    """Blocks of whole lines between ``position`` and ``read_end`` of each file, and a receipt for each range.
 
     A line belongs to the range in which it starts, so each line is read exactly once. ``position``
-    has to be a line start. Rows: ``keep`` (path included), block_no, block_start, content.
+    has to be a line start. Rows: ``keep`` (path included), block_no, block_start, content, read_to; one
+    for each range of ``range_bytes``, numbered from 0. ``read_to`` is the receipt: the end of the last line
+    that starts in the range or before. It is NULL if the range was not read.
+
+    If ``work`` has a fingerprint, a file is read only if it shows this fingerprint and reaches to
+    ``read_end``, before and after reading. Where it was renamed since it was listed it is found by its
+    content among the files beside it.
     """
     tasks = tasks or int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keep = list(keep)
+    known = F.col("fingerprint") if "fingerprint" in work.columns else F.lit(None).cast("string")
     starts = F.sequence(F.col("position"), F.col("read_end") - 1, F.lit(range_bytes).cast("bigint"))
     ranges = work.where("position < read_end").select(
-        *keep, F.col("position").alias("_first"), F.col("read_end").alias("_length"), F.explode_outer(starts).alias("_start")
+        *keep, F.col("position").alias("_first"), F.col("read_end").alias("_length"), known.alias("_known"),
+        F.explode_outer(starts).alias("_start"),
     )
     # A fixed number of tasks: ranges are tiny rows, which adaptive execution would put into one task.
     ranges = ranges.repartition(tasks, "path", "_start")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = Files()
+
+        def of_range(path, known, first, length, start):
+            """(begin, content, end) of the lines that start in a range; nothing if it can't be read."""
+            f = opened.open_known(path, known, length)
+            if f is None:
+                return None, None, None
+            try:
+                begin = line_start(f, start, first, length)
+                end = line_start(f, start + range_bytes, first, length)
+                content = f.read_at(end - begin, begin) if begin < min(end, start + range_bytes) else None
+                whole = content is None or len(content) == end - begin
+                if whole and opened.is_known(f, known, length):
+                    return begin, content, end
+            except OSError:
+                opened.close()
+            return None, None, None
+
         for batch in batches:
-            first, length, start = (batch.column(c).to_pylist() for c in ("_first", "_length", "_start"))
-            paths = batch.column("path").to_pylist()
-            rows, begins, contents, held = [], [], [], 0
+            first, length, start, known = (batch.column(c).to_pylist() for c in ("_first", "_length", "_start", "_known"))
+            rows, found, held = [], [], 0
 
             def flush():
                 taken = [batch.column(c).take(pa.array(rows, pa.int64())) for c in keep]
                 numbers = [(start[i] - first[i]) // range_bytes for i in rows]
+                begins, contents, ends = zip(*found)
                 return pa.RecordBatch.from_arrays(
-                    [*taken, pa.array(numbers, pa.int64()), pa.array(begins, pa.int64()), pa.array(contents, pa.binary())],
-                    names=[*keep, "block_no", "block_start", "content"],
-                )
+                    [*taken, pa.array(numbers, pa.int64()), pa.array(begins, pa.int64()), pa.array(contents, pa.binary()),
+                     pa.array(ends, pa.int64())],
+                    names=[*keep, "block_no", "block_start", "content", "read_to"],
+                )
 
-            for i, path in enumerate(paths):
-                try:
-                    f = opened.open(path)
-                except FileNotFoundError:
-                    continue  # gone since it was listed; its position stays
-                begin = line_start(f, start[i], first[i], length[i])
-                end = line_start(f, start[i] + range_bytes, first[i], length[i])
-                if begin >= end or begin >= start[i] + range_bytes:
-                    continue
+            for i, path in enumerate(batch.column("path").to_pylist()):
                 rows.append(i)
-                begins.append(begin)
-                contents.append(f.read_at(end - begin, begin))
-                held += end - begin
+                found.append(of_range(path, known[i], first[i], length[i], start[i]))
+                held += len(found[-1][1] or b"")
                 if held >= _FLUSH_BYTES:
                     yield flush()
-                    rows, begins, contents, held = [], [], [], 0
+                    rows, found, held = [], [], 0
             if rows:
                 yield flush()
         opened.close()
 
     types = {f.name: f.dataType.simpleString() for f in work.schema}
     fields = ", ".join(f"`{c}` {types[c]}" for c in keep)
-    return ranges.mapInArrow(read, f"{fields}, block_no bigint, block_start bigint, content binary")
+    return ranges.mapInArrow(read, f"{fields}, block_no bigint, block_start bigint, content binary, read_to bigint")

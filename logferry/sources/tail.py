@@ -7,7 +7,6 @@ where it was. Each micro-batch reads the bytes between two offsets, cut into ran
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 import re
@@ -15,7 +14,7 @@ import re
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from logferry import settings as S
-from logferry.sources.byteranges import complete_end, line_start
+from logferry.sources.byteranges import complete_end, identity, line_start
 
 
 class _Range(InputPartition):
@@ -42,10 +41,9 @@ class _TailReader(DataSourceStreamReader):
                 with open(entry.path, "rb") as f:
                     head = f.read(S.FINGERPRINT_BYTES)
                     length = os.fstat(f.fileno()).st_size
-                    cut = head.find(b"\n") + 1
-                    if not cut and len(head) < S.FINGERPRINT_BYTES:
+                    key = identity(head)
+                    if key is None:
                         continue
-                    key = hashlib.sha256(head[:cut] if cut else head).hexdigest()
                     seen[key] = [entry.path, complete_end(f, 0, length)]
             except FileNotFoundError:
                 continue
