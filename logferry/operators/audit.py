@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logferry.operators.ordering import positions, running
+from logferry.operators.ordering import running, total_order
+from logferry.sources.scratch import settle
 
 SEQ_PATTERN = r"\(seq: (\d+)\)"
 
@@ -57,8 +58,7 @@ def gaps_and_duplicates(events: DataFrame, keys: Sequence[str], message: str = "
 def order_breaks(events: DataFrame, keys: Sequence[str], order: Sequence[str], message: str = "message") -> DataFrame:
     """Events whose place by time is not the number they carry; events need ``ts``."""
     seq = F.regexp_extract(message, SEQ_PATTERN, 1).try_cast("bigint")
-    df = events.withColumn("seq", seq).withColumn("_hour", F.date_trunc("hour", "ts"))
-    df = positions(df, list(keys), [F.col(c) for c in order], "nth", [["_hour"]]).drop("_hour")
+    df = total_order(events.withColumn("seq", seq), list(keys), [F.col(c) for c in order], "nth", settle)
     return df.where(~F.col("nth").eqNullSafe(F.col("seq")))
 
 

@@ -5,8 +5,8 @@ batch for all streams of the component, and opens the next. Each batch thus depe
 before it, which looks like one task per component. It need not be: every limit is monotone (a batch
 that opens later never has to close earlier), so what a block of events does to its successor is a
 monotone function from "where the first batch of this block opens" to "where the first batch of the
-next block opens". All blocks compute their function at the same time, the functions are chained,
-and then all blocks cut their own batches at the same time.
+next block opens". All blocks compute their function at the same time, the functions are composed in a
+tree, and then all blocks cut their own batches at the same time.
 
 A batch holds at most ``max_bytes // EVENT_OVERHEAD`` events, since each costs that much. So a block
 needs to see only so many events past its end, and only so many of its first events can open the
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import datetime as dt
 from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logferry import settings as S
-from logferry.operators.ordering import positions, running
+from logferry.operators.ordering import positions, running, total_order
+from logferry.sources.scratch import settle
 
 _NEVER = np.iinfo(np.int64).max
 
@@ -113,6 +114,51 @@ def _runs(entry: np.ndarray, leave: np.ndarray, count: np.ndarray) -> pd.DataFra
     )
 
 
+# The function of a last block: nothing follows, so nobody asks where the next block would be entered.
+_END = pd.DataFrame({"lo": [0], "hi": [_NEVER], "leave": [-1], "slope": [0], "n_starts": [0]})
+
+
+def _applied(runs: pd.DataFrame, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the next block is entered, and the batches opened on the way, for places of entry."""
+    lo, leave, slope, count = (runs[c].to_numpy() for c in ("lo", "leave", "slope", "n_starts"))
+    at = np.searchsorted(lo, entry, side="right") - 1
+    return leave[at] + slope[at] * (entry - lo[at]), count[at]
+
+
+def composed(pdf: pd.DataFrame, keys: Sequence[str]) -> pd.DataFrame:
+    """The functions of neighbouring blocks as one, for every place where the first can be entered."""
+    blocks = [g.sort_values("lo") for _, g in pdf.groupby("_blk", sort=True)]
+    first = blocks[0]
+    if any(g["leave"].iloc[0] < 0 for g in blocks):
+        runs = _END.copy()
+    else:
+        entry = np.concatenate([np.arange(a, b + 1) for a, b in zip(first["lo"], first["hi"])])
+        leave, count = entry, np.zeros(len(entry), np.int64)
+        for g in blocks:
+            leave, more = _applied(g, leave)
+            count = count + more
+        runs = _runs(entry, leave, count)
+    runs.insert(0, "_blk", pdf["_up"].iloc[0])
+    for i, k in enumerate(keys):
+        runs.insert(i, k, pdf[k].iloc[0])
+    return runs
+
+
+def entered(pdf: pd.DataFrame, keys: Sequence[str]) -> pd.DataFrame:
+    """Where each of some neighbouring blocks is entered; the row without a block says it of the first."""
+    own = pdf["_blk"].isna()
+    entry, before = int(pdf.loc[own, "lo"].iloc[0]), int(pdf.loc[own, "n_starts"].iloc[0])
+    out = []
+    for block, g in pdf[~own].groupby("_blk", sort=True):
+        out.append((block, entry, before))
+        leave, count = _applied(g.sort_values("lo").astype({c: np.int64 for c in ("lo", "leave", "slope", "n_starts")}), np.array([entry]))
+        entry, before = int(leave[0]), before + int(count[0])
+    rows = pd.DataFrame(out, columns=["_blk", "_entry", "_n_before"]).astype(np.int64)
+    for i, k in enumerate(keys):
+        rows.insert(i, k, pdf[k].iloc[0])
+    return rows
+
+
 def pack_batches(
     events: DataFrame,
     keys: Sequence[str] = ("component",),
@@ -123,11 +169,13 @@ def pack_batches(
     max_events: int = S.MAX_BATCH_EVENTS,
     max_span: dt.timedelta = S.MAX_BATCH_SPAN,
     block_size: int = 1 << 19,
+    fan_in: int = 16,
 ) -> DataFrame:
     """Add ``batch_no``, counted from 1 per key, to events with cost, emit and ts.
 
     ``order`` is the read order and unique within a key. ``blocks`` are column lists as in
     :func:`logferry.operators.ordering.running`; rows of a finest block lie together in read order.
+    ``fan_in`` blocks are composed in one task.
     """
     keys, order, fine = list(keys), list(order), list(blocks[-1])
     reach = max_bytes // S.EVENT_OVERHEAD + 1
@@ -138,7 +186,8 @@ def pack_batches(
         *columns, F.col("cost").cast("bigint").alias("_cost"), F.col(stream).alias("_stream"),
         F.unix_millis("ts").alias("_ts"), F.col("emit").alias("_emit"),
     )
-    numbered = positions(narrow, keys, [F.col(c) for c in order], "_p", blocks).withColumn("_p", F.col("_p") - 1)
+    numbered = total_order(narrow, keys, [F.col(c) for c in order], "_p", settle).withColumn("_p", F.col("_p") - 1)
+    n_blocks = (numbered.agg(F.max("_p")).first()[0] or 0) // block_size + 1
     own = F.floor(F.col("_p") / block_size)
     shared = F.when((F.col("_p") % block_size < reach) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
     spread = numbered.withColumn("_blk", F.explode_outer(shared))
@@ -159,8 +208,7 @@ def pack_batches(
         head = pdf[keys].head(1).reset_index(drop=True)
         blk = int(pdf["_blk"].iloc[0])
         if int(pdf["_p"].max()) // block_size == blk:
-            # Nothing follows, so nobody asks where the next block would be entered.
-            runs = pd.DataFrame({"lo": [0], "hi": [_NEVER], "leave": [-1], "slope": [0], "n_starts": [0]})
+            runs = _END.copy()
         else:
             pdf, n_own, nxt = arrays(pdf)
             base = int(pdf["_p"].iloc[0])
@@ -172,30 +220,27 @@ def pack_batches(
             runs.insert(i, k, head[k].iloc[0])
         return runs
 
-    runs = spread.groupBy(*keys, "_blk").applyInPandas(
-        transfer, f"{key_types}, _blk bigint, lo bigint, hi bigint, leave bigint, slope bigint, n_starts bigint"
-    )
-
-    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Walk the blocks of each key; one narrow row at a time, nothing is held."""
-        key, entry, n_before, done = None, 0, 0, -1
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False, name=None):
-                k, (b, lo, hi, leave, slope, n_starts) = row[: len(keys)], row[len(keys) :]
-                if k != key:
-                    key, entry, n_before, done = k, 0, 0, -1
-                if b == done or not lo <= entry <= hi:
-                    continue
-                out.append((*k, b, entry, n_before))
-                entry, n_before, done = leave + slope * (entry - lo), n_before + n_starts, b
-            yield pd.DataFrame(out, columns=[*keys, "_blk", "_entry", "_n_before"])
-
-    entries = (
-        runs.repartition(*keys)
-        .sortWithinPartitions(*keys, "_blk", "lo")
-        .mapInPandas(chain, f"{key_types}, _blk bigint, _entry bigint, _n_before bigint")
-    )
+    runs_schema = f"{key_types}, _blk bigint, lo bigint, hi bigint, leave bigint, slope bigint, n_starts bigint"
+    runs = spread.groupBy(*keys, "_blk").applyInPandas(transfer, runs_schema)
+
+    # Composition tree: functions of neighbouring blocks are composed until one node per key is left; its
+    # entry is known, and from there each node tells its children where they are entered.
+    levels = [runs]
+    while n_blocks > fan_in:
+        levels[-1] = settle(levels[-1])
+        levels.append(
+            levels[-1].withColumn("_up", F.floor(F.col("_blk") / fan_in)).groupBy(*keys, "_up").applyInPandas(
+                lambda pdf: composed(pdf, keys), runs_schema
+            )
+        )
+        n_blocks = -(-n_blocks // fan_in)
+    entries = levels[-1].select(*keys).distinct().withColumns({c: F.lit(0).cast("bigint") for c in ("_blk", "_entry", "_n_before")})
+    for level in reversed(levels):
+        asked = entries.select(*keys, F.col("_blk").alias("_up"), F.col("_entry").alias("lo"), F.col("_n_before").alias("n_starts"))
+        nodes = level.withColumn("_up", F.floor(F.col("_blk") / fan_in)).unionByName(asked, allowMissingColumns=True)
+        entries = nodes.groupBy(*keys, "_up").applyInPandas(
+            lambda pdf: entered(pdf, keys), f"{key_types}, _blk bigint, _entry bigint, _n_before bigint"
+        )
 
     id_columns = list(dict.fromkeys([*keys, *fine, *order]))
     out_schema = ", ".join(f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in id_columns)
@@ -256,27 +301,18 @@ def within_span(events: DataFrame, keys, order, blocks, span: dt.timedelta = S.M
     return df.withColumn("fits", F.col("ts") <= F.col("first_ts") + F.lit(span))
 
 
-def sort_events(
-    events: DataFrame, tie: Sequence[str], keys=("log_group", "log_stream"), fine: Sequence[str] = ()
-) -> DataFrame:
+def sort_events(events: DataFrame, tie: Sequence[str], keys=("log_group", "log_stream")) -> DataFrame:
     """Add ``nth``, the place of an event by time in its stream (or stream batch).
 
-    ``tie`` orders events of the same time. Where very many share one time, as records without a
-    timestamp do, name the leading tie columns of a file in ``fine``, and files become the blocks.
+    ``tie`` orders events of the same time, of which there may be any number, as records without a
+    timestamp have the time of the run.
     """
-    df = events.withColumn("_hour", F.date_trunc("hour", "ts"))
-    levels = [["_hour"], *([["_hour", "ts", *fine]] if fine else [])]
-    return positions(df, list(keys), [F.col("ts"), *[F.col(c) for c in tie]], "nth", levels).drop("_hour")
+    return total_order(events, list(keys), [F.col("ts"), *[F.col(c) for c in tie]], "nth", settle)
 
 
 def merge_files(events: DataFrame, keys=("component",), order=("mtime", "path", "start_off", "chunk_no")) -> DataFrame:
-    """Add ``nth``, the place of an event in the read order of its component across all files.
-
-    Positions are summed per file within the hour of its modification, then per hour.
-    """
-    df = events.withColumn("_hour", F.date_trunc("hour", "mtime"))
-    levels = [["_hour"], ["_hour", "mtime", "path"]]
-    return positions(df, list(keys), [F.col(c) for c in order], "nth", levels).drop("_hour")
+    """Add ``nth``, the place of an event in the read order of its component across all files."""
+    return total_order(events, list(keys), [F.col(c) for c in order], "nth", settle)
 
 
 def progress_by_stream_file(events: DataFrame, keys=("component", "fingerprint", "log_stream", "batch_no")) -> DataFrame:

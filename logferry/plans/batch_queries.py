@@ -37,7 +37,7 @@ def group_streams(spark, sf_dir):
   select event_id, log_stream, row_number() over (partition by log_group, log_stream order by ts_ms, event_id) as nth
   from events_at"""))
 def sort_events(spark, sf_dir):
-    events = V.settle(V.events_at(spark, sf_dir).drop("message"))
+    events = V.settle(V.events_at(spark, sf_dir).select("log_group", "log_stream", "ts", "event_id"))
     return P.sort_events(events, ["event_id"]).select("event_id", "log_stream", "nth")
 
 
@@ -47,6 +47,7 @@ def sort_events(spark, sf_dir):
 def merge_files(spark, sf_dir):
     """Lines as events, numbered across all files of a component."""
     lines = R.read_lines(R.as_blocks(V.files(spark, sf_dir)), keep=("component", "path", "mtime"))
+    lines = V.settle(lines.select("component", "path", "mtime", "start_off"))  # ranges are sampled from it first
     return P.merge_files(lines, order=("mtime", "path", "start_off")).select("component", "path", "start_off", "nth")
 
 
@@ -82,15 +83,16 @@ def cap_span(spark, sf_dir):
 # Small limits, so that all three of them close batches.
 _BYTES, _COUNT, _HOURS = 6000, 6, 20
 
-_PACK = f"""numbered as (
+def _pack_sql(max_bytes: int) -> str:
+    return f"""numbered as (
   select *, row_number() over (partition by component order by event_id) as p,
     cast(sum(cost) over (partition by component order by event_id) as bigint) as total,
     lead(event_id, {_COUNT}) over (partition by component, log_stream order by event_id) as over_id
   from file_events),
 breaks as (
   select a.component, a.p,
-    (select min(b.p) from numbered b where b.component = a.component and b.p > a.p and b.p <= a.p + {_BYTES // 34 + 1}
-       and b.total - a.total + a.cost > {_BYTES}) as by_bytes,
+    (select min(b.p) from numbered b where b.component = a.component and b.p > a.p and b.p <= a.p + {max_bytes // 34 + 1}
+       and b.total - a.total + a.cost > {max_bytes}) as by_bytes,
     (select b.p from numbered b where b.component = a.component and b.event_id = a.over_id) as by_count,
     (select min(b.p) from numbered b where b.component = a.component and b.log_stream = a.log_stream and b.p > a.p
        and b.ts_ms > a.ts_ms + {_HOURS} * 3600000) as by_span
@@ -110,12 +112,15 @@ packed as (
   select n.*, s.batch_no from numbered n asof join starts s on n.component = s.component and n.p >= s.p)"""
 
 
-def packed(spark, sf_dir):
+_PACK = _pack_sql(_BYTES)
+
+
+def packed(spark, sf_dir, max_bytes=_BYTES, block_size=2048, fan_in=16):
     """All events packed per component in the order of event_id."""
     events = V.settle(V.file_events(spark, sf_dir).withColumn("mtime", F.lit(V.AS_OF).cast("timestamp")))
     return P.pack_batches(
-        events, order=["event_id"], blocks=[["_part"]], max_bytes=_BYTES, max_events=_COUNT,
-        max_span=dt.timedelta(hours=_HOURS),
+        events, order=["event_id"], blocks=[["_part"]], max_bytes=max_bytes, max_events=_COUNT,
+        max_span=dt.timedelta(hours=_HOURS), block_size=block_size, fan_in=fan_in,
     )
 
 
@@ -125,6 +130,13 @@ def pack_batches(spark, sf_dir):
     return packed(spark, sf_dir).select("component", "event_id", "batch_no")
 
 
+@query("pack_many_blocks", with_sql(*_EVENTS, V.FILE_EVENTS, _pack_sql(1500), final="""
+  select component, event_id, batch_no from packed"""))
+def pack_many_blocks(spark, sf_dir):
+    """As pack_batches with smaller batches and the smallest possible blocks, composed in a tree of several levels."""
+    return packed(spark, sf_dir, 1500, 1500 // 34 + 1, 4).select("component", "event_id", "batch_no")
+
+
 @query("progress_by_stream_file", with_sql(*_EVENTS, V.FILE_EVENTS, _PACK, final="""
   select component, fingerprint, log_stream, batch_no, min(start_off) as start_off, max(end_off) as end_off,
     max(end_off) - min(start_off) as bytes_read

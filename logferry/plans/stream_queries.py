@@ -9,6 +9,7 @@ from logferry.operators import events as E
 from logferry.plans import views as V
 from logferry.plans.registry import query
 from logferry.plans.views import millis, with_sql
+from logferry.sources.scratch import scratch
 from logferry.streaming.collect import day_counts
 
 _EVENTS = (V.RAW_EVENTS, V.PARSED, V.ROUTED)
@@ -29,7 +30,7 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
     mode the last one holds the whole result.
     """
     spark = stream.sparkSession
-    root = V.scratch(spark)
+    root = scratch(spark)
 
     def write(df: DataFrame, epoch: int) -> None:
         df.write.mode("overwrite").parquet(f"{root}/out/epoch={epoch}")

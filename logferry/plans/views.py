@@ -7,8 +7,6 @@ customers are devices that carry a rule document each.
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +16,7 @@ from logferry.operators import files as FL
 from logferry.operators import records as R
 from logferry.operators.ordering import running
 from logferry.settings import Settings
+from logferry.sources.scratch import settle
 
 AS_OF = dt.datetime(2024, 1, 31)
 SETTINGS = Settings(as_of=AS_OF, region="local")
@@ -32,29 +31,6 @@ def with_sql(*ctes: str, final: str) -> str:
     return "with " + ",\n".join(ctes) + "\n" + final
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared one the session names in ``spark.checkpoint.dir``.
-
-    A temporary folder is used only on a local master that names none, as in tests: on a cluster each
-    executor would write to its own disk.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="logferry-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write a frame that several branches read, and go on from the written table, of which each
-    branch reads just the columns it needs."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def millis(name: str, alias: str | None = None):
     return F.unix_millis(name).alias(alias or f"{name}_ms")
 

@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from logferry.operators.ordering import total_order
-from logferry.plans.views import settle
+from logferry.sources.scratch import settle
 
 
 @pytest.mark.parametrize("keys", [["k"], ["k", "s"], []])

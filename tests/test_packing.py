@@ -40,8 +40,8 @@ def test_next_starts_agree_with_the_loop():
         assert got == loop(cost, stream, ts, emit, *limits)
 
 
-@pytest.mark.parametrize("equal_sizes", [False, True])
-def test_blocks_chain_to_the_same_batches(spark, equal_sizes):
+@pytest.mark.parametrize("equal_sizes, fan_in", [(False, 2), (True, 5), (False, 64)])
+def test_blocks_chain_to_the_same_batches(spark, equal_sizes, fan_in):
     """One key holds nearly all events and is cut into many blocks. Equal sizes never synchronise."""
     rng = np.random.default_rng(3)
     rows = []
@@ -55,7 +55,7 @@ def test_blocks_chain_to_the_same_batches(spark, equal_sizes):
     )
     span = 10**8 if equal_sizes else 20_000
     got = P.pack_batches(
-        events, max_bytes=34 * 60, max_events=7, max_span=dt.timedelta(milliseconds=span), block_size=61
+        events, max_bytes=34 * 60, max_events=7, max_span=dt.timedelta(milliseconds=span), block_size=61, fan_in=fan_in
     ).select("component", "start_off", "batch_no").toPandas()
     for key, g in pdf.groupby("component"):
         mine = got[got.component == key].sort_values("start_off").batch_no.tolist()
