@@ -48,22 +48,31 @@ class Voters:
 
     idf: np.ndarray
     axes: np.ndarray  # (terms, rank)
-    vectors: np.ndarray  # (labelled, rank), unit length
+    vectors: np.ndarray  # (labelled, rank), unit length, in the order of doc_id
     labels: np.ndarray
+    without_terms: float  # the score of a text that has no terms
 
     def vectors_of(self, counts: np.ndarray) -> np.ndarray:
         v = (np.log1p(counts) * self.idf) @ self.axes
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        """The share of label 1 among the nearest labelled vectors, weighted by similarity; 0.5 without any."""
+        """The share of label 1 among the nearest labelled vectors, weighted by similarity; 0.5 without any.
+
+        Of equally similar ones those with the smaller doc_id vote.
+        """
         if not len(self.labels):
             return np.full(len(texts), 0.5)
-        alike = self.vectors_of(np.stack([terms(t) for t in texts])) @ self.vectors.T
+        counts = np.stack([terms(t) for t in texts])
+        alike = self.vectors_of(counts) @ self.vectors.T
         k = min(NEIGHBOURS, len(self.labels))
-        top = np.argpartition(-alike, k - 1, axis=1)[:, :k]
+        least = np.partition(alike, len(self.labels) - k, axis=1)[:, [len(self.labels) - k]]
+        over, tied = alike > least, alike == least
+        chosen = over | (tied & (np.cumsum(tied, axis=1) <= k - over.sum(1, keepdims=True)))
+        top = np.nonzero(chosen)[1].reshape(len(alike), k)
         weight = np.maximum(np.take_along_axis(alike, top, 1).astype(np.float64), 1e-6) ** SHARPNESS
-        return np.clip((weight * self.labels[top]).sum(1) / weight.sum(1), 0, 1)
+        voted = np.clip((weight * self.labels[top]).sum(1) / weight.sum(1), 0, 1)
+        return np.where(counts.any(1), voted, self.without_terms)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, rank: int = RANK) -> Voters:
@@ -87,8 +96,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, rank: in
 
     rows = sorted(tuple(r) for r in sample.mapInArrow(count, "doc_id bigint, quality double, terms binary").toLocalIterator())
     if not rows:
-        return Voters(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
+        return Voters(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
     x = np.stack([np.frombuffer(r[2], np.float32) for r in rows])
+    labels = np.array([r[1] for r in rows])
+    # A text without terms has no direction; it is judged as labelled ones without terms are, if there are any.
+    bare = ~x.any(1)
+    without_terms = float(labels[bare].mean()) if bare.any() else 0.0
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 0.1).astype(np.float32)
     x = np.log1p(x) * idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
@@ -98,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, rank: in
     for _ in range(4):
         q = np.linalg.qr(x @ (x.T @ q))[0]
     axes = np.linalg.svd(q.T @ x, full_matrices=False)[2][:rank].T.astype(np.float32)
-    voters = Voters(idf, axes, np.zeros((0, rank), np.float32), np.array([r[1] for r in rows]))
+    voters = Voters(idf, axes, np.zeros((0, rank), np.float32), labels, without_terms)
     voters.vectors = voters.vectors_of(np.stack([np.frombuffer(r[2], np.float32) for r in rows]))
     return voters
 
@@ -106,8 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, rank: in
 def score(docs: DataFrame, voters: Voters, cut: float = CUT) -> DataFrame:
     """doc_id, score, predicted for every row of ``docs`` (doc_id, text): whole texts, in blocks of documents.
 
-    NULL and empty texts have no terms; all labelled vectors are equally far, and the score is the mean label
-    of the first. Without labelled documents every score is 0.5. Repeated rows are scored each.
+    NULL texts and those of less than three bytes have no terms; their score is the share of label 1 among
+    labelled texts without terms, 0 if there are none. Without labelled documents every score is 0.5. Repeated rows are scored each.
     """
 
     def run(batches):

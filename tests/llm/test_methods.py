@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 import zlib
 
 import fixtures
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from logferry.llm import language, near_dups, packing, passages, quality_vote, urls
+from logferry.llm import decontaminate, language, near_dups, packing, passages, quality_vote, queries, urls
 from logferry.llm.common import compare_texts, components, shingles, table, words_of
 from logferry.llm.queries import URL_RULES, tokenizer_path
 
@@ -297,8 +298,16 @@ def test_missed_links_meet_across_blocks(spark):
 def test_ids_are_those_of_the_tokenizer():
     encode, r = packing.Encoder(tokenizer_path()), random.Random(1)
     texts = ["".join(r.choice([" ", "\n", "a", "é", "'s", "1", "\t", "!", "中", "\x1c", "\u2003", "<|endoftext|>"]) for _ in range(r.randrange(14))) for _ in range(5000)]
-    encode.limit = 50
-    assert [encode(t) for t in texts] == encode.whole(texts)
+    want = [encode.whole(t) for t in texts]
+    for encode.longest in (1000, 3):
+        assert [encode(t) for t in texts] == want
+
+
+def test_long_stretches_take_no_square_of_time():
+    encode, start = packing.Encoder.of(tokenizer_path()), time.time()
+    for text in ("x" * 200_000, "ab" * 100_000 + " end", "中" * 100_000, "a" + " " * 300_000 + "b", "a  b " * 50_000):
+        assert encode(text) == encode.whole(text)
+    assert time.time() - start < 60
 
 
 def packed_right(rows, texts):
@@ -376,7 +385,7 @@ def test_near_duplicates(spark, folder):
     assert len(rows) == docs.count()
     assert {r.doc_id: r.class_id for r in rows} == classes_by_force({r.doc_id: r.text for r in docs.collect()})
     assert all(r.is_kept == (r.doc_id == r.class_id) for r in rows)
-    kept = near_dups.one_of_each(docs, near_dups.near_duplicates(docs))
+    kept = near_dups.one_of_each(docs)
     assert sorted(r.doc_id for r in kept.collect()) == sorted({r.class_id for r in rows}) and kept.columns == docs.columns
 
 
@@ -488,3 +497,72 @@ def test_pipeline(spark, folder):
         assert stage(spark, docs, folder).columns == docs.columns
     clean = {r.doc_id for r in run(spark, "pipeline", SF).collect()}
     assert len(clean) > 150
+
+
+# --- op3: odd texts, and the vote itself -------------------------------------------------------------
+
+
+def test_texts_without_terms_and_the_exact_vote(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    voters = quality_vote.fit(docs.where(queries.fold(4) != 2), labels)
+    low = voters.scores([None, "", " ", "a"])
+    assert (low == voters.without_terms).all() and voters.without_terms < 0.5
+    texts = [r.text for r in docs.limit(60).collect()]
+    texts = [t for t in texts if len((t or "").encode()) > 2]
+    for text, got in zip(texts, voters.scores(texts)):
+        v = voters.vectors_of(quality_vote.terms(text)[None])[0]
+        alike = [float(x) for x in voters.vectors @ v]
+        near = sorted(range(len(alike)), key=lambda i: (-alike[i], i))[: quality_vote.NEIGHBOURS]
+        weight = [max(alike[i], 1e-6) ** quality_vote.SHARPNESS for i in near]
+        assert abs(got - sum(w * voters.labels[i] for w, i in zip(weight, near)) / sum(weight)) < 1e-4
+
+
+def test_equally_similar_voters_are_taken_in_order():
+    one = quality_vote.terms("some words here")
+    axes = one[:, None] / np.linalg.norm(one)
+    labels = np.array([1.0] * quality_vote.NEIGHBOURS + [0.0] * 10)
+    voters = quality_vote.Voters(np.ones(len(one), np.float32), axes, np.ones((len(labels), 1)), labels, 0.25)
+    assert voters.scores(["some words here", ""]).tolist() == [1.0, 0.25]
+    voters.labels = labels[::-1]
+    assert abs(voters.scores(["some words here"])[0] - 15 / 25) < 1e-9
+
+
+# --- one doc_id with several texts -------------------------------------------------------------------
+
+
+def shared_ids(spark):
+    """Ids that stand for several texts, in every relation that two texts can have."""
+    a, b, c, d = (fixtures.prose(80, 9100 + i) for i in range(4))
+    near = a.split()
+    near[5] = "changed"
+    rows = [(1, a), (2, b), (2, a), (2, c), (3, c), (4, b), (5, d), (5, " ".join(d.split()[:-1])), (None, a), (6, None), (6, ""), (7, a), (7, " ".join(near)), (2, b)]
+    return spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, text_key string"), (a, b, c, d)
+
+
+def test_no_text_is_lost_where_ids_are_shared(spark):
+    docs, (a, b, c, d) = shared_ids(spark)
+    rows = near_dups.near_duplicates(docs).collect()
+    assert len(rows) == docs.count()
+    classes = {}
+    for r in rows:
+        classes.setdefault(r.doc_id, set()).add(r.class_id)
+    assert classes == {1: {1}, 2: {1, 2}, 3: {2}, 4: {2}, 5: {5}, None: {None}, 6: {6}, 7: {1}}
+    kept = near_dups.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    five = [x for x in got if x[0] == 5]
+    assert len(five) == 1 and five[0][1] in (d, " ".join(d.split()[:-1]))
+    assert [x for x in got if x[0] != 5] == sorted([(0, a), (1, a), (2, b), (2, c), (6, ""), (6, "")])
+
+
+def test_contamination_is_of_the_row(spark):
+    item = fixtures.prose(30, 9200)
+    docs = spark.createDataFrame(
+        [(1, "before " + item), (1, "clean words only"), (None, item), (None, "nothing"), (2, fixtures.prose(40, 9201)), (1, "x " + " ".join(item.split()[3:20]))],
+        "doc_id long, text string",
+    )
+    bench = spark.createDataFrame([(5, item), (6, " ".join(item.split()[:12]))], "item_id long, text string")
+    rows = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in decontaminate.report(docs, bench).collect())
+    assert rows == sorted([(1, 31, 30, 2), (1, 3, 0, 0), (0, 30, 30, 2), (0, 1, 0, 0), (2, 40, 0, 0), (1, 18, 17, 1)])
+    left = decontaminate.without_hits(docs, bench)
+    assert sorted(r.text for r in left.collect()) == sorted(["clean words only", "nothing", fixtures.prose(40, 9201)])
