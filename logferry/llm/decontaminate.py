@@ -44,36 +44,41 @@ def rarest(phrases: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
+def row_id() -> Column:
+    """What tells rows apart: the id and the text. Rows that share it are equal in all that is found here."""
+    return F.xxhash64("doc_id", "text")
+
+
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The index: term, doc_id, pos (from 0) of every occurrence of ``terms`` in the documents."""
-    rows = inlined(docs.select("doc_id", "text"), w=words(F.col("text")))
-    return rows.select("doc_id", F.posexplode("w").alias("pos", "term")).join(small(terms), "term").select("term", "doc_id", "pos")
+    """The index: term, rid, pos (from 0) of every occurrence of ``terms`` in the documents."""
+    rows = inlined(docs.select(row_id().alias("rid"), "text"), w=words(F.col("text")))
+    return rows.select("rid", F.posexplode("w").alias("pos", "term")).join(small(terms), "term").select("term", "rid", "pos")
 
 
 def aligned(index: DataFrame, anchors: DataFrame, slop: int = SLOP) -> DataFrame:
-    """doc_id, phrase, size, start: where the lists of a phrase's two rarest terms meet.
+    """rid, phrase, size, start: where the lists of a phrase's two rarest terms meet.
 
     Each list is shifted by the place of its term in the phrase; the shifted positions may differ by ``slop``.
     Only positions in the same or neighbouring stretches of ``slop`` + 1 words meet.
     """
     first = index.join(small(anchors), index.term == F.col("term1")).select(
-        "doc_id", "phrase", "size", "term2", (F.col("pos") - F.col("place1")).alias("start"), "place2"
+        "rid", "phrase", "size", "term2", (F.col("pos") - F.col("place1")).alias("start"), "place2"
     )
     stretch = lambda at: F.floor(at / (slop + 1))
-    second = index.select(F.col("term").alias("term2"), "doc_id", F.col("pos").alias("pos2"), stretch(F.col("pos")).alias("stretch"))
+    second = index.select(F.col("term").alias("term2"), "rid", F.col("pos").alias("pos2"), stretch(F.col("pos")).alias("stretch"))
     own = stretch(F.col("start") + F.col("place2"))
     pairs = first.where("term2 is not null").withColumn("stretch", F.explode(F.sequence(own - 1, own + 1)))
     meet = F.abs(F.col("pos2") - F.col("place2") - F.col("start")) <= slop
     return (
-        pairs.join(second, ["term2", "doc_id", "stretch"]).where(meet).select("doc_id", "phrase", "size", "start")
-        .union(first.where("term2 is null").select("doc_id", "phrase", "size", "start")).distinct()
+        pairs.join(second, ["term2", "rid", "stretch"]).where(meet).select("rid", "phrase", "size", "start")
+        .union(first.where("term2 is null").select("rid", "phrase", "size", "start")).distinct()
     )
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = SLOP) -> tuple[DataFrame, DataFrame]:
     """Documents with their matches, and the items of each phrase.
 
-    First: doc_id, n_words, exact and near, arrays of (phrase, start, size). Exact: the phrase stands there.
+    First: doc_id, rid, n_words, exact and near, arrays of (phrase, start, size). Exact: the phrase stands there.
     Near: all its terms stand within its size and ``slop`` words on either side, but not as the phrase.
     Candidates from the index are checked on the words of the whole text.
     """
@@ -82,20 +87,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: in
     anchors = checkpointed(rarest(phrases, docs))
     terms = checkpointed(anchors.select(F.explode(F.array("term1", "term2")).alias("term")).where("term is not null").distinct())
     index = checkpointed(postings(docs, terms))
-    found = aligned(index, anchors, slop).groupBy("doc_id").agg(F.collect_list(F.struct("phrase", "start", "size")).alias("c"))
+    found = aligned(index, anchors, slop).groupBy("rid").agg(F.collect_list(F.struct("phrase", "start", "size")).alias("c"))
     found = small(checkpointed(found))
-    rows = inlined(docs.select("doc_id", "text").join(found, "doc_id", "left"), w=words(F.col("text")), c2=F.col("c"))
+    rows = inlined(docs.select("doc_id", "text", row_id().alias("rid")).join(found, "rid", "left"), w=words(F.col("text")), c2=F.col("c"))
 
     def from_(x, back: int, more: int) -> Column:
         begin = F.greatest(x["start"] + 1 - back, F.lit(1))
         return F.slice("w", begin, F.greatest(F.least(x["start"] + x["size"] + more, F.size("w")) - begin + 1, F.lit(0)))
 
     exact = F.filter("c2", lambda x: (x["start"] >= 0) & (F.array_join(from_(x, 0, 0), " ") == x["phrase"]))
-    rows = inlined(rows.select("doc_id", F.size("w").cast("bigint").alias("n_words"), "w", "c2"), exact=exact)
+    rows = inlined(rows.select("doc_id", "rid", F.size("w").cast("bigint").alias("n_words"), "w", "c2"), exact=exact)
     near = F.filter(
         F.array_except("c2", "exact"), lambda x: F.size(F.array_except(F.split(x["phrase"], " "), from_(x, slop, slop))) == 0
     )
-    return rows.select("doc_id", "n_words", F.when(F.size("exact") > 0, F.col("exact")).alias("exact"), F.when(F.size("c2") > 0, near).alias("near")), spans
+    return rows.select("doc_id", "rid", "n_words", F.when(F.size("exact") > 0, F.col("exact")).alias("exact"), F.when(F.size("c2") > 0, near).alias("near")), spans
 
 
 def report(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = SLOP) -> DataFrame:
@@ -105,26 +110,36 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int
     phrases that only a proximity match has found in the document.
 
     NULL, empty and wordless texts have no words and no hits; such items have no phrases; items of equal
-    text are all counted. Repeated rows of a document get equal rows; a row without doc_id has no hits. An empty benchmark hits nothing.
-    Columns other than doc_id and text, item_id and text are not read.
+    text are all counted. Every row is judged by its own text, also where rows share a doc_id or have none. An empty
+    benchmark hits nothing. Columns other than doc_id and text, item_id and text are not read.
     """
+    return _judged(docs, benchmark, width, slop).drop("rid")
+
+
+def without_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` in which no run of words of an item occurs, with all their columns."""
+    hit = _judged(docs, benchmark, WINDOW, SLOP).where("contaminated").select("rid").distinct()
+    return docs.withColumn("__rid", row_id()).join(small(hit.withColumnRenamed("rid", "__rid")), "__rid", "left_anti").select(docs.columns)
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, width: int, slop: int) -> DataFrame:
     rows, spans = matches(docs, benchmark, width, slop)
     places = F.flatten(F.transform("exact", lambda x: F.sequence(x["start"], x["start"] + x["size"] - 1)))
     phrases = F.array_distinct(F.transform("exact", lambda x: x["phrase"]))
     near = F.array_except(F.transform("near", lambda x: x["phrase"]), F.coalesce(phrases, F.array().cast("array<string>")))
     rows = checkpointed(rows.select(
-        "doc_id", "n_words", F.coalesce(F.size(F.array_distinct(places)), F.lit(0)).cast("bigint").alias("n_hit"), phrases.alias("phrases"),
+        "doc_id", "rid", "n_words", F.coalesce(F.size(F.array_distinct(places)), F.lit(0)).cast("bigint").alias("n_hit"), phrases.alias("phrases"),
         F.when(F.col("near").isNotNull(), F.size(F.array_distinct(near))).otherwise(0).cast("bigint").alias("n_near"),
     ))
-    hit = rows.where("phrases is not null").select("doc_id", F.explode_outer("phrases").alias("phrase")).distinct()
-    items = hit.join(small(spans.select("phrase", F.col("item_id").cast("string").alias("item"))), "phrase").select("doc_id", "item").distinct()
-    items = items.groupBy("doc_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    out = rows.join(small(checkpointed(items)), "doc_id", "left")
+    hit = rows.where("phrases is not null").select("rid", F.explode_outer("phrases").alias("phrase")).distinct()
+    items = hit.join(small(spans.select("phrase", F.col("item_id").cast("string").alias("item"))), "phrase").select("rid", "item").distinct()
+    items = items.groupBy("rid").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    out = rows.join(small(checkpointed(items)), "rid", "left")
     hits = F.col("phrases").isNotNull()
     return out.select(
         "doc_id", "n_words", F.when(hits, F.col("n_hit")).otherwise(F.lit(0)).cast("bigint").alias("n_hit"),
         F.when(hits, F.size("items")).otherwise(0).cast("bigint").alias("n_items"),
-        F.sha2(F.when(hits, F.array_join("items", ",")).otherwise(""), 256).alias("items_sha256"), hits.alias("contaminated"), "n_near",
+        F.sha2(F.when(hits, F.array_join("items", ",")).otherwise(""), 256).alias("items_sha256"), hits.alias("contaminated"), "n_near", "rid",
     )
 
 

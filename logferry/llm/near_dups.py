@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logferry.llm.common import chunks, checkpointed, compare_texts, components, mixed, shingles, words_of
+from logferry.llm.common import chunks, checkpointed, compare_texts, components, mixed, shingles, small, words_of
 
 REGISTERS, BANDS = 64, 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -97,6 +97,11 @@ def _judge(threshold: float):
     return judge
 
 
+def text_key() -> Column:
+    """What tells texts that share a doc_id apart."""
+    return F.xxhash64("text")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, registers: int = REGISTERS, bands: int = BANDS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, class_id, is_kept.
 
@@ -106,8 +111,39 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, registers: int = RE
     ``threshold``; a class is what links connect, named by its smallest doc_id, the one that is kept.
 
     NULL, empty and blank texts are never linked: each stays, as its own class. Repeated rows are copies.
-    A row without doc_id stays and has no class. Columns other than doc_id and text are not read.
+    A row without doc_id stays and has no class. Rows that share a doc_id but not the text are texts of their own:
+    they may be in different classes, and of those in the same one the first by a hash of the text is kept. Columns
+    other than doc_id and text are not read.
     """
+    rows, shared = _with_shared_ids(docs)
+    if shared.isEmpty():
+        return _by_id(docs, threshold, registers, bands)
+    return _by_text(rows, shared, threshold, registers, bands).drop("text_key")
+
+
+def _with_shared_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text and text_key of the rows, and the ids that have several texts."""
+    rows = docs.select("doc_id", "text", text_key().alias("text_key"))
+    texts = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b"))
+    return rows, checkpointed(texts.where("a <> b").select("doc_id"))
+
+
+def _by_text(rows: DataFrame, shared: DataFrame, threshold: float, registers: int, bands: int) -> DataFrame:
+    # Texts of such an id go by an id of their own, and get the names of their classes back at the end.
+    own = F.when(F.col("_shared"), F.xxhash64("doc_id", "text_key")).otherwise(F.col("doc_id"))
+    rows = rows.join(small(shared.withColumn("_shared", F.lit(True))), "doc_id", "left")
+    rows = rows.withColumn("id", own)
+    found = _by_id(rows.select(F.col("id").alias("doc_id"), "text"), threshold, registers, bands)
+    names = checkpointed(rows.select("id", "doc_id", "text_key").distinct())
+    found = checkpointed(found.withColumnRenamed("doc_id", "id").join(names, ["id"], "left"))
+    place = F.struct("doc_id", "text_key")
+    first = found.where("doc_id is not null").groupBy("class_id").agg(F.min(place).alias("_first"))
+    found = found.join(first, "class_id", "left")
+    kept = F.col("doc_id").isNull() | place.eqNullSafe(F.col("_first"))
+    return found.select("doc_id", F.col("_first.doc_id").alias("class_id"), kept.alias("is_kept"), "text_key")
+
+
+def _by_id(docs: DataFrame, threshold: float, registers: int, bands: int) -> DataFrame:
     prints = checkpointed(fingerprints(docs, registers, bands))
     texts = prints.where("keys is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "keys", "sign", "size")).alias("r"))
     texts = checkpointed(texts.select("digest", F.col("r.doc_id").alias("rep"), "r.keys", "r.sign", "r.size"))
@@ -123,14 +159,25 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, registers: int = RE
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), class_id).alias("class_id"), is_kept.alias("is_kept"))
 
 
-def one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that :func:`near_duplicates` keeps, one for each doc_id; all that have none."""
-    counts = classes.where("doc_id is not null").agg(F.count("*"), F.countDistinct("doc_id")).first()
-    dropped = classes.where(~F.col("is_kept")).select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    if counts[0] > counts[1]:  # rows of one doc_id
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
+def one_of_each(docs: DataFrame, threshold: float = 0.8, registers: int = REGISTERS, bands: int = BANDS) -> DataFrame:
+    """The rows of ``docs`` that :func:`near_duplicates` keeps, a repeated row once, and all rows without doc_id."""
+    rows, shared = _with_shared_ids(docs)
+    if shared.isEmpty():
+        classes = checkpointed(_by_id(docs, threshold, registers, bands))
+        counts = classes.where("doc_id is not null").agg(F.count("*"), F.countDistinct("doc_id")).first()
+        kept = docs.join(classes.where(~F.col("is_kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+        if counts[0] > counts[1]:  # repeated rows
+            kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+        return kept
+    classes = checkpointed(_by_text(rows, shared, threshold, registers, bands))
+    counts = classes.where("doc_id is not null").agg(F.count("*"), F.countDistinct("doc_id", "text_key")).first()
+    dropped = classes.where(~F.col("is_kept")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    keyed = docs.withColumn("__text", text_key())
+    kept = keyed.join(dropped, (F.col("doc_id") == F.col("__id")) & (F.col("__text") == F.col("__key")), "left_anti")
+    if counts[0] > counts[1]:  # repeated rows
+        some = kept.where("doc_id is not null").dropDuplicates(["doc_id", "__text"])
+        kept = some.unionByName(kept.where("doc_id is null"))
+    return kept.select(docs.columns)
 
 
 def links(edges: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
