@@ -5,10 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from logferry.llm import decontaminate, language, near_dups, packing, secrets
-from logferry.llm.common import shared_folder, small, table
+from logferry.llm.common import shared_folder, table
 from logferry.llm.queries import tokenizer_path
 from logferry.plans.registry import query
 
@@ -20,13 +19,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, that with the smallest doc_id."""
-    return near_dups.one_of_each(docs, near_dups.near_duplicates(docs))
+    return near_dups.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
-    found = decontaminate.report(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
-    return docs.join(small(found.select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)
+    return decontaminate.without_hits(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
