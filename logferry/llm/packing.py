@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 import zlib
 from collections import Counter
 
@@ -36,14 +35,12 @@ def _ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
 class Encoder:
     """Ids of whole texts, as little-endian 32-bit bytes, equal to those of the byte-level tokenizer.
 
-    The pre-tokenizer's pattern cuts a text at single spaces, and a space belongs to what follows it. So
-    the parts between spaces can be encoded once and remembered, up to ``limit`` of them; the merges of new
-    parts are done by a faster library with the same vocabulary. Where a space meets other white space, or
-    the text holds an added token, the whole text goes to the tokenizer.
+    A faster library merges with the same vocabulary and the same pattern. Its time grows with the square of a
+    stretch that the pattern doesn't cut, so texts that may hold one of more than ``longest`` characters go to the
+    tokenizer itself, whose time doesn't, and so do texts that hold an added token.
     """
 
-    limit = 250_000
-    _joined = re.compile(r" \s|\s \Z")
+    longest = 1000
     _own: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
@@ -55,7 +52,6 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = {t: i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in self.added}
         self.merges = tiktoken.Encoding("merges", pat_str=PRE_TOKENS, mergeable_ranks=_ranks(vocabulary), special_tokens={})
-        self.known: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -63,26 +59,23 @@ class Encoder:
             cls._own[path] = cls(path)
         return cls._own[path]
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def part(self, text: str) -> bytes:
-        ids = self.merges.encode_ordinary(text)
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _is_cut(self, text: str) -> bool:
+        """No stretch of more than ``longest`` characters without white space, or of white space."""
+        if len(text) <= self.longest:
+            return True
+        sizes = [len(w) for w in text.split()]
+        if max(sizes, default=0) > self.longest:
+            return False
+        blanks = len(text) - sum(sizes) - len(sizes)
+        return blanks < self.longest or not re.search(rf"\s{{{self.longest + 1}}}", text)
 
     def __call__(self, text: str) -> bytes:
-        if self._joined.search(text) or any(t in text for t in self.added):
-            return self.whole([text])[0]
-        first, *parts = text.split(" ")
-        known = self.known
-        new = list({p for p in parts if p not in known})
-        if new:
-            if len(known) + len(new) > self.limit:
-                known.clear()
-                new = list(set(parts))
-            known.update((p, self.part(" " + p)) for p in new)
-        return b"".join([self.part(first), *map(known.__getitem__, parts)])
+        if any(t in text for t in self.added) or not self._is_cut(text):
+            return self.whole(text)
+        return np.array(self.merges.encode_ordinary(text), "<u4").tobytes()
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
@@ -201,7 +194,7 @@ def plan(histogram: dict[int, int], bins: int, depth: int = DEPTH) -> list[tuple
 
 
 def packed(pieces: DataFrame, window: int = WINDOW, width: int = BIN, depth: int = DEPTH, block_rows: int = 10_000) -> DataFrame:
-    """Add sequence_id and offset to ``pieces``.
+    """Add sequence_id and offset to ``pieces``, a written table.
 
     Lengths are counted in bins of ``width``; only this histogram (``window / width`` rows) is seen by the
     driver, which makes the plan. Pieces are numbered within their bin block by block, with one row per block
@@ -211,7 +204,8 @@ def packed(pieces: DataFrame, window: int = WINDOW, width: int = BIN, depth: int
     pieces = pieces.withColumn("_bin", F.ceil(F.col("length") / width).cast("int"))
     total = pieces.count()
     blocks = max(1, total // block_rows + 1)
-    pieces = pieces.withColumn("_block", F.pmod(F.xxhash64("doc_id", "start"), F.lit(blocks)))
+    # By the row itself, since rows may repeat; ``pieces`` are read from where they were written.
+    pieces = pieces.withColumn("_block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
     counts = checkpointed(pieces.groupBy("_bin", "_block").agg(F.count("*").alias("n")))
     histogram = {r[0]: r[1] for r in counts.groupBy("_bin").agg(F.sum("n")).collect()}
 
