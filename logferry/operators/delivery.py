@@ -106,6 +106,26 @@ def hold_after_failure(delivery: DataFrame) -> DataFrame:
     )
 
 
+def judged(batches: DataFrame, outcome: DataFrame) -> DataFrame:
+    """``batches`` (BATCH_KEYS, n_events) with ``delivered``, from what a sink says of them.
+
+    ``outcome`` has a row per batch with ``delivered``, or a row per try with ``try_no`` and ``outcome``;
+    a batch that it leaves out failed. After a batch with ``fatal`` the streams behind it in the same
+    attempt, a batch number of a group, were not tried. Batches without events are fine in any case, and
+    what follows an undelivered batch in its stream counts as undelivered.
+    """
+    keys = list(BATCH_KEYS)
+    fatal = outcome.groupBy(*keys).agg(F.max("fatal").alias("fatal")) if "fatal" in outcome.columns else None
+    if "try_no" in outcome.columns:
+        outcome = retry_outcome(outcome)
+    found = batches.join(outcome.select(*keys, "delivered"), keys, "left")
+    if fatal is not None:
+        found = found.join(fatal, keys, "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("delivered", "fatal")})
+        stopped = partial_failure(found, ["log_group", "batch_no"], ["log_stream"])
+        found = stopped.withColumn("delivered", F.col("status") == "delivered").drop("fatal", "status")
+    return hold_after_failure(empty_batch_ok(found))
+
+
 def rejected_events(rejected: DataFrame) -> DataFrame:
     """Report of events refused inside accepted batches: number and bytes per stream and reason."""
     return rejected.groupBy("log_group", "log_stream", "reason").agg(

@@ -31,7 +31,7 @@ from logferry.operators import packing as P
 from logferry.operators import records as R
 from logferry.operators import retention as RT
 from logferry.settings import Settings
-from logferry.sources.logfiles import inspect_files, list_files, read_blocks
+from logferry.sources.logfiles import inspect_files, list_directories, read_blocks
 
 SCHEMAS = {
     "checkpoint": "component string, fingerprint string, path string, position bigint, chunk_no int, mtime timestamp, "
@@ -39,13 +39,19 @@ SCHEMAS = {
     "watermark": "component string, last_mtime timestamp",
     "ledger": "component string, fingerprint string, log_stream string, start_off bigint, chunk_no int",
     "sequence": "log_group string, log_stream string, batch_no bigint, seq bigint",
+    "catalog": "log_group string, log_stream string",
 }
 PLANNED, DELIVERED = "planned", "delivered"
 
 # What reading and parsing need of a component's rule.
 RULE_COLUMNS = ["component_type", "start_regex", "min_level"]
 
-Sink = Callable[[DataFrame, int], DataFrame]
+# Gets the events of all batches and the epoch. It returns a row per batch (log_group, log_stream, batch_no,
+# delivered) or a row per try (try_no and outcome, see the operators of delivery), perhaps with ``fatal``; or a
+# pair of that and the events that were refused inside accepted batches (with cost and reason).
+Sink = Callable[[DataFrame, int], DataFrame | tuple[DataFrame, DataFrame]]
+# Gets the groups and streams that have to be made before the sink is called (kind, log_group, log_stream).
+Targets = Callable[[DataFrame, int], None]
 
 
 class Store:
@@ -97,12 +103,9 @@ def table_sink(events: DataFrame, epoch: int) -> DataFrame:
     return events.select(*D.BATCH_KEYS).distinct().withColumn("delivered", F.lit(True))
 
 
-def find_files(spark: SparkSession, rules: DataFrame) -> DataFrame:
+def find_files(listing: DataFrame, rules: DataFrame) -> DataFrame:
     """Files selected by the rules, with fingerprint, one owner each, and ``is_active``."""
-    # The rules are configuration; their directories are what Spark needs to know to list them.
-    directories = sorted(r.dir for r in rules.select("dir").distinct().toLocalIterator())
-    listed = list_files(spark, directories)
-    selected = FL.match_rules(listed, rules)
+    selected = FL.match_rules(listing.where("path is not null"), rules)
     seen = inspect_files(selected).withColumn("fingerprint", FL.fingerprint(F.col("head"))).drop("head")
     return FL.active_file(FL.dedupe_fingerprint(FL.eligible_files(seen)).drop("n_copies"))
 
@@ -197,9 +200,24 @@ def plan_batches(
     store.write(batched, "batches", epoch)
 
 
+def deliver(batched: DataFrame, store: Store, epoch: int, last: int, sink: Sink, targets: Targets | None) -> None:
+    """Hand the batches to the sink, and write what became of them: ``delivery``, ``rejected``, ``catalog``."""
+    catalog = store.read("catalog", last)
+    missing = store.write(D.missing_targets(batched, catalog), "targets", epoch)
+    if targets is not None:
+        targets(missing, epoch)
+    result = sink(E.drop_blank_events(batched), epoch)
+    outcome, rejected = result if isinstance(result, tuple) else (result, None)
+    store.write(D.judged(P.batch_summary(batched), outcome), "delivery", epoch)
+    if rejected is not None:
+        store.write(D.rejected_events(rejected), "rejected", epoch)
+    made = missing.where("kind = 'stream'").select("log_group", "log_stream")
+    store.write(catalog.unionByName(made).distinct(), "catalog", epoch)
+
+
 def run_cycle(
     spark: SparkSession, rules: DataFrame, settings: Settings, store: Store, epoch: int | None = None,
-    sink: Sink = table_sink, delete: bool = False,
+    sink: Sink = table_sink, delete: bool = False, targets: Targets | None = None,
 ) -> int:
     """Run one cycle and return its epoch. A cycle that is committed already is not run again; one that
     was broken off goes on from what it had settled."""
@@ -216,7 +234,9 @@ def run_cycle(
 
     # 1. Files as they are now, or as they were when the batches were settled.
     if PLANNED not in phases:
-        store.write(find_files(spark, rules), "files", epoch)
+        listing = store.write(list_directories(rules), "listing", epoch)
+        store.write(FL.rule_diagnostics(rules, listing.where("path is not null"), listing), "diagnostics", epoch)
+        store.write(find_files(listing, rules), "files", epoch)
     files = store.read("files", epoch)
     resumed = FL.resume_positions(FL.unprocessed_files(files, watermark), checkpoint)
     if PLANNED not in phases:
@@ -226,10 +246,7 @@ def run_cycle(
 
     # 4. Delivery. A stream goes on only behind what has arrived.
     if DELIVERED not in phases:
-        counts = P.batch_summary(batched)
-        outcome = sink(E.drop_blank_events(batched), epoch)
-        delivery = D.empty_batch_ok(counts.join(outcome, list(D.BATCH_KEYS), "left"))
-        store.write(D.hold_after_failure(delivery), "delivery", epoch)
+        deliver(batched, store, epoch, last, sink, targets)
         store.settled(epoch, DELIVERED, settings.as_of_ms)
     delivery = store.read("delivery", epoch)
     ok = delivery.where("delivered")

@@ -95,15 +95,22 @@ class Files:
             self._file, self._path = system.open_input_file(name), path
         return self._file
 
-    def beside(self, path: str) -> Iterator[str]:
-        """The other files in the directory of ``path``, under the same kind of path."""
+    def inside(self, folder: str) -> Iterator[tuple]:
+        """(path, name, mtime, length) of the regular files directly in a directory, under the same kind of path."""
         from pyarrow import fs
 
-        system, name = self.locate(path)
-        folder = name.rpartition("/")[0]
-        for info in system.get_file_info(fs.FileSelector(folder or "/", allow_not_found=True)):
-            if info.type == fs.FileType.File and info.path != name:
-                yield path[: len(path) - len(name)] + info.path if path.endswith(name) else info.path
+        system, name = self.locate(folder.rstrip("/") or "/")
+        prefix = folder.rstrip("/").removesuffix(name)
+        for info in system.get_file_info(fs.FileSelector(name)):
+            if info.type == fs.FileType.File:
+                yield prefix + info.path, info.base_name, info.mtime, info.size
+
+    def beside(self, path: str) -> Iterator[str]:
+        """The other files in the directory of ``path``."""
+        try:
+            yield from (other for other, *_ in self.inside(path.rpartition("/")[0] or "/") if other != path)
+        except OSError:
+            return
 
     def is_known(self, f, fingerprint: str | None, least: int) -> bool:
         """Is the open file the one that was listed: its beginning is the same, and it isn't shorter."""

@@ -16,38 +16,48 @@ from logferry import settings as S
 from logferry.sources.byteranges import Files, complete_end, line_start
 
 _FLUSH_BYTES = 16 << 20
+_LISTED_AT_ONCE = 10_000
 
 
-def existing_directories(spark: SparkSession, directories: Sequence[str]) -> dict[str, str]:
-    """Those of the directories that exist, with the URI Spark lists them under."""
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    found = {}
-    for d in directories:
-        path = jvm.org.apache.hadoop.fs.Path(d)
-        system = path.getFileSystem(conf)
-        if system.exists(path) and system.getFileStatus(path).isDirectory():
-            found[d] = system.makeQualified(path).toString()
-    return found
+LISTING = "dir string, path string, name string, mtime timestamp, length bigint"
 
 
-def list_files(spark: SparkSession, directories: Sequence[str]) -> DataFrame:
-    """Files directly in those of the directories that exist: path, name, dir, mtime, length.
+def list_directories(directories: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The regular files directly in ``directories`` (dir): dir, path, name, mtime, length.
 
-    Only metadata is read. All directories are listed by one scan, which Spark spreads over the
-    cluster if there are many; one with ``=`` in its path would be taken for a partition and is
-    listed by itself.
+    Each directory is listed by a task, so no file system is touched on the driver, and names are taken as
+    they are: hidden ones, blanks and ``=`` have no meaning. A directory without files gives one row without
+    path. One that doesn't exist, or can't be listed, gives none; the others are not affected.
     """
-    found = existing_directories(spark, directories)
-    names = spark.createDataFrame([(d, uri) for d, uri in found.items()], "dir string, _uri string")
-    groups = [[d for d in found if "=" not in d], *[[d] for d in found if "=" in d]]
-    listed = spark.createDataFrame([], "path string, mtime timestamp, length bigint")
-    for group in filter(None, groups):
-        scan = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(group)
-        listed = listed.unionByName(scan.select("path", F.col("modificationTime").alias("mtime"), "length"))
-    listed = listed.withColumn("_uri", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
-    return listed.join(names, "_uri").select(
-        "path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "dir", "mtime", "length"
-    )
+    tasks = tasks or int(directories.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = Files()
+        schema = pa.schema([
+            ("dir", pa.string()), ("path", pa.string()), ("name", pa.string()), ("mtime", pa.timestamp("us", tz="UTC")), ("length", pa.int64()),
+        ])
+        for batch in batches:
+            rows = []
+            for folder in batch.column(0).to_pylist():
+                try:
+                    found = [(folder, *f) for f in files.inside(folder)]
+                except OSError:
+                    continue
+                rows += found or [(folder, None, None, None, None)]
+                while len(rows) >= _LISTED_AT_ONCE:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[:_LISTED_AT_ONCE]), schema)], schema=schema)
+                    rows = rows[_LISTED_AT_ONCE:]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    wanted = directories.select("dir").where("dir is not null").distinct()
+    return wanted.repartition(tasks, "dir").mapInArrow(listed, LISTING)
+
+
+def list_files(spark: SparkSession, directories: Sequence[str]) -> DataFrame:
+    """The files of :func:`list_directories` for directories named here."""
+    named = spark.createDataFrame([(d,) for d in directories], "dir string")
+    return list_directories(named).where("path is not null")
 
 
 def inspect_files(files: DataFrame, tasks: int | None = None) -> DataFrame:

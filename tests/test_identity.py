@@ -181,3 +181,35 @@ def test_a_broken_cycle_goes_on_with_the_same_batches(spark, tmp_path, monkeypat
     assert sorted(os.listdir(tmp_path / "logs")) == ["app.log", "app_2.log"]
     C.run_cycle(spark, rules, later, store, sink=sink)
     assert sent(store, "app") == all_lines(lines(0, 50))
+
+
+def test_tries_targets_and_refused_events(spark, tmp_path):
+    """A sink that answers with a row per try: outcomes are judged, targets made once, refusals reported."""
+    for n in ("a", "b", "c"):
+        put(tmp_path / n / "app.log", "".join(line(i, day=1 + i % 2) for i in range(8)))
+    rules = spark.createDataFrame([rule(n, tmp_path / n) for n in ("a", "b", "c")] + [rule("none", tmp_path / "nowhere")], RULE_SCHEMA)
+    store = C.Store(spark, str(tmp_path / "store"))
+    settings = Settings(as_of=dt.datetime(2024, 5, 2, 12))
+    made, keys = [], ["log_group", "log_stream", "batch_no"]
+
+    def targets(missing, epoch):
+        made.append(sorted(r.kind for r in missing.collect()))
+
+    def sink(events, epoch):
+        batches = events.select(*keys).distinct()
+        outcomes = F.when(F.col("log_group").endswith("a"), F.expr("array('bad_token', 'missing_target', 'ok')")).when(
+            F.col("log_group").endswith("b"), F.expr("array('bad_token', 'bad_token', 'bad_token', 'ok')")
+        ).otherwise(F.expr("array('ok')"))
+        tries = batches.select(*keys, F.posexplode(outcomes).alias("try_no", "outcome")).withColumn("try_no", F.col("try_no") + 1)
+        fatal = F.col("log_group").endswith("c") & F.col("log_stream").contains("/05/01/") & F.lit(epoch == 0)
+        refused = events.where("message like '%seq: 3)%'").withColumn("reason", F.lit("odd"))
+        return tries.withColumn("fatal", fatal), refused
+
+    C.run_cycle(spark, rules, settings, store, sink=sink, targets=targets)
+    assert made == [["group"] * 3 + ["stream"] * 6]
+    ok = {(r.log_group[-1], r.log_stream[6:11]) for r in store.read("delivery", 0).where("delivered").collect()}
+    assert ok == {("a", "05/01"), ("a", "05/02")}  # b's third try was its last; behind c's fatal error nothing was tried
+    assert store.read("rejected", 0).agg(F.sum("n_events")).first()[0] == 3
+    assert {r.component: r.status for r in store.read("diagnostics", 0).collect()} == {"a": "ok", "b": "ok", "c": "ok", "none": "missing_dir"}
+    C.run_cycle(spark, rules, settings, store, sink=sink, targets=targets)
+    assert made[1] == [] and sent(store, "c") == sorted(line(i, day=1 + i % 2) for i in range(8))

@@ -11,7 +11,7 @@ from logferry.operators import files as FL
 from logferry.operators import records as R
 from logferry.plans.cycle import Store, table_sink
 from logferry.settings import Settings
-from logferry.sources.logfiles import existing_directories, inspect_files, list_files, read_blocks
+from logferry.sources.logfiles import inspect_files, list_directories, list_files, read_blocks
 from logferry.streaming.collect import CycleListener, block_events, day_counts, run_periodically, tail_blocks, with_listeners
 from logferry.streaming.state import track_offsets
 from tests_support import RULE_SCHEMA, line, rule
@@ -45,13 +45,40 @@ def test_listing_and_inspection(spark, tmp_path):
     (tmp_path / "sub" / "x.log").write_text("no")
     (tmp_path / "a.log").write_text("one\ntwo\nthr")
     (tmp_path / "b.txt").write_text("one\n")
-    dirs = existing_directories(spark, [str(tmp_path), str(tmp_path / "nowhere")])
-    assert list(dirs) == [str(tmp_path)]
     found = FL.discover_files(list_files(spark, [str(tmp_path), str(tmp_path / "nowhere")]), F.lit(str(tmp_path)), F.lit("log$"))
     rows = inspect_files(found).collect()
     assert [(r.name, r.length, bytes(r.head), r.complete_end) for r in rows] == [("a.log", 11, b"one\ntwo\nthr", 8)]
 
 
+def test_thousand_directories_and_any_name(spark, tmp_path, monkeypatch):
+    names = ["_hidden.log", ".dot.log", "a b.log", "k=v.log", "ä+%20.log", "plain.log"]
+    folders = [tmp_path / f"{'x=1' if i % 3 else '_d'} {i}" for i in range(1000)]
+    for i, d in enumerate(folders):
+        d.mkdir()
+        (d / names[i % 6]).write_text("x" * i)
+    (folders[0] / "sub").mkdir()
+    (folders[0] / "sub" / "inner.log").write_text("not listed")
+    (tmp_path / "empty").mkdir()
+    wanted = [*map(str, folders), str(tmp_path / "empty"), str(tmp_path / "missing"), "file:" + str(folders[1])]
+    dirs = spark.createDataFrame([(d,) for d in [*wanted, None]], "dir string")
+
+    def refuse(*_):
+        raise AssertionError("the driver has listed a directory")
+
+    for name in ("listdir", "scandir"):
+        monkeypatch.setattr(os, name, refuse)
+    rows = list_directories(dirs).collect()
+    monkeypatch.undo()
+    by_dir = {r.dir: r for r in rows}
+    assert len(rows) == len(by_dir) == 1002 and str(tmp_path / "missing") not in by_dir
+    assert by_dir[str(tmp_path / "empty")].path is None
+    for i, d in enumerate(folders):
+        r = by_dir[str(d)]
+        assert (r.path, r.name, r.length) == (f"{d}/{names[i % 6]}", names[i % 6], i)
+        assert abs(r.mtime.replace(tzinfo=dt.timezone.utc).timestamp() - os.stat(r.path).st_mtime) < 1e-3
+    assert by_dir["file:" + str(folders[1])].path == f"file:{folders[1]}/{names[1]}"
+
+
 def test_metadata_scan_reads_no_content(spark, tmp_path):
     (tmp_path / "a.log").write_text("x")
     plan = list_files(spark, [str(tmp_path)])._jdf.queryExecution().executedPlan().toString()
