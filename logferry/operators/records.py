@@ -136,25 +136,56 @@ def reassemble_records(
     )
 
 
-def stitch_records(records: DataFrame, keys: Sequence[str] = ("component", "path"), joiner: str = "") -> DataFrame:
-    """Join the pieces of records that cross block borders.
+def border_places(records: DataFrame, keys: Sequence[str] = ("component", "path"), joiner: str = "") -> DataFrame:
+    """Where the pieces at block borders belong; narrow rows, one per piece.
 
-    Each block reports one narrow row: where its last record starts. A piece without a start goes to
-    the last start in the blocks before it. Only the first and last record of a block can be such
-    pieces, so all other records pass through untouched.
+    Each block reports where its last record starts. A piece without a start goes to the last start in
+    the blocks before it, ``owner``. ``begins`` is the place of the piece in the bytes of its record, a
+    running total over the sizes of its pieces, and ``record_bytes`` the size of that record.
     """
     keys = list(keys)
-    per_block = records.groupBy(*keys, "block_no").agg(
+    narrow = records.select(*keys, "block_no", "start_off", "is_head", "is_tail", F.octet_length("message").cast("bigint").alias("n"))
+    per_block = narrow.groupBy(*keys, "block_no").agg(
         F.max(F.when(~F.col("is_head"), F.col("start_off"))).alias("_last_start")
     )
     earlier = Window.partitionBy(*keys).orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
     open_at = per_block.select(*keys, "block_no", F.last("_last_start", ignorenulls=True).over(earlier).alias("_open_at"))
+    edges = narrow.where(F.col("is_head") | F.col("is_tail")).join(open_at, [*keys, "block_no"])
+    edges = edges.withColumn("owner", F.when(F.col("is_head"), F.col("_open_at")).otherwise(F.col("start_off")))
+    joined = F.when(F.col("is_head"), F.lit(len(joiner.encode()))).otherwise(0)
+    edges = edges.withColumn("piece_bytes", F.col("n") + joined)
+    record = Window.partitionBy(*keys, "owner")
+    before = record.orderBy("start_off").rowsBetween(Window.unboundedPreceding, -1)
+    return edges.select(
+        *keys, "block_no", "start_off", "owner", "piece_bytes", F.coalesce(F.sum("piece_bytes").over(before), F.lit(0)).alias("begins"),
+        F.sum("piece_bytes").over(record).alias("record_bytes"),
+    )
+
+
+def _placed(records: DataFrame, places: DataFrame, keys: list[str]) -> DataFrame:
+    return records.where(F.col("is_head") | F.col("is_tail")).join(places, [*keys, "block_no", "start_off"])
+
+
+_OF_PIECE = ("block_no", "start_off", "end_off", "n_lines", "message", "is_head", "is_tail")
+
 
+def stitch_records(
+    records: DataFrame, keys: Sequence[str] = ("component", "path"), joiner: str = "", places: DataFrame | None = None,
+    whole_bytes: int | None = None,
+) -> DataFrame:
+    """Join the pieces of records that cross block borders.
+
+    Only the first and last record of a block can be such pieces (:func:`border_places`), so all other
+    records pass through untouched. Records of more than ``whole_bytes`` that cross borders are left to
+    :func:`long_records` and :func:`record_chunks`: those don't need a row that holds one.
+    """
+    keys = list(keys)
+    places = border_places(records, keys, joiner) if places is None else places
     whole = records.where(~F.col("is_head") & ~F.col("is_tail"))
-    edges = records.where(F.col("is_head") | F.col("is_tail")).join(open_at, [*keys, "block_no"])
-    edges = edges.withColumn("_owner", F.when(F.col("is_head"), F.col("_open_at")).otherwise(F.col("start_off")))
-    rest = [c for c in records.columns if c not in (*keys, "block_no", "start_off", "end_off", "n_lines", "message", "is_head", "is_tail")]
-    merged = edges.groupBy(*keys, "_owner").agg(
+    edges = _placed(records, places, keys)
+    edges = edges if whole_bytes is None else edges.where(F.col("record_bytes") <= whole_bytes)
+    rest = [c for c in records.columns if c not in (*keys, *_OF_PIECE)]
+    merged = edges.groupBy(*keys, "owner").agg(
         F.min("block_no").alias("block_no"),
         F.max("end_off").alias("end_off"),
         F.sum("n_lines").alias("n_lines"),
@@ -162,6 +193,54 @@ def stitch_records(records: DataFrame, keys: Sequence[str] = ("component", "path
             F.transform(F.sort_array(F.collect_list(F.struct("start_off", "message"))), lambda x: x["message"]), joiner
         ).alias("message"),
         *[F.first(c).alias(c) for c in rest],
-    ).withColumnRenamed("_owner", "start_off")
+    ).withColumnRenamed("owner", "start_off")
     out = [*keys, *rest, "block_no", "start_off", "end_off", "n_lines", "message"]
     return whole.select(*out).unionByName(merged.select(*out))
+
+
+def _bytes_of(joiner: str) -> Column:
+    """The bytes a piece adds to its record."""
+    return F.when(F.col("is_head"), F.concat(F.lit(joiner), "message")).otherwise(F.col("message")).cast("binary")
+
+
+def _joined(parts: Column) -> Column:
+    """Bytes of (start_off, part) structs one after another."""
+    return F.aggregate(F.sort_array(parts), F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["part"]))
+
+
+def long_records(
+    records: DataFrame, places: DataFrame, whole_bytes: int, head_bytes: int, keys: Sequence[str] = ("component", "path"), joiner: str = ""
+) -> DataFrame:
+    """Records of more than ``whole_bytes`` that cross block borders, with ``record_bytes``; the message is
+    just its first ``head_bytes``."""
+    keys = list(keys)
+    edges = _placed(records, places.where(F.col("record_bytes") > whole_bytes), keys)
+    part = F.substring(_bytes_of(joiner), F.lit(1), (F.lit(head_bytes) - F.col("begins")).cast("int"))
+    rest = [c for c in records.columns if c not in (*keys, *_OF_PIECE)]
+    return edges.groupBy(*keys, F.col("owner").alias("_start")).agg(
+        *[F.first(c).alias(c) for c in rest],
+        F.min("block_no").alias("block_no"), F.max("end_off").alias("end_off"), F.sum("n_lines").alias("n_lines"),
+        F.max("record_bytes").alias("record_bytes"),
+        T.decode_utf8(_joined(F.collect_list(F.when(F.col("begins") < head_bytes, F.struct("start_off", part.alias("part")))))).alias("message"),
+    ).withColumnRenamed("_start", "start_off")
+
+
+def record_chunks(
+    records: DataFrame, places: DataFrame, whole_bytes: int, cap: int, keys: Sequence[str] = ("component", "path"), joiner: str = ""
+) -> DataFrame:
+    """The chunks of at most ``cap`` bytes of these records: keys, start_off, chunk_no, message.
+
+    Each piece knows its bytes' place in the record, so it is cut at the borders of chunks, and what
+    belongs to one chunk is joined: no row holds more than a piece or a chunk, however long the record is.
+    """
+    keys = list(keys)
+    edges = _placed(records, places.where((F.col("record_bytes") > whole_bytes) & (F.col("piece_bytes") > 0)), keys)
+    ends = F.col("begins") + F.col("piece_bytes")
+    numbers = F.sequence(F.floor(F.col("begins") / cap), F.floor((ends - 1) / cap))
+    rows = edges.select(*keys, "owner", "start_off", "begins", "piece_bytes", _bytes_of(joiner).alias("_b"), F.explode(numbers).alias("_c"))
+    first = F.greatest(F.col("_c") * cap, F.col("begins"))
+    size = F.least((F.col("_c") + 1) * cap, ends) - first
+    part = F.substring(F.col("_b"), (first - F.col("begins") + 1).cast("int"), size.cast("int"))
+    rows = rows.select(*keys, F.col("owner").alias("_start"), F.col("_c").cast("int").alias("chunk_no"), "start_off", part.alias("part"))
+    joined = T.decode_utf8(_joined(F.collect_list(F.struct("start_off", "part"))))
+    return rows.groupBy(*keys, "_start", "chunk_no").agg(joined.alias("message")).withColumnRenamed("_start", "start_off")

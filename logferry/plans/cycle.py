@@ -128,20 +128,57 @@ def read_pieces(work: DataFrame, rules: DataFrame, settings: Settings) -> DataFr
     )
 
 
-def mark_events(records: DataFrame, settings: Settings) -> DataFrame:
-    """Records as events. Dropped records stay as empty rows with the reason, for their positions."""
+def judged(records: DataFrame, settings: Settings) -> DataFrame:
+    """Parsed, timestamped and routed records, with the reason why one is ``dropped``."""
     moment = F.timestamp_millis(F.lit(settings.as_of_ms))
-    df = E.parse_structured(records)
-    df = E.resolve_event_ts(df, moment)
+    text = F.col("message")
+    head = T.decode_utf8(F.substring(text.cast("binary"), 1, settings.head_bytes))
+    df = records.withColumn("_seen", F.when(F.octet_length(text) <= settings.whole_bytes, text).otherwise(head))
+    df = E.parse_structured(df, "_seen")
+    df = E.resolve_event_ts(df, moment, "_seen").drop("_seen")
     low = F.col("structured") & (T.level_rank(F.col("level")) < T.level_rank(F.col("min_level")))
     old = F.col("ts") < moment - F.lit(settings.max_event_age)
     df = df.withColumn("dropped", F.when(low, "below_level").when(old, "expired"))
-    df = df.withColumn("message", F.when(F.col("dropped").isNull(), F.col("message")).otherwise(F.lit("")))
-    df = E.route(df, settings, F.col("component_type"), F.lit(settings.device))
-    df = E.split_oversize(df, settings.max_event_bytes)
-    # Chunks of a record that was delivered in part by an earlier cycle.
+    return E.route(df, settings, F.col("component_type"), F.lit(settings.device))
+
+
+def _unsent(events: DataFrame) -> DataFrame:
+    """Without the chunks of a record that was delivered in part by an earlier cycle."""
     seen = (F.col("start_off") == F.col("position")) & (F.col("chunk_no") < F.col("resume_chunk"))
-    return df.where(~seen).drop("json_ts_ms", *RULE_COLUMNS)
+    return events.where(~seen).drop("json_ts_ms", *RULE_COLUMNS)
+
+
+def mark_events(records: DataFrame, settings: Settings) -> DataFrame:
+    """Records as events. Dropped records stay as empty rows with the reason, for their positions."""
+    df = judged(records, settings)
+    df = df.withColumn("message", F.when(F.col("dropped").isNull(), F.col("message")).otherwise(F.lit("")))
+    return _unsent(E.split_oversize(df, settings.max_event_bytes))
+
+
+def mark_long_events(headers: DataFrame, chunks: DataFrame, settings: Settings) -> DataFrame:
+    """The same for records of which there is a head and chunks; they meet chunk by chunk."""
+    cap = settings.max_event_bytes
+    df = judged(headers, settings).drop("message")
+    kept = F.col("dropped").isNull()
+    last = F.when(kept, F.ceil(F.col("record_bytes") / cap) - 1).otherwise(0).cast("int")
+    df = df.withColumn("chunk_no", F.explode_outer(F.sequence(F.lit(0), last)))
+    df = df.join(chunks, ["component", "path", "start_off", "chunk_no"], "left")
+    text = F.when(kept, F.col("message")).otherwise(F.lit(""))
+    size = F.when(kept, F.least(F.lit(cap), F.col("record_bytes") - F.col("chunk_no").cast("bigint") * cap)).otherwise(0).cast("bigint")
+    df = df.withColumns({"message": text, "size": size, "cost": T.event_cost(size), "emit": T.is_emitted(text)})
+    return _unsent(df.drop("record_bytes"))
+
+
+def to_events(pieces: DataFrame, settings: Settings, store: Store, epoch: int) -> DataFrame:
+    """Events of the written pieces; records of any size."""
+    keys, limits = ["component", "path"], (settings.whole_bytes, settings.head_bytes)
+    places = store.write(R.border_places(pieces, keys, settings.joiner), "places", epoch)
+    marked = mark_events(R.stitch_records(pieces, keys, settings.joiner, places, settings.whole_bytes), settings)
+    if places.where(F.col("record_bytes") > settings.whole_bytes).isEmpty():
+        return marked
+    headers = R.long_records(pieces, places, *limits, keys, settings.joiner)
+    chunks = R.record_chunks(pieces, places, settings.whole_bytes, settings.max_event_bytes, keys, settings.joiner)
+    return marked.unionByName(mark_long_events(headers, chunks, settings))
 
 
 def open_ends(marked: DataFrame, reads: DataFrame, hold_last_record: bool) -> DataFrame:
@@ -168,8 +205,7 @@ def plan_batches(
     reads = FL.skip_consumed(resumed).withColumn("read_end", F.greatest(read_end, F.col("position")))
     pieces = store.write(read_pieces(reads, rules, settings).withColumnRenamed("chunk_no", "resume_chunk"), "pieces", epoch)
     reads = C.read_so_far(reads, pieces.select(*C.ENTRY, "block_no", "read_to"), settings.range_bytes)
-    records = R.stitch_records(pieces.where("start_off is not null").drop("read_to"), ["component", "path"], settings.joiner)
-    marked = store.write(mark_events(records, settings), "events", epoch)
+    marked = store.write(to_events(pieces.where("start_off is not null").drop("read_to"), settings, store, epoch), "events", epoch)
     # Written, so that the planner knows how small it is, and text need not be dealt out for it.
     cuts = store.write(open_ends(marked, reads, settings.hold_last_record), "cuts", epoch)
     if not cuts.isEmpty():

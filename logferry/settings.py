@@ -61,6 +61,9 @@ class Settings:
     range_bytes: int = 8 * 1024 * 1024
     # Bytes of log text one reading task goes through, range after range.
     task_bytes: int = 256 * 1024 * 1024
+    # Longer records aren't parsed as JSON, and their time is looked for in their first bytes only.
+    whole_bytes: int = 64 * 1024 * 1024
+    head_bytes: int = 64 * 1024
     # Events one packing task handles as a unit.
     pack_block: int = 1 << 19
     hold_last_line: bool = True

@@ -213,3 +213,30 @@ def test_tries_targets_and_refused_events(spark, tmp_path):
     assert {r.component: r.status for r in store.read("diagnostics", 0).collect()} == {"a": "ok", "b": "ok", "c": "ok", "none": "missing_dir"}
     C.run_cycle(spark, rules, settings, store, sink=sink, targets=targets)
     assert made[1] == [] and sent(store, "c") == sorted(line(i, day=1 + i % 2) for i in range(8))
+
+
+def test_records_of_any_size(spark, tmp_path):
+    """Records far longer than a range, and than what is handled as a whole, give the same events for any range size."""
+    body = "".join(f"  at frame é {i} 中\n" for i in range(120))
+    text = line(1) + "2024-05-02T03:00:00Z long " + body + line(2) + '{"level":"DEBUG","x":"' + "y" * 700 + '"}\n' + body
+    text += "2020-01-01T00:00:00Z too old " + body + line(3) + " " * 900 + "\n" + line(4) + "no time\n"
+    put(tmp_path / "app" / "app_1.log", text)
+    put(tmp_path / "app" / "app.log", line(5), 5)
+    rules = spark.createDataFrame([rule("app", tmp_path / "app")], RULE_SCHEMA)
+    found = {}
+    for size, whole, joiner in ((60, 500, "|"), (333, 500, "|"), (1 << 20, 500, "|"), (333, 1 << 20, "|"), (60, 500, ""), (1 << 20, 500, "")):
+        store = C.Store(spark, str(tmp_path / f"store-{size}-{whole}-{len(joiner)}"))
+        settings = Settings(as_of=dt.datetime(2024, 5, 2, 12), range_bytes=size, whole_bytes=whole, head_bytes=100, max_event_bytes=150, joiner=joiner)
+        C.run_cycle(spark, rules, settings, store)
+        rows = store.read("events", 0).where("path like '%app_1.log'").select("start_off", "end_off", "n_lines", "chunk_no", "message", "size", "emit", "dropped", "ts", "level")
+        found[size, whole, joiner] = sorted(map(str, rows.collect()))
+        if size == 60:
+            whole_text = store.read("events", 0).where("dropped is null and path like '%app_1.log'")
+            by_record = {}
+            for r in whole_text.orderBy("start_off", "chunk_no").collect():
+                by_record[r.start_off] = by_record.get(r.start_off, 0) + r.size
+            starts = [0, *[i + 1 for i, c in enumerate(text.encode()) if c == 10 and text.encode()[i + 1 : i + 2] in (b"2", b"{")], len(text.encode())]
+            parts = [text.encode()[a:b].decode().split("\n")[:-1] for a, b in zip(starts, starts[1:])]
+            assert by_record == {a: len(joiner.join(p).encode()) for a, p in zip(starts, parts) if not p[0].startswith("2020")}
+    assert found[60, 500, "|"] == found[333, 500, "|"] == found[1 << 20, 500, "|"]
+    assert found[60, 500, ""] == found[1 << 20, 500, ""]
