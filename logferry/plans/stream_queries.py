@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from logferry.plans import views as V
 from logferry.plans.registry import query
 from logferry.plans.views import millis, with_sql
 from logferry.sources.scratch import scratch
-from logferry.streaming.collect import day_counts
+from logferry.streaming.collect import day_counts, upsert_days
 
 _EVENTS = (V.RAW_EVENTS, V.PARSED, V.ROUTED)
 
@@ -23,27 +26,21 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.raw_lines(rows).drop("ts").withColumnRenamed("raw", "message")
 
 
-def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream until its input is used up and read back what it wrote.
-
-    Every micro-batch writes its own folder and would write it again if it were repeated. In complete
-    mode the last one holds the whole result.
-    """
+def drain(stream: DataFrame, mode: str, write: Callable[[DataFrame, int, str], None]) -> DataFrame:
+    """Run a stream until its input is used up and read back the table that ``write`` has made of its batches."""
     spark = stream.sparkSession
     root = scratch(spark)
-
-    def write(df: DataFrame, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{root}/out/epoch={epoch}")
-
     q = (
-        stream.writeStream.outputMode(mode).foreachBatch(write)
+        stream.writeStream.outputMode(mode).foreachBatch(lambda df, epoch: write(df, epoch, f"{root}/out"))
         .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    out = spark.read.parquet(f"{root}/out")
-    if mode == "complete":
-        out = out.where(F.col("epoch") == out.agg(F.max("epoch")).first()[0])
-    return out.drop("epoch")
+    return spark.read.parquet(f"{root}/out")
+
+
+def by_epoch(df: DataFrame, epoch: int, table: str) -> None:
+    """Every micro-batch writes its own folder and would write it again if it were repeated."""
+    df.write.mode("overwrite").parquet(f"{table}/epoch={epoch}")
 
 
 @query("stream_events", with_sql(*_EVENTS, final="""
@@ -51,13 +48,15 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
 def stream_events(spark, sf_dir):
     """Parsing, filtering, routing and cutting without state."""
     events = E.to_events(event_stream(spark, sf_dir), V.SETTINGS, F.lit("user"), F.col("device"), F.lit("INFO"))
-    return drain(events, "append").select("event_id", "log_group", "log_stream", "cost", millis("ts"))
+    return drain(events, "append", by_epoch).select("event_id", "log_group", "log_stream", "cost", millis("ts"))
 
 
 @query("stream_day_windows", with_sql(*_EVENTS, final="""
   select ts_ms // 86400000 * 86400000 as day_ms, log_group, log_stream, count(*) as n_events, cast(sum(cost) as bigint) as n_bytes
   from routed group by 1, 2, 3"""))
 def stream_day_windows(spark, sf_dir):
-    """Tumbling UTC days over the time of the event itself; late events go to their old day."""
+    """Tumbling UTC days over the time of the event itself; late events go to their old day, whose state ends
+    a day after the age limit."""
     events = E.to_events(event_stream(spark, sf_dir), V.SETTINGS, F.lit("user"), F.col("device"), F.lit("INFO"))
-    return drain(day_counts(events), "complete").select(millis("day"), "log_group", "log_stream", "n_events", "n_bytes")
+    days = day_counts(events, V.SETTINGS.max_event_age + dt.timedelta(days=1))
+    return drain(days, "update", upsert_days).select(millis("day"), "log_group", "log_stream", "n_events", "n_bytes")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -63,13 +65,44 @@ def block_events(
     )
 
 
-def day_counts(events: DataFrame) -> DataFrame:
-    """Events and bytes per tumbling UTC day and stream, as a streaming aggregation."""
+def day_counts(events: DataFrame, lateness: dt.timedelta | None = None) -> DataFrame:
+    """Events and bytes per tumbling UTC day and stream, as a streaming aggregation.
+
+    With ``lateness`` the state of a day is given up once events are newer than its end by that much, so it
+    doesn't grow for ever; later events of the day would be left out. Events beyond the age limit are dropped
+    before, so that limit and some room for clocks that are ahead leave out nothing.
+    """
+    if lateness is not None:
+        events = events.withWatermark("ts", f"{lateness // dt.timedelta(milliseconds=1)} milliseconds")
     return events.groupBy(F.window("ts", "1 day").alias("day"), "log_group", "log_stream").agg(
         F.count(F.lit(1)).alias("n_events"), F.sum("cost").alias("n_bytes")
     ).select(F.col("day.start").alias("day"), "log_group", "log_stream", "n_events", "n_bytes")
 
 
+def upsert_days(batch: DataFrame, epoch: int, table: str) -> None:
+    """Put changed counts of :func:`day_counts` in update mode into ``table``, which is partitioned by day.
+
+    Only the days that changed are written anew. The counts are totals, so a repeated batch changes nothing.
+    """
+    spark, keys = batch.sparkSession, ["day", "log_group", "log_stream"]
+    staged = f"{table}/_staged/epoch={epoch}"
+    # Written before anything else: each use of the batch would run the streaming query's plan again.
+    batch.withColumn("date", F.to_date("day")).write.mode("overwrite").parquet(f"{staged}/changed")
+    changed = spark.read.parquet(f"{staged}/changed")
+    try:
+        current = spark.read.schema(changed.schema).parquet(table)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        current = changed.limit(0)
+    same_days = current.join(changed.select("date").distinct(), "date", "left_semi")
+    kept = same_days.join(changed.select(*keys), keys, "left_anti")
+    changed.unionByName(kept).write.mode("overwrite").parquet(f"{staged}/days")
+    spark.read.parquet(f"{staged}/days").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "date"
+    ).parquet(table)
+
+
 class CycleListener(StreamingQueryListener):
     """Tells registered callbacks when a micro-batch has ended."""
 

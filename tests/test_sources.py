@@ -121,6 +121,65 @@ def test_stream_to_day_windows(spark, tmp_path):
     assert sorted(r.n_events for r in spark.table("days").collect()) == [10, 10]
 
 
+def test_days_end_and_their_counts_stay(spark, tmp_path):
+    """State is given up day by day, batches may be repeated, and the table holds all days."""
+    from logferry.streaming.collect import upsert_days
+
+    src, table, states = tmp_path / "in", str(tmp_path / "days"), []
+    schema = "ts timestamp, log_group string, log_stream string, cost bigint"
+    days = [(0, 1, 2), (2, 3, 4, 1), (20, 21), (21, 22, 8), (40,)]  # the 8th is still within 15 days of the 22nd
+    for n, own in enumerate(days):
+        rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(days=d, hours=h), "g", f"s{d}", 10) for d in own for h in (1, 5)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(src / f"n={n}"))
+        events = spark.readStream.schema(schema).parquet(str(src / "n=*"))
+
+        def write(df, epoch):
+            upsert_days(df, epoch, table)
+            upsert_days(df, epoch, table)
+
+        q = (
+            day_counts(events, dt.timedelta(days=15)).writeStream.outputMode("update").foreachBatch(write)
+            .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        )
+        q.awaitTermination(120)
+        states.append(q.recentProgress[-1].stateOperators[0].numRowsTotal)
+    got = {r.log_stream: (r.n_events, r.n_bytes) for r in spark.read.parquet(table).collect()}
+    want = {}
+    for own in days:
+        for d in own:
+            want[f"s{d}"] = (want.get(f"s{d}", (0, 0))[0] + 2, want.get(f"s{d}", (0, 0))[1] + 20)
+    assert got == want and spark.read.parquet(table).count() == len(want)
+    assert states[-1] <= 2 < states[2] < states[1]  # each counted twice, as each batch runs twice here
+
+
+def test_idle_offsets_expire(spark, tmp_path):
+    """A file that wasn't seen for longer than the limit is read from its start again; one that was isn't."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    out = []
+    schema = "component string, fingerprint string, path string, length bigint"
+    (tmp_path / "in").mkdir()
+    for n, wait in enumerate((0, 12)):
+        time.sleep(wait)
+        spark.createDataFrame([("c", "f", "a.log", 100 + n)], schema).coalesce(1).write.parquet(str(tmp_path / f"in/n={n}"))
+        for idle in (dt.timedelta(seconds=10), dt.timedelta(hours=1)):
+            seen = spark.readStream.schema(schema).parquet(str(tmp_path / "in/n=*"))
+            done = []
+            q = (
+                track_offsets(seen, idle).writeStream.outputMode("append")
+                .foreachBatch(lambda df, _: done.extend((r.from_off, r.to_off) for r in df.collect()))
+                .option("checkpointLocation", str(tmp_path / f"ck-{idle.seconds}")).trigger(processingTime="1 second").start()
+            )
+            deadline = time.time() + 240
+            while time.time() < deadline and not done:
+                time.sleep(0.3)
+            q.stop()
+            out.append(done)
+    assert out == [[(0, 100)], [(0, 100)], [(0, 101)], [(100, 101)]]
+
+
 def test_offsets_are_kept_per_file(spark, tmp_path):
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
