@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,8 +70,8 @@ def links(rows: DataFrame) -> DataFrame:
     found = asked.join(said, ["conv_id", "hash"]).where("origin < turn")
     key = ["conv_id", "turn", "copy", "level", "run"]
     votes = found.groupBy(*key, "origin").agg(F.max("is_whole").alias("is_whole"), F.sum(F.when(F.col("is_whole"), 0).otherwise(1)).alias("n"))
-    best = votes.groupBy(*key).agg(F.max(F.struct("is_whole", "n", (-F.col("origin")).alias("minus"))).alias("b"))
-    return quoted.select(*key).join(best.select(*key, (-F.col("b.minus")).alias("origin")), key, "left")
+    best = votes.groupBy(*key).agg(F.max(F.struct("is_whole", "n", F.bitwise_not("origin").alias("minus"))).alias("b"))
+    return quoted.select(*key).join(best.select(*key, F.bitwise_not("b.minus").alias("origin")), key, "left")
 
 
 def reply_paths(parents: DataFrame) -> DataFrame:
@@ -86,6 +88,16 @@ def reply_paths(parents: DataFrame) -> DataFrame:
     return paths.select("conv_id", "turn", "path")
 
 
+def _sortable(turn: Column) -> Column:
+    """Text that sorts like the number, of any size and sign: ten digits, or a mark and nineteen."""
+    raised = (turn.cast("decimal(20,0)") + F.lit(Decimal(1 << 63)).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string")
+    return (
+        F.when(turn < 0, F.concat(F.lit("-"), F.lpad(raised, 19, "0")))
+        .when(turn >= 10**10, F.concat(F.lit("a"), F.lpad(turn.cast("string"), 19, "0")))
+        .otherwise(F.lpad(turn.cast("string"), 10, "0"))
+    )
+
+
 def reply_ordered(turns: DataFrame) -> DataFrame:
     """One row per row of ``turns`` (conv_id, turn, role, text), without quotations and with its place.
 
@@ -115,7 +127,7 @@ def reply_ordered(turns: DataFrame) -> DataFrame:
         "conv_id", "turn", "role", "body",
         F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.col("body"), F.lit("\n")).alias("formatted"),
         "parent_turn", (F.size(path) - 1).cast("bigint").alias("depth"), F.get(path, F.lit(0)).alias("thread_turn"),
-        F.array_join(F.transform(path, lambda x: F.lpad(x.cast("string"), 10, "0")), "/").alias("reply_path"),
+        F.array_join(F.transform(path, _sortable), "/").alias("reply_path"),
         F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
         F.array_max(F.transform("lines", lambda x: x["level"])).cast("bigint").alias("max_level"),
     )
@@ -170,6 +182,7 @@ o as (
   left join counts c on c.conv_id = b.conv_id and c.turn = b.turn)
 select conv_id, turn, role, body, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || body || chr(10) as formatted, parent_turn,
   cast(len(path) - 1 as bigint) as depth, path[1] as thread_turn,
-  coalesce(array_to_string(list_transform(path, lambda x: lpad(cast(x as varchar), 10, '0')), '/'), '') as reply_path,
+  coalesce(array_to_string(list_transform(path, lambda x: case when x < 0 then '-' || lpad(cast(cast(x as hugeint) + 9223372036854775808 as varchar), 19, '0')
+    when x >= 10000000000 then 'a' || lpad(cast(x as varchar), 19, '0') else lpad(cast(x as varchar), 10, '0') end), '/'), '') as reply_path,
   coalesce(n_quotes, 0) as n_quotes, coalesce(n_linked, 0) as n_linked, cast(max_level as bigint) as max_level
 from o"""

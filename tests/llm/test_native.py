@@ -84,7 +84,7 @@ def test_proximity(spark):
 def test_only_close_positions_meet(spark):
     r = random.Random(8)
     places = {t: sorted(r.sample(range(300), 60)) for t in "ab"}
-    index = spark.createDataFrame([(t, 1, p) for t in places for p in places[t]], "term string, doc_id long, pos int")
+    index = spark.createDataFrame([(t, 1, p) for t in places for p in places[t]], "term string, rid long, pos int")
     anchors = spark.createDataFrame([("x", 10, "a", 7, "b", 2)], "phrase string, size int, term1 string, place1 int, term2 string, place2 int")
     found = decontaminate.aligned(index, anchors)
     assert {x.start for x in found.collect()} == {a - 7 for a in places["a"] if any(abs(b - 2 - a + 7) <= 3 for b in places["b"])}
@@ -105,3 +105,14 @@ def test_replies(spark, folder):
 def test_long_threads(spark):
     parents = spark.createDataFrame([(1, i, i - 1) for i in range(1, 40)], "conv_id long, turn long, parent_turn long")
     assert {r.turn: r.path for r in quotes.reply_paths(parents).collect()} == {i: list(range(i + 1)) for i in range(1, 40)}
+
+
+def test_paths_sort_for_turns_of_any_size(spark, tmp_path):
+    turns = [-(2**63), -5, -1, 0, 3, 10**10 - 1, 10**10, 10**11, 10**11 + 5, 2**63 - 1]
+    rows = [(1, t, "user", f"said number {i}") for i, t in enumerate(turns)]
+    rows += [(2, t, "user", f"message {i}" if i == 0 else f"> message {i - 1}\nmessage {i}") for i, t in enumerate(turns)]
+    found = agree(spark, fixtures.write(spark, tmp_path, conversations=rows), "op10_quotes")
+    got = quotes.reply_ordered(table(spark, str(tmp_path), "conversations")).collect()
+    assert len(found) == len(got) == len(rows)
+    for conv in (1, 2):
+        assert [r.turn for r in sorted((r for r in got if r.conv_id == conv), key=lambda r: r.reply_path)] == turns
