@@ -58,18 +58,38 @@ def compact_windows(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, wid
     return np.maximum(left, first[centre]), centre, np.minimum(right, last[centre])
 
 
+def _contexts(tokens: np.ndarray, first: np.ndarray, last: np.ndarray, width: int):
+    """A function that gives a hash of all sequences of ``width`` tokens that hold a position, and of its place in them.
+
+    Hashes are differences of one running sum over powers of an odd number, brought to the same power by its inverse.
+    """
+    base, inverse = _STEP, np.uint64(pow(int(_STEP), -1, 1 << 64))
+    power, back = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(tokens), x)]), dtype=np.uint64) for x in (base, inverse))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(tokens * power[:-1], dtype=np.uint64)])
+
+    def of(at: np.ndarray) -> np.ndarray:
+        low, high = np.maximum(at - width + 1, first[at]), np.minimum(at + width - 1, last[at]) + 1
+        place = mixed((at - low).astype(np.uint64) * np.uint64(2 * width) + (high - at).astype(np.uint64))
+        return mixed((sums[high] - sums[low]) * back[low] ^ place)
+
+    return of
+
+
 def signatures(tokens: np.ndarray, lengths: list[int], width: int, hashes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, text, place) of the sequences of ``width`` tokens, one row for all that share a signature.
 
     Hashes are taken two at a time. The windows of the two are joined where the starts of ``width``
     tokens that they stand for overlap; the key is the pair of tokens with the smallest hashes there, and
-    the place is that of the first of them in its text.
+    the place is that of the first of them in its text. Of the places of a key in a text that all the same tokens
+    surround, as far as sequences of ``width`` that hold them reach, only one is kept: whatever is near one is near
+    all of them. So a stretch that repeats itself has few rows, however long it is.
     """
     lengths = np.asarray(lengths)
     end = np.cumsum(lengths)
     text = np.repeat(np.arange(len(lengths)), lengths)
     first, last = (end - lengths)[text], end[text] - 1
     keys, texts, places = [], [], []
+    context = _contexts(tokens, first, last, width)
     for band in range(hashes // 2):
         sides = []
         for k in (2 * band, 2 * band + 1):
@@ -80,9 +100,15 @@ def signatures(tokens: np.ndarray, lengths: list[int], width: int, hashes: int)
             continue
         starts = np.union1d(sides[0][0], sides[1][0])
         c1, c2 = (c[np.searchsorted(s, starts, "right") - 1] for s, c in sides)
-        keys.append(mixed(mixed(tokens[c1] + np.uint64(band + 1)) ^ tokens[c2]))
-        texts.append(text[starts])
-        places.append(c1 - first[c1])
+        moved = np.ones(len(c1), bool)
+        moved[1:] = (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])
+        c1, c2 = c1[moved], c2[moved]
+        key = mixed(mixed(tokens[c1] + np.uint64(band + 1)) ^ tokens[c2])
+        alike = mixed(key ^ mixed(context(c1) + text[c1].astype(np.uint64) * _STEP))
+        one = np.sort(np.unique(alike, return_index=True)[1])
+        keys.append(key[one])
+        texts.append(text[c1[one]])
+        places.append((c1 - first[c1])[one])
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(keys), np.concatenate(texts), np.concatenate(places)
@@ -439,7 +465,8 @@ def near_duplicate_passages(
     of that text.
 
     NULL, empty and shorter texts have none, nor have rows without doc_id. Repeated rows are copies of
-    themselves and add no rows. Repeats within one document aren't reported. Only doc_id and text are read.
+    themselves and add no rows. Repeats within one document aren't reported, and a passage that lies in another
+    one of the same two documents isn't either, so a text that repeats itself has few rows. Only doc_id and text are read.
     """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\p{IsWhite_Space}\x1C-\x1F]+"))
@@ -458,11 +485,13 @@ def near_duplicate_passages(
     links = checkpointed(missed_links(shared, found, docs, min_words, threshold).distinct())
     unread = links.select("leader", "member").distinct().join(pairs, ["leader", "member"], "left_anti")
     late = checkpointed(compare_texts(checkpointed(unread), docs, judge, _FOUND).distinct())
-    spans = late.groupBy("leader", "member").agg(F.collect_list(F.struct("other_start", "other_end", "start_word", "end_word")).alias("spans"))
+    found = found.unionByName(late)
+    spans = found.join(links.select("leader", "member").distinct(), ["leader", "member"], "left_semi").groupBy("leader", "member")
+    spans = spans.agg(F.collect_list(F.struct("other_start", "other_end", "start_word", "end_word")).alias("spans"))
     covered = F.exists("spans", lambda s: F.col("start_word").between(s.start_word, s.end_word) & F.col("end_word").between(s.start_word, s.end_word)
         & F.col("other_start").between(s.other_start, s.other_end) & F.col("other_end").between(s.other_start, s.other_end))
     links = links.join(spans, ["leader", "member"], "left").where(~F.coalesce(covered, F.lit(False))).drop("spans")
-    found = found.unionByName(late).unionByName(links)
+    found = found.unionByName(links)
     columns = ["doc_id", "start_word", "end_word", "other_doc_id", "other_start", "other_end", "similarity"]
     of_texts = found.withColumnsRenamed({"leader": "other_doc_id", "member": "rep"}).join(ids.select("doc_id", "rep"), "rep")
     zero, whole = F.lit(0).cast("bigint"), F.col("n_words")

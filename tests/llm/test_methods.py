@@ -271,6 +271,24 @@ def test_every_place_of_a_signature_is_searched(spark):
     assert {(x.leader, x.member) for x in found.collect()} == {(0, 1)} and (1, 2) in {(x.leader, x.member) for x in links}
 
 
+def test_places_with_equal_surroundings_are_one():
+    r, width = np.random.default_rng(5), 46
+    tokens = np.concatenate([r.integers(0, 1 << 62, 150), np.tile(r.integers(0, 1 << 62, 7), 900), r.integers(0, 1 << 62, 150)]).astype(np.uint64)
+    of = passages._contexts(tokens, np.zeros(len(tokens), np.int64), np.full(len(tokens), len(tokens) - 1), width)(np.arange(len(tokens)))
+    window = [(min(i, width - 1), tuple(tokens[max(0, i - width + 1) : i + width].tolist())) for i in range(len(tokens))]
+    assert len(set(window)) == len(set(of.tolist())) == len(set(zip(window, of.tolist())))
+    key, _, at = passages.signatures(tokens, [len(tokens)], width, passages.HASHES)
+    assert len(key) < 1500 and not ((at > 300) & (at < 6200)).any()
+
+
+def test_texts_that_repeat_themselves(spark):
+    texts = [f"{fixtures.prose(60, 10 + i)} {words} {fixtures.prose(60, 50 + i)}" for i, words in enumerate(["x " * 3000, "x " * 2000, "a b c " * 900, "a b c " * 1500, "x " * 40])]
+    found = passages.near_duplicate_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(x.other_doc_id, x.doc_id) for x in found} == {(0, 1), (2, 3)} and len(found) < 12
+    kept = {(x.doc_id, x.start_word, x.end_word) for x in found}
+    assert (1, 60, 2060) in kept and any(i == 3 and b - a >= 2700 for i, a, b in kept)
+
+
 def components_of(pairs):
     root = {}
     for a, b in pairs:
