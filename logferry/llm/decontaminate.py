@@ -143,7 +143,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, width: int, slop: int) -> Dat
     )
 
 
-# The same rows in DuckDB, but for n_near.
+# The same rows in DuckDB.
 _SQL_WORDS = "regexp_extract_all(translate(coalesce(text, ''), '{0}', '{1}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')".format(_UPPER, _LOWER)
 ORACLE = f"""with d as (select row_number() over () as r, doc_id, {_SQL_WORDS} as w from documents),
 b as (select item_id, {_SQL_WORDS} as w from benchmark),
@@ -158,7 +158,29 @@ hit as (select r, pos, runs.size, item_id from runs join p on p.phrase = runs.ph
 words_hit as (select r, count(distinct pos + i) as n from (select distinct r, pos, size from hit), range({WINDOW}) t(i) where i < size group by r),
 items as (
   select r, count(*) as n_items, string_agg(item, ',' order by item) as items
-  from (select distinct r, cast(item_id as varchar) as item from hit) group by r)
+  from (select distinct r, cast(item_id as varchar) as item from hit) group by r),
+terms as (select phrase, size, unnest(t) as term, generate_subscripts(t, 1) - 1 as place
+  from (select distinct phrase, size, string_split(phrase, ' ') as t from p)),
+posted as (select r, term, pos from (select r, unnest(w) as term, generate_subscripts(w, 1) - 1 as pos from d)
+  where term in (select term from terms)),
+counts as (select term, count(*) as n from posted group by term),
+ranked as (
+  select phrase, size, term, place, row_number() over (partition by phrase order by n, place) as rarity,
+    count(*) over (partition by phrase) = size as known
+  from terms join counts using (term)),
+anchors as (
+  select a.phrase, a.size, a.term as term1, a.place as place1, b.term as term2, b.place as place2
+  from ranked a join ranked b on a.phrase = b.phrase and b.rarity = 2 where a.rarity = 1 and a.known),
+met as (
+  select distinct x.r, phrase, size, x.pos - place1 as start
+  from anchors join posted x on x.term = term1 join posted y on y.r = x.r and y.term = term2
+  where abs(y.pos - place2 - x.pos + place1) <= {SLOP}),
+said as (select distinct runs.r, runs.phrase from runs join p on p.phrase = runs.phrase and p.size = runs.size),
+near as (
+  select met.r, count(distinct met.phrase) as n_near
+  from met join d on d.r = met.r left join said on said.r = met.r and said.phrase = met.phrase
+  where said.r is null and list_has_all(w[greatest(start + 1 - {SLOP}, 1):least(start + size + {SLOP}, len(w))], string_split(met.phrase, ' '))
+  group by met.r)
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n, 0) as n_hit, coalesce(n_items, 0) as n_items,
-  sha256(coalesce(items, '')) as items_sha256, n is not null as contaminated
-from d left join words_hit on d.r = words_hit.r left join items on d.r = items.r"""
+  sha256(coalesce(items, '')) as items_sha256, n is not null as contaminated, coalesce(n_near, 0) as n_near
+from d left join words_hit on d.r = words_hit.r left join items on d.r = items.r left join near on d.r = near.r"""

@@ -48,7 +48,7 @@ def op3_quality_vote(spark, sf_dir):
 @query("op4_secrets", secrets.ORACLE)
 def op4_secrets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    findings, _ = secrets.update(docs)
+    findings, _ = secrets.deliveries(docs)
     return secrets.per_path(docs, findings)
 
 
@@ -76,8 +76,7 @@ def op8_near_duplicates(spark, sf_dir):
 
 @query("op9_decontaminate", decontaminate.ORACLE)
 def op9_decontaminate(spark, sf_dir):
-    found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.drop("n_near")
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @query("op10_quotes", quotes.ORACLE)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logferry.functions.arrays import with_prefix_sums
-from logferry.llm.common import checkpointed, inlined
+from logferry.llm.common import checkpointed, inlined, small
 
 
 @dataclass(frozen=True)
@@ -44,16 +44,18 @@ def blob_id(text: Column) -> Column:
 def unseen(docs: DataFrame, ledger: DataFrame | None, rules=RULES) -> DataFrame:
     """blob, text and the rules (kind, version) still to be scanned, one row per content that has any.
 
-    Copies within a task become one row before the shuffle.
+    The ledger meets the addresses alone; text is read again for those that are left, and moves only if they are more
+    than can be broadcast. Copies within a task become one row before the shuffle.
     """
     rows = docs.select(blob_id(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
     every = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
     if ledger is None:
         return rows.groupBy("blob").agg(F.first("text").alias("text")).withColumn("todo", every)
     done = ledger.groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("done"))
-    rows = rows.join(done, "blob", "left")
     todo = F.when(F.col("done").isNull(), every).otherwise(F.array_except(every, "done"))
-    return rows.withColumn("todo", todo).where(F.size("todo") > 0).groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
+    left = rows.select("blob").distinct().join(done, "blob", "left").select("blob", todo.alias("todo"))
+    left = small(checkpointed(left.where(F.size("todo") > 0)))
+    return rows.join(left, "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
 
 
 def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
@@ -105,6 +107,17 @@ def update(docs: DataFrame, ledger: DataFrame | None = None, findings: DataFrame
     )
 
 
+def deliveries(docs: DataFrame, rules=RULES) -> tuple[DataFrame, DataFrame]:
+    """(findings, ledger) of ``docs`` (doc_id, text) that arrive twice: first about half of them, dealt by the
+    CRC-32 of doc_id, then all, old and new.
+
+    The tables that the first delivery leaves are written, and the second one scans only what they don't list.
+    """
+    first = docs.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 2 == 0)
+    findings, ledger = update(first, rules=rules)
+    return update(docs, checkpointed(ledger), findings, rules)
+
+
 def per_path(docs: DataFrame, findings: DataFrame, rules=RULES) -> DataFrame:
     """One row per row of ``docs``: doc_id, counts of the base kinds, base_sha256, spans, n_secrets.
 

@@ -5,6 +5,7 @@ import random
 import fixtures
 import pytest
 from check_oracle import sorted_rows
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from logferry.llm import decontaminate, quotes, secrets
@@ -72,6 +73,21 @@ def test_redaction_replaces_spans_and_keeps_columns(spark, folder):
     assert all(r.n_chars == len(r.text) for r in out.where("doc_id in (15, 16, 17)").collect())
 
 
+def test_the_second_delivery_scans_what_is_new(spark, folder, monkeypatch):
+    docs = table(spark, folder, "documents")
+    blob = secrets.blob_id(F.col("text")).alias("blob")
+    old = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 2 == 0
+    scanned, scan = [], secrets.scan
+    monkeypatch.setattr(secrets, "scan", lambda todo, rules: (scanned.append({bytes(x.blob) for x in todo.select("blob").collect()}), scan(todo, rules))[1])
+    findings, ledger = secrets.deliveries(docs)
+    first = {bytes(x.blob) for x in docs.where(old).select(blob).collect()}
+    every = {bytes(x.blob) for x in docs.select(blob).collect()}
+    assert scanned == [first, every - first] and first and every - first
+    assert ledger.count() == ledger.distinct().count() == len(every) * len(secrets.RULES)
+    rows = lambda found: sorted(map(str, secrets.per_path(docs, found).collect()))
+    assert rows(findings) == rows(secrets.update(docs)[0])
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha beta x gamma delta"), (2, "alpha beta gamma delta"), (3, "delta gamma far far far far alpha beta")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "alpha beta gamma delta")], "item_id long, text string")
@@ -81,6 +97,33 @@ def test_proximity(spark):
     assert (rows[3].n_near, rows[3].contaminated) == (0, False)
 
 
+def test_proximity_is_that_of_the_sql(spark):
+    import duckdb
+
+    r = random.Random(12)
+    items = [" ".join(f"{c}{r.randrange(40)}" for _ in range(r.choice([1, 4, 10, 13]))) for c in "abcdefgh"]
+    texts = []
+    for _ in range(60):
+        w = r.choice(items).split()
+        if r.random() < 0.5:
+            r.shuffle(w)
+        for _ in range(r.randrange(4)):
+            w.insert(r.randrange(len(w) + 1), "between")
+        texts.append(" ".join(["before"] * r.randrange(5) + w + ["after"] * r.randrange(5)))
+    documents = [(i // 2 if i % 3 else None, t) for i, t in enumerate([*texts, None, "", texts[0]])]
+    benchmark = list(enumerate([*items, None, items[0]]))
+    con = duckdb.connect()
+    for name, key, rows in (("documents", "doc_id", documents), ("benchmark", "item_id", benchmark)):
+        con.execute(f"create table {name} ({key} bigint, text varchar)")
+        con.executemany(f"insert into {name} values (?, ?)", rows)
+    want = con.sql(decontaminate.ORACLE).fetchall()
+    found = decontaminate.report(
+        spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(benchmark, "item_id long, text string")
+    )
+    assert sorted(map(str, want)) == sorted(str(tuple(x)) for x in found.collect())
+    assert sum(x[6] > 0 for x in want) > 5
+
+
 def test_only_close_positions_meet(spark):
     r = random.Random(8)
     places = {t: sorted(r.sample(range(300), 60)) for t in "ab"}
