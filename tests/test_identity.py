@@ -124,6 +124,21 @@ def test_chain_of_receipts(spark):
     assert got == {"whole": (25, False), "gap": (22, True), "none": (7, True), "missing": (12, True), "idle": (4, False)}
 
 
+def test_receipts_are_not_broadcast(spark):
+    """Ten files become 200,000 receipts. The planner sees the size of the files only and sent all receipts to the driver."""
+    reads = spark.range(10).select(
+        F.lit("c").alias("component"), F.col("id").cast("string").alias("fingerprint"), F.lit(0).cast("bigint").alias("position"),
+        F.lit(200_000).cast("bigint").alias("read_end"),
+    )
+    number = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(19_999).cast("bigint"))).alias("block_no")
+    receipts = reads.select("component", "fingerprint", number).withColumn("read_to", (F.col("block_no") + 1) * 10)
+    receipts = receipts.where("not (fingerprint = '3' and block_no in (0, 70)) and not (fingerprint = '4' and block_no = 19999)")
+    df = CK.read_so_far(reads, receipts, 10)
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {r.fingerprint: (r.read_end, r.unread) for r in df.collect()}
+    assert got == {**{str(i): (200_000, False) for i in range(10)}, "3": (0, True), "4": (199_990, True)}
+
+
 def test_only_the_planned_file_is_deleted(spark, tmp_path):
     from logferry.sources.byteranges import identity
 
