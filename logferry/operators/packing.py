@@ -10,7 +10,8 @@ tree, and then all blocks cut their own batches at the same time.
 
 A batch holds at most ``max_bytes // EVENT_OVERHEAD`` events, since each costs that much. So a block
 needs to see only so many events past its end, and only so many of its first events can open the
-first batch. A block is one group of bounded size, however large the component is.
+first batch. A block is of bounded size, however large the component is. Blocks that are small are
+handled many at a time, so that their number doesn't count.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logferry import settings as S
@@ -84,11 +85,12 @@ def next_starts(cost, stream, ts, emit, max_bytes: int, max_events: int, max_spa
     return np.maximum(np.minimum(np.minimum(limit, breaks), n), np.arange(n) + 1)
 
 
-def _follow(nxt: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each event of the block: the last batch start of its chain before ``end``, and the number
+def _follow(nxt: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each event: the last batch start of its chain before the ``end`` of its block, and the number
     of batches on the way there, that one included."""
-    tail = np.where(nxt[:end] < end, np.minimum(nxt[:end], max(end - 1, 0)), np.arange(end))
-    hops = (tail != np.arange(end)).astype(np.int64)
+    own = np.arange(len(nxt))
+    tail = np.where(nxt < end, nxt, own)
+    hops = (tail != own).astype(np.int64)
     while True:
         further = tail[tail]
         if np.array_equal(further, tail):
@@ -97,63 +99,74 @@ def _follow(nxt: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         tail = further
 
 
-def _runs(entry: np.ndarray, leave: np.ndarray, count: np.ndarray) -> pd.DataFrame:
-    """Compress entry -> (leave, count) to pieces: count stays the same, and leave stays or
+def _runs(node: np.ndarray, entry: np.ndarray, leave: np.ndarray, count: np.ndarray) -> pd.DataFrame:
+    """Compress entry -> (leave, count) of each node to pieces: count stays the same, and leave stays or
     moves along with entry."""
-    same = np.diff(count) == 0
+    same = (np.diff(count) == 0) & (np.diff(node) == 0)
     stay = same & (np.diff(leave) == 0)
     move = same & (np.diff(leave) == 1)
-    kind = np.r_[np.where(stay, 0, np.where(move, 1, 2)), 0]  # of the step to the next entry
-    starts = np.flatnonzero(np.r_[True, (kind[1:] != kind[:-1]) | (kind[1:] == 2)])
-    ends = np.r_[starts[1:] - 1, len(entry) - 1]
+    kind = np.r_[np.where(stay, 0, np.where(move, 1, 2)), 0][: len(entry)]  # of the step to the next entry
+    starts = np.flatnonzero(np.r_[True, (kind[1:] != kind[:-1]) | (kind[1:] == 2)][: len(entry)])
+    ends = np.r_[starts[1:], len(entry)][: len(starts)] - 1
     return pd.DataFrame(
         {
-            "lo": entry[starts], "hi": entry[ends], "leave": leave[starts],
+            "_blk": node[starts], "lo": entry[starts], "hi": entry[ends], "leave": leave[starts],
             "slope": kind[starts] % 2, "n_starts": count[starts],
         }
     )
 
 
-# The function of a last block: nothing follows, so nobody asks where the next block would be entered.
-_END = pd.DataFrame({"lo": [0], "hi": [_NEVER], "leave": [-1], "slope": [0], "n_starts": [0]})
+def _ends(node: np.ndarray, lo: np.ndarray) -> pd.DataFrame:
+    """The functions of last blocks: nothing follows, so nobody asks where the next block would be entered."""
+    return pd.DataFrame({"_blk": node, "lo": lo, "hi": _NEVER, "leave": -1, "slope": 0, "n_starts": 0})
 
 
 def _applied(runs: pd.DataFrame, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the next block is entered, and the batches opened on the way, for places of entry."""
+    """Where the next block is entered, and the batches opened on the way, for places of entry.
+
+    ``runs`` of any number of neighbouring blocks, sorted: places grow from block to block.
+    """
     lo, leave, slope, count = (runs[c].to_numpy() for c in ("lo", "leave", "slope", "n_starts"))
     at = np.searchsorted(lo, entry, side="right") - 1
     return leave[at] + slope[at] * (entry - lo[at]), count[at]
 
 
-def composed(pdf: pd.DataFrame, keys: Sequence[str]) -> pd.DataFrame:
-    """The functions of neighbouring blocks as one, for every place where the first can be entered."""
-    blocks = [g.sort_values("lo") for _, g in pdf.groupby("_blk", sort=True)]
-    first = blocks[0]
-    if any(g["leave"].iloc[0] < 0 for g in blocks):
-        runs = _END.copy()
-    else:
-        entry = np.concatenate([np.arange(a, b + 1) for a, b in zip(first["lo"], first["hi"])])
-        leave, count = entry, np.zeros(len(entry), np.int64)
-        for g in blocks:
-            leave, more = _applied(g, leave)
-            count = count + more
-        runs = _runs(entry, leave, count)
-    runs.insert(0, "_blk", pdf["_up"].iloc[0])
+def composed(pdf: pd.DataFrame, keys: Sequence[str], fan_in: int) -> pd.DataFrame:
+    """The functions of ``fan_in`` neighbouring blocks as one, for every place where the first can be entered.
+
+    All nodes (``_up``) of ``pdf`` at once. Only the last node of a key, which has no function, has fewer blocks.
+    """
+    pdf = pdf.sort_values(["_blk", "lo"], ignore_index=True)
+    up, lo = pdf["_up"].to_numpy(), pdf["lo"].to_numpy()
+    last = np.unique(up[pdf["leave"].to_numpy() < 0])
+    first = pdf[(pdf["_blk"].to_numpy() == up * fan_in) & ~np.isin(up, last)]
+    n = (first["hi"] - first["lo"] + 1).to_numpy()
+    entry = np.repeat(first["lo"].to_numpy() - np.cumsum(n) + n, n) + np.arange(n.sum())
+    leave, count = entry, np.zeros(len(entry), np.int64)
+    for _ in range(fan_in if len(entry) else 0):
+        leave, more = _applied(pdf, leave)
+        count = count + more
+    runs = [_runs(np.repeat(first["_up"].to_numpy(), n), entry, leave, count), _ends(last, lo[np.searchsorted(up, last)])]
+    runs = pd.concat([r for r in runs if len(r)], ignore_index=True)
     for i, k in enumerate(keys):
         runs.insert(i, k, pdf[k].iloc[0])
     return runs
 
 
-def entered(pdf: pd.DataFrame, keys: Sequence[str]) -> pd.DataFrame:
-    """Where each of some neighbouring blocks is entered; the row without a block says it of the first."""
+def entered(pdf: pd.DataFrame, keys: Sequence[str], fan_in: int) -> pd.DataFrame:
+    """Where each block is entered, for some nodes of ``fan_in`` neighbouring blocks; a row without a block says it of the
+    first block of a node."""
     own = pdf["_blk"].isna()
-    entry, before = int(pdf.loc[own, "lo"].iloc[0]), int(pdf.loc[own, "n_starts"].iloc[0])
+    up, entry, before = (pdf.loc[own, c].to_numpy(np.int64) for c in ("_up", "lo", "n_starts"))
+    nodes = pdf.loc[~own, ["_blk", "lo", "leave", "slope", "n_starts"]].astype(np.int64).sort_values(["_blk", "lo"])
     out = []
-    for block, g in pdf[~own].groupby("_blk", sort=True):
-        out.append((block, entry, before))
-        leave, count = _applied(g.sort_values("lo").astype({c: np.int64 for c in ("lo", "leave", "slope", "n_starts")}), np.array([entry]))
-        entry, before = int(leave[0]), before + int(count[0])
-    rows = pd.DataFrame(out, columns=["_blk", "_entry", "_n_before"]).astype(np.int64)
+    for k in range(fan_in):
+        here = np.isin(up * fan_in + k, nodes["_blk"].to_numpy())
+        up, entry, before = up[here], entry[here], before[here]
+        out.append(pd.DataFrame({"_blk": up * fan_in + k, "_entry": entry, "_n_before": before}))
+        entry, more = _applied(nodes, entry)
+        before = before + more
+    rows = pd.concat(out, ignore_index=True)
     for i, k in enumerate(keys):
         rows.insert(i, k, pdf[k].iloc[0])
     return rows
@@ -170,12 +183,14 @@ def pack_batches(
     max_span: dt.timedelta = S.MAX_BATCH_SPAN,
     block_size: int = 1 << 19,
     fan_in: int = 16,
+    at_once: int = 1 << 16,
 ) -> DataFrame:
     """Add ``batch_no``, counted from 1 per key, to events with cost, emit and ts.
 
     ``order`` is the read order and unique within a key. ``blocks`` are column lists as in
     :func:`logferry.operators.ordering.running`; rows of a finest block lie together in read order.
-    ``fan_in`` blocks are composed in one task.
+    ``fan_in`` blocks are composed to one. Blocks and nodes are handled in stretches of about ``at_once`` events
+    or places, or one by one if they are larger.
     """
     keys, order, fine = list(keys), list(order), list(blocks[-1])
     reach = max_bytes // S.EVENT_OVERHEAD + 1
@@ -188,16 +203,18 @@ def pack_batches(
     )
     numbered = total_order(narrow, keys, [F.col(c) for c in order], "_p", settle).withColumn("_p", F.col("_p") - 1)
     n_blocks = (numbered.agg(F.max("_p")).first()[0] or 0) // block_size + 1
-    own = F.floor(F.col("_p") / block_size)
-    shared = F.when((F.col("_p") % block_size < reach) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
-    spread = numbered.withColumn("_blk", F.explode_outer(shared))
+    stretch = max(at_once // block_size, 1) * block_size
+    nodes_at_once = max(at_once // (reach * fan_in), 1)
+    own = F.floor(F.col("_p") / stretch)
+    shared = F.when((F.col("_p") % stretch < reach) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    spread = numbered.withColumn("_part_no", F.explode_outer(shared))
 
     key_types = ", ".join(f"`{k}` {events.schema[k].dataType.simpleString()}" for k in keys)
 
     def arrays(pdf: pd.DataFrame):
         pdf = pdf.sort_values("_p", ignore_index=True)
         codes = pd.factorize(pdf["_stream"])[0]
-        n_own = int((pdf["_p"] // block_size == pdf["_blk"]).sum())
+        n_own = int((pdf["_p"] // stretch == pdf["_part_no"]).sum())
         nxt = next_starts(
             pdf["_cost"].to_numpy(), codes, pdf["_ts"].to_numpy(), pdf["_emit"].to_numpy(bool),
             max_bytes, max_events, span_ms,
@@ -205,79 +222,69 @@ def pack_batches(
         return pdf, n_own, nxt
 
     def transfer(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf[keys].head(1).reset_index(drop=True)
-        blk = int(pdf["_blk"].iloc[0])
-        if int(pdf["_p"].max()) // block_size == blk:
-            runs = _END.copy()
-        else:
-            pdf, n_own, nxt = arrays(pdf)
-            base = int(pdf["_p"].iloc[0])
-            entry = np.arange(1 if blk == 0 else min(reach, n_own))
-            tail, count = (x[entry] for x in _follow(nxt, n_own))
-            runs = _runs(entry + base, nxt[tail] + base, count)
-        runs.insert(0, "_blk", blk)
+        pdf, n_own, nxt = arrays(pdf)
+        p = pdf["_p"].to_numpy()[:n_own]
+        base, blk, at = p[0], p // block_size, p % block_size
+        opens = np.where(blk > 0, at < reach, at == 0)
+        last = blk[-1:] if n_own == len(pdf) else blk[:0]
+        entry = np.flatnonzero(opens & ~np.isin(blk, last))
+        tail, count = (x[entry] for x in _follow(nxt[:n_own], np.minimum((blk + 1) * block_size - base, n_own)))
+        runs = [_runs(blk[entry], entry + base, nxt[tail] + base, count), _ends(last, last * block_size)]
+        runs = pd.concat([r for r in runs if len(r)], ignore_index=True)
         for i, k in enumerate(keys):
-            runs.insert(i, k, head[k].iloc[0])
+            runs.insert(i, k, pdf[k].iloc[0])
         return runs
 
     runs_schema = f"{key_types}, _blk bigint, lo bigint, hi bigint, leave bigint, slope bigint, n_starts bigint"
-    runs = spread.groupBy(*keys, "_blk").applyInPandas(transfer, runs_schema)
+    runs = spread.groupBy(*keys, "_part_no").applyInPandas(transfer, runs_schema)
 
     # Composition tree: functions of neighbouring blocks are composed until one node per key is left; its
     # entry is known, and from there each node tells its children where they are entered.
+    up, some = F.floor(F.col("_blk") / fan_in), F.floor(F.col("_up") / nodes_at_once)
     levels = [runs]
     while n_blocks > fan_in:
         levels[-1] = settle(levels[-1])
         levels.append(
-            levels[-1].withColumn("_up", F.floor(F.col("_blk") / fan_in)).groupBy(*keys, "_up").applyInPandas(
-                lambda pdf: composed(pdf, keys), runs_schema
+            levels[-1].withColumn("_up", up).withColumn("_some", some).groupBy(*keys, "_some").applyInPandas(
+                lambda pdf: composed(pdf, keys, fan_in), runs_schema
             )
         )
         n_blocks = -(-n_blocks // fan_in)
     entries = levels[-1].select(*keys).distinct().withColumns({c: F.lit(0).cast("bigint") for c in ("_blk", "_entry", "_n_before")})
     for level in reversed(levels):
         asked = entries.select(*keys, F.col("_blk").alias("_up"), F.col("_entry").alias("lo"), F.col("_n_before").alias("n_starts"))
-        nodes = level.withColumn("_up", F.floor(F.col("_blk") / fan_in)).unionByName(asked, allowMissingColumns=True)
-        entries = nodes.groupBy(*keys, "_up").applyInPandas(
-            lambda pdf: entered(pdf, keys), f"{key_types}, _blk bigint, _entry bigint, _n_before bigint"
+        nodes = level.withColumn("_up", up).unionByName(asked, allowMissingColumns=True).withColumn("_some", some)
+        entries = nodes.groupBy(*keys, "_some").applyInPandas(
+            lambda pdf: entered(pdf, keys, fan_in), f"{key_types}, _blk bigint, _entry bigint, _n_before bigint"
         )
 
     id_columns = list(dict.fromkeys([*keys, *fine, *order]))
     out_schema = ", ".join(f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in id_columns)
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+    def cut(pdf: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
         pdf, n_own, nxt = arrays(pdf)
-        base = int(pdf["_p"].iloc[0])
-        i = int(pdf["_entry"].iloc[0]) - base
+        base, nxt = int(pdf["_p"].iloc[0]), nxt.tolist()
         number = np.empty(n_own, np.int64)
-        no = int(pdf["_n_before"].iloc[0])
-        number[: max(i, 0)] = no  # the batch that was open when the block began
-        while i < n_own:
-            no += 1
-            number[i : nxt[i]] = no
-            i = int(nxt[i])
+        for blk, entry, no in zip(*(blocks[c].tolist() for c in ("_blk", "_entry", "_n_before"))):
+            begin, i = blk * block_size - base, entry - base
+            end = min(begin + block_size, n_own)
+            number[begin : min(i, end)] = no  # the batch that was open when the block began
+            while i < end:
+                no += 1
+                number[i : min(nxt[i], end)] = no
+                i = nxt[i]
         out = pdf.loc[: n_own - 1, id_columns].copy()
         out["_no"] = number
         # One row per batch and event block is all that is needed to place the events.
         return out.drop_duplicates([*fine, "_no"])
 
-    firsts = (
-        spread.join(entries, [*keys, "_blk"])
-        .groupBy(*keys, "_blk")
-        .applyInPandas(cut, f"{out_schema}, _no bigint")
-    )
-    # Sorted by number, batches of an event block are in read order. One that is met in two packing
-    # blocks occurs twice, which does no harm.
-    placed = firsts.groupBy(*keys, *fine).agg(
-        F.sort_array(F.collect_list(F.struct(F.struct(*order).alias("_first"), "_no"))).alias("_batches")
-    )
-    here = F.struct(*order)
-    latest = F.element_at(F.filter("_batches", lambda b: b["_first"] <= here), -1)
-    return (
-        events.join(placed, [*keys, *fine])
-        .withColumn("batch_no", latest["_no"])
-        .drop("_batches")
-    )
+    entries = entries.withColumn("_part_no", F.floor(F.col("_blk") * block_size / stretch))
+    firsts = spread.groupBy(*keys, "_part_no").cogroup(entries.groupBy(*keys, "_part_no")).applyInPandas(cut, f"{out_schema}, _no bigint")
+    # Every event has the number of the last of these rows before it in its event block. A batch that is met
+    # in two stretches has two of them, which does no harm.
+    both = events.withColumn("_event", F.lit(True)).unionByName(firsts.withColumn("_event", F.lit(False)), allowMissingColumns=True)
+    so_far = Window.partitionBy(*keys, *fine).orderBy(*order, "_event").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("batch_no", F.last("_no", ignorenulls=True).over(so_far)).where("_event").drop("_event", "_no")
 
 
 def first_batch_bytes(events: DataFrame, keys, order, blocks, cap: int = S.MAX_BATCH_BYTES) -> DataFrame:

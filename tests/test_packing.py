@@ -62,6 +62,23 @@ def test_blocks_chain_to_the_same_batches(spark, equal_sizes, fan_in):
         assert mine == loop(g.cost, g.log_stream, g.ts, g.emit, 34 * 60, 7, span), key
 
 
+@pytest.mark.parametrize("at_once", [1, 150, 100_000])
+def test_small_blocks_are_handled_together(spark, at_once):
+    """Blocks of the least size in stretches of one, three and all blocks; nodes likewise."""
+    rng = np.random.default_rng(5)
+    rows = [("hot", 3000), ("small", 30), ("one", 1), ("even", 122)]
+    rows = [(k, i // 100, i, f"s{rng.integers(0, 3)}", int(rng.integers(34, 90)), int(i * 100 + rng.integers(0, 3000)), bool(rng.random() < 0.9)) for k, n in rows for i in range(n)]
+    pdf = pd.DataFrame(rows, columns="component _part event_id log_stream cost ts emit".split())
+    got = P.pack_batches(
+        spark.createDataFrame(pdf).withColumn("ts", F.timestamp_millis("ts")), order=["event_id"], blocks=[["_part"]], max_bytes=34 * 40,
+        max_events=9, max_span=dt.timedelta(seconds=20), block_size=1, fan_in=3, at_once=at_once,
+    ).select("component", "event_id", "batch_no").toPandas()
+    assert len(got) == len(pdf)
+    for key, g in pdf.groupby("component"):
+        mine = got[got.component == key].sort_values("event_id").batch_no.tolist()
+        assert mine == loop(g.cost, g.log_stream, g.ts, g.emit, 34 * 40, 9, 20_000), key
+
+
 def test_running_totals_by_blocks(spark):
     df = spark.range(1000).select(
         F.lit("k").alias("k"), "id", F.floor(F.col("id") / 100).alias("a"), F.floor(F.col("id") / 10).alias("b"),
