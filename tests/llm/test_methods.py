@@ -289,6 +289,36 @@ def test_texts_that_repeat_themselves(spark):
     assert (1, 60, 2060) in kept and any(i == 3 and b - a >= 2700 for i, a, b in kept)
 
 
+def test_a_stretch_that_repeats_itself_has_few_places_at_its_ends():
+    r, width = np.random.default_rng(7), 46
+    for period in (1, 2, 7):
+        tokens = np.concatenate([r.integers(0, 1 << 62, 150), np.tile(r.integers(0, 1 << 62, period), 400), r.integers(0, 1 << 62, 150)]).astype(np.uint64)
+        key, _, at = passages.signatures(tokens, [len(tokens)], width, passages.HASHES)
+        inside = (at >= 150) & (at < 150 + 400 * period)
+        assert np.unique(key[inside], return_counts=True)[1].max() <= 8
+    for _ in range(300):  # a sequence that holds a place holds a kept one
+        at = np.unique(r.integers(0, 80, r.integers(1, 40)))
+        group, width = np.sort(r.integers(0, 2, len(at))), int(r.integers(2, 12))
+        at = np.concatenate([at[group == g] for g in range(2)])
+        kept = passages._thinned(group, at, width)
+        for g, s in itertools.product(range(2), range(80)):
+            near = (group == g) & (at >= s) & (at < s + width)
+            assert near.any() == (near & kept).any()
+
+
+def test_places_of_two_documents_are_decided_with_their_texts(spark):
+    r = np.random.default_rng(11)
+    a, b = (r.integers(0, 1 << 62, 300).astype(np.uint64) for _ in range(2))
+    b[40:100] = a[200:260]  # not among the passages found
+    state = (a, passages._index(a))
+    low, high = np.searchsorted(state[1][0], b), np.searchsorted(state[1][0], b, "right")
+    key = np.array([5, 5, 6, 6])
+    packed = np.array([220 << 3 | 6, 60 << 3 | 7, 10 << 3 | 6, 150 << 3 | 7])  # the second key agrees only by chance
+    links, classes = passages._decided(state, b, (low, high), [], key, packed, 46, 0.8)
+    assert len(links) == 1 and links[0][0] - links[0][2] == 160 and links[0][4] == 1
+    assert [tuple(int(v) for v in c) for c in zip(*classes)] == [(5, 0, 220, -1), (5, 1, 60, 220), (6, 0, 10, -1), (6, 1, 150, -1)]
+
+
 def components_of(pairs):
     root = {}
     for a, b in pairs:
