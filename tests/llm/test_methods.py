@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from logferry.llm import decontaminate, language, near_dups, packing, passages, quality_vote, queries, urls
-from logferry.llm.common import compare_texts, components, shingles, table, words_of
+from logferry.llm.common import compare_texts, components, shingled, shingles, table, words_of
 from logferry.llm.queries import URL_RULES, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -319,6 +319,88 @@ def test_places_of_two_documents_are_decided_with_their_texts(spark):
     assert [tuple(int(v) for v in c) for c in zip(*classes)] == [(5, 0, 220, -1), (5, 1, 60, 220), (6, 0, 10, -1), (6, 1, 150, -1)]
 
 
+def test_shingles_of_many_texts_are_those_of_each():
+    r = random.Random(3)
+    signs = [*"abcXYZ019.,-\u00e9\u00c9\u0130\u03a3\u4e2d\U0001f600 \t\n\x1c\x1f\x85\xa0\u2003\u3000\u200b", "  "]
+    for _ in range(400):
+        texts = [r.choice([None, "", " ", "".join(r.choices(signs, k=r.randint(0, 60)))]) for _ in range(r.randint(0, 6))]
+        texts += ["x" * r.randint(1, 40) for _ in range(r.randint(0, 2))]  # words of all lengths
+        want = [shingles(words_of(t)) for t in texts]
+        items, counts = shingled(texts)
+        assert counts.tolist() == [len(w) for w in want] and items.tolist() == [x for w in want for x in w.tolist()]
+
+
+def test_windows_of_many_texts_are_those_of_each():
+    r = np.random.default_rng(4)
+    for _ in range(100):
+        sizes, width = r.integers(1, 60, 5), int(r.integers(1, 30))
+        h = r.integers(0, 1 << 62, sizes.sum()).astype(np.uint64)
+        end = np.cumsum(sizes)
+        text = np.repeat(np.arange(5), sizes)
+        got = list(zip(*(x.tolist() for x in passages.compact_windows(h, (end - sizes)[text], end[text] - 1, width))))
+        want = []
+        for a, n in zip((end - sizes).tolist(), sizes.tolist()):
+            alone = passages.compact_windows(h[a : a + n], np.zeros(n, np.int64), np.full(n, n - 1), width)
+            want += [tuple(int(v) + a for v in w) for w in zip(*alone)]
+        assert got == want
+
+
+def test_passages_are_those_of_counting_sets():
+    r = np.random.default_rng(8)
+    seen = 0
+    for _ in range(300):
+        a = r.integers(0, r.choice([8, 40, 1 << 60]), 120).astype(np.uint64)
+        b = np.concatenate([r.integers(0, 1 << 60, 20).astype(np.uint64), a[r.integers(0, 40) : r.integers(50, 120)]])
+        b[r.integers(0, len(b), r.integers(0, 12))] = r.integers(0, 1 << 60)
+        index = passages._index(a)
+        low, high = np.searchsorted(index[0], b), np.searchsorted(index[0], b, "right")
+        chain = np.array([x for x in passages._runs(a, index, b, low, high)])
+        if not len(chain):
+            continue
+        chain = chain[np.concatenate([[True], np.diff(chain[:, 0]) > 0]).cumprod().astype(bool)]
+        shared = passages._Shared(index, b, low, high)
+        hopeful = shared.hopeful(chain, shared.stretch(chain), 10, 0.8)
+        for first in range(len(chain)):
+            stretch = shared.stretch(chain[first:])
+            got, a0, b0 = shared.similarities(stretch), chain[first, 0], chain[first, 1]
+            for k, (a1, b1) in enumerate(zip(stretch[1], stretch[2])):
+                one, two = set(a[a0:a1].tolist()), set(b[b0:b1].tolist())
+                assert got[k] == len(one & two) / len(one | two)
+                if got[k] >= 0.8 and min(a1 - a0, b1 - b0) >= 10:
+                    seen += 1
+                    assert hopeful[first] >= first + k
+            assert shared.similarity(stretch) == got[-1]
+    assert seen > 100
+
+
+def test_places_that_cannot_be_near_are_not_compared():
+    r = np.random.default_rng(9)
+    width, own = 46, []
+    part = r.integers(0, 1 << 62, 91).astype(np.uint64)
+    for k in range(300):  # more than are looked up together
+        items = part.copy()
+        items[r.choice(91, r.integers(0, 70), replace=False)] = r.integers(0, 1 << 62)
+        if k % 3:
+            items = np.concatenate([items[45:], items[:45]])[: r.integers(60, 92)]
+        own.append((k, 0, 45, 0, items, True))
+    parts = [passages._Part(own, k, width, int) for k in range(0, 300, passages._PART)]
+    sequences = [passages._Sequences(o[4], 45, width) for o in own]
+    compared = near = 0
+    for k in range(0, 300, 7):
+        open_ = [np.arange(p.begin, p.begin + len(p.docs)) != k for p in parts]
+        items = own[k][4]
+        some = {p.begin + o for p, x in zip(parts, open_) for o in p.near(items, passages._distinct(items, width), x, 0.8)}
+        compared += len(some)
+        for o in range(300):
+            both = [set(items[i : i + width].tolist()) for i in sequences[k].starts], [set(own[o][4][j : j + width].tolist()) for j in sequences[o].starts]
+            best = max(len(x & y) / len(x | y) for x in both[0][::5] for y in both[1][::5]) if o != k and o % 5 == 0 else 0
+            match = passages._nearest(sequences[k], sequences[o], 0.8) if o != k else None
+            assert best < 0.8 or match and match[2] >= best
+            near += bool(match)
+            assert not match or o in some
+    assert 0 < near <= compared < 300 * 43 // 4
+
+
 def components_of(pairs):
     root = {}
     for a, b in pairs:
