@@ -373,6 +373,35 @@ def test_passages_are_those_of_counting_sets():
     assert seen > 100
 
 
+def test_texts_without_repeats_have_the_same_passages_by_lengths_of_runs():
+    r = np.random.default_rng(12)
+    found = 0
+    for _ in range(300):
+        a, b = (r.integers(0, 1 << 60, 300).astype(np.uint64) for _ in range(2))
+        for _ in range(r.integers(1, 6)):
+            i, j, n = r.integers(0, 200), r.integers(0, 200), r.integers(5, 100)
+            b[j : j + n] = a[i : i + n]
+        for k in r.integers(0, 300, r.integers(0, 12)):
+            b[k : k + 5] = r.integers(0, 1 << 60, len(b[k : k + 5]))
+        b = b[np.sort(np.unique(b, return_index=True)[1])]
+        index = passages._index(a)
+        low, high = np.searchsorted(index[0], b), np.searchsorted(index[0], b, "right")
+        runs = passages._runs(a, index, b, low, high)
+        want = passages._matches(index, b, low, high, runs, 46, 0.8, 25)
+        assert passages._plain_matches(index[1], low, high, 46, 0.8, 25) == want
+        found += len(want)
+    assert found > 100
+
+
+def test_keys_are_sorted_with_their_places():
+    r = np.random.default_rng(13)
+    for _ in range(300):
+        n = int(r.integers(0, 300))
+        key = r.integers(0, int(r.choice([1, 3, 1 << 40, 1 << 62])), n).astype(np.uint64)
+        for k in (key, key << np.uint64(1), r.integers(0, 3, n).astype(np.uint64) << np.uint64(62) | key % np.uint64(40)):
+            assert passages._sorted(k).tolist() == np.argsort(k, kind="stable").tolist()
+
+
 def test_places_that_cannot_be_near_are_not_compared():
     r = np.random.default_rng(9)
     width, own = 46, []
@@ -386,6 +415,7 @@ def test_places_that_cannot_be_near_are_not_compared():
     parts = [passages._Part(own, k, width, int) for k in range(0, 300, passages._PART)]
     sequences = [passages._Sequences(o[4], 45, width) for o in own]
     compared = near = 0
+    together = parts[0].all_near(0.8)
     for k in range(0, 300, 7):
         open_ = [np.arange(p.begin, p.begin + len(p.docs)) != k for p in parts]
         items = own[k][4]
@@ -398,6 +428,7 @@ def test_places_that_cannot_be_near_are_not_compared():
             assert best < 0.8 or match and match[2] >= best
             near += bool(match)
             assert not match or o in some
+            assert not match or max(k, o) >= passages._PART or together[k, o]
     assert 0 < near <= compared < 300 * 43 // 4
 
 
